@@ -1,6 +1,54 @@
-STAGES = []
+"""From documents to training tokens: each stage reads what the one before kept. Part of the training-data package."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyforge.llm import jaccard, langid, mixing, quality, spm
+from tallyforge.llm.common import stage, table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with confidence."""
+    return langid.keep_identified(docs)
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that of the least id; rows without an id, and texts without a word, stay."""
+    found = jaccard.link_components(docs).where("component_id IS NULL OR component_id = doc_id").select(F.col("doc_id").alias("_tf_id")).distinct()
+    kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_tf_id")), "left_semi")
+    return kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    taken = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("_tf_id"), (F.col("taken") / F.col("size")).cast("int").alias("_tf_n")).groupBy("_tf_id").agg(F.max("_tf_n").alias("_tf_n"))
+    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_tf_id")))
+    return rows.withColumn("_tf_i", F.explode(F.sequence(F.lit(1), F.col("_tf_n")))).select(*[f"`{c}`" for c in docs.columns])
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids of each document."""
+    return spm.encode(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language ID", language), ("quality classifier", good), ("n-gram Jaccard join", one_of_each), ("mixing sources", mixed), ("SentencePiece encoding", tokens),
+]
+#: Trained models and tokens are beyond SQL; the tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "_"))
+    return STAGES[-1][1](spark, docs, sf_dir)

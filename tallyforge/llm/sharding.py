@@ -24,6 +24,8 @@ PASS_BINS = 1024
 #: A cut is good enough when it is this part of a leaf from the wanted weight.
 TOLERANCE = 0.0005
 GROUP_SHARE = 0.125
+#: What heavier groups are sliced into, as a part of a leaf.
+SLICE_SHARE = 0.005
 SLOT_ROWS = 20_000
 DIMS = ("size", "source", "lang", "text")
 VALUE_BITS, TIE_BITS = 22, 40
@@ -33,7 +35,7 @@ def _kd_units(rows: DataFrame, leaf_bytes: float, dims: dict[str, Column]) -> tu
     """rows with their unit (group, slice), and the units with weight and raw dimensions."""
     groups = rows.groupBy("g").agg(F.sum("size").alias("weight"))
     # At most leaves / GROUP_SHARE groups can be this heavy, so the side is small by construction.
-    heavy = groups.where(F.col("weight") > leaf_bytes * GROUP_SHARE).select("g", F.ceil(F.col("weight") / (leaf_bytes * GROUP_SHARE)).cast("int").alias("n"))
+    heavy = groups.where(F.col("weight") > leaf_bytes * GROUP_SHARE).select("g", F.ceil(F.col("weight") / (leaf_bytes * SLICE_SHARE)).cast("int").alias("n"))
     rows = rows.join(F.broadcast(heavy), "g", "left").withColumn("slice", F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("n"))).cast("int")).drop("n")
     units = rows.groupBy("g", "slice").agg(F.sum("size").alias("weight"), *[F.min(c).alias(f"v_{name}") for name, c in dims.items()])
     return rows, units
