@@ -1 +1,6 @@
+"""All queries of the engine."""
 
+from . import statistics
+from .registry import oracle_sql, queries
+
+__all__ = ["oracle_sql", "queries", "statistics"]
