@@ -4,13 +4,15 @@ Two texts link when their sets of k-word shingles have a Jaccard similarity of N
 are one node. Shingles are ordered rare first, by a sketch of document frequencies over the whole corpus (counters
 shared by hash, so of fixed size; any total order keeps the join exact, a rarer one keeps it small). Of n shingles
 the first n - ceil(t n) + 1 are a node's prefix, and two nodes that link share a prefix shingle. Pairs pass a length
-filter, a positional filter (matches so far plus what can follow the last one) and a suffix filter (the sums of the
-lesser counts over fixed slices of the hash space bound the overlap), and are verified once, on their whole sets.
+filter, a positional filter (matches so far plus what can follow the last one) and a suffix filter (each element that
+only one set has flips one bit of a parity sketch, so sketches that differ in d bits belong to sets that differ in d
+elements or more), and are verified once, on their whole sets.
 
 A shingle that m nodes share is not spelled out into m (m - 1) / 2 pairs. Rounds verify each node against one hub of
-each of its shingles, which joins a group of near copies with about one pair for each member; the last round takes
-the pairs that are left between different components. A pair inside one component can change none, so components are
-exact.
+each of its shingles, which joins a group of near copies with about one pair for each member. The last round takes what
+is left between different components: nodes that share a shingle share its hub, so it goes through each hub's nodes, in
+blocks, and only pairs that pass the filters become rows. A pair inside one component can change none, so components
+are exact.
 
 Defined cases: a text with fewer than k words has its whole sequence as one shingle; null text, or none but white
 space, gives the empty set, which links with nothing; rows of equal id count each by its own text; a null id takes
@@ -33,12 +35,15 @@ from .textvec import mix, shingles, word_hashes
 
 K, NUM, DEN = 3, 90, 100
 COUNTERS = 1 << 20
-SLICES = 128
+#: Bits of a parity sketch.
+SKETCH = 1024
 #: Bits for each wanted id, and the most bits, of the bitmap that picks texts out of a scan.
 BITS_EACH, MOST_BITS = 16, 1 << 27
 FAN_IN = 16
 HUB_ROUNDS = 2
 BATCH = 2000
+#: Nodes of one hub that are compared at once.
+HUB_BLOCK, STRIPE = 2048, 128
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -93,14 +98,14 @@ def frequencies(docs: DataFrame, k: int = K) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, counts: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, node, n, prefix (rare first), slices of each row."""
+    """doc_id, node, n, prefix (rare first), sketch of each row."""
     held = docs.sparkSession.sparkContext.broadcast(counts)  # COUNTERS numbers, whatever the corpus
     key = docs.schema["doc_id"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = held.value
         for batch in batches:
-            nodes, sizes, prefixes, slices = [], [], [], []
+            nodes, sizes, prefixes, sketches = [], [], [], []
             for s in _sets(batch.column("text"), k):
                 n = len(s)
                 keep = n - (num * n + den - 1) // den + 1 if n else 0
@@ -108,12 +113,12 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, k: int, num: int, den: int) -
                 nodes.append(_digest(s))
                 sizes.append(n)
                 prefixes.append(s[order].view(np.int64))
-                slices.append(np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=SLICES), 255).astype(np.uint8).tobytes())
+                sketches.append(np.packbits(np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=SKETCH) & 1).tobytes())
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists, pa.array(slices, pa.binary())], ["doc_id", "node", "n", "prefix", "slices"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists, pa.array(sketches, pa.binary())], ["doc_id", "node", "n", "prefix", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {key.dataType.simpleString()}, node long, n long, prefix array<long>, slices binary")
+    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {key.dataType.simpleString()}, node long, n long, prefix array<long>, sketch binary")
 
 
 def _need(a: str, b: str, num: int, den: int) -> F.Column:
@@ -131,21 +136,55 @@ def _lengths_fit(num: int, den: int) -> F.Column:
     return F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")
 
 
+def _words(sketches: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), SKETCH // 64)
+
+
+def _may_differ(both: np.ndarray, num: int, den: int) -> np.ndarray:
+    """How many elements two linked sets of this joint size may differ in."""
+    return both - 2 * -(-num * both // (num + den))
+
+
 def _suffix_filter(pairs: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SLICES).astype(np.int64) for c in ("sa", "sb"))
-            most = np.where((x == 255) & (y == 255), 1 << 40, np.minimum(np.where(x == 255, 1 << 40, x), np.where(y == 255, 1 << 40, y))).sum(axis=1)
-            both = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            keep = most >= -(-num * both // (num + den))
+            x, y = (_words(batch.column(c).to_pylist()) for c in ("sa", "sb"))
+            keep = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= _may_differ(batch.column("na").to_numpy() + batch.column("nb").to_numpy(), num, den)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
-    joined = pairs.join(info.select(F.col("node").alias("a"), F.col("slices").alias("sa")), "a").join(info.select(F.col("node").alias("b"), F.col("slices").alias("sb")), "b")
+    joined = pairs.join(info.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(info.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
     return joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(work, "a long, b long")
 
 
+def _between(rows: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b of different labels, from rows (hub, node, n, label), that share a hub and pass the length and suffix filters."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, n, label, block = (table.column(c).to_numpy() for c in ("node", "n", "label", "block"))
+        sketch = _words(table.column("sketch").to_pylist())
+        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+        left, right, found = np.flatnonzero(block == x), np.flatnonzero(block == y), []
+        for start in range(0, len(left), STRIPE):
+            i = left[start : start + STRIPE, None]
+            ok = (label[i] != label[right]) & (den * np.minimum(n[i], n[right]) >= num * np.maximum(n[i], n[right]))
+            if x == y:
+                ok &= i < right
+            a, b = np.nonzero(ok)
+            a, b = i[a, 0], right[b]
+            near = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64) <= _may_differ(n[a] + n[b], num, den)
+            found.append(np.stack([node[a[near]], node[b[near]]]))
+        pairs = np.sort(np.concatenate(found, axis=1), axis=0) if found else np.zeros((2, 0), np.int64)
+        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+
+    sizes = rows.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB_BLOCK).cast("int").alias("blocks"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    dealt = rows.join(sizes.select("hub", "blocks"), "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+    dealt = dealt.join(info.select("node", "sketch"), "node").select("hub", "x", "y", "node", "n", "label", "block", "sketch")
+    return dealt.groupBy("hub", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+
+
 def _hash_ids(column: pa.Array, bits: int) -> np.ndarray:
     if pa.types.is_integer(column.type):
         raw = column.fill_null(-1).to_numpy().astype(np.int64).view(np.uint64)
@@ -218,7 +257,7 @@ def components(edges: DataFrame) -> DataFrame:
 def link_components(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs."""
     rows = stage(_prefixes(docs, frequencies(docs, k), k, num, den), "prefixes")
-    nodes = stage(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("slices").alias("slices")), "nodes")
+    nodes = stage(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")), "nodes")
     spread = nodes.select("node", "n", F.posexplode("prefix").alias("i", "token"))
     shared = spread.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("c > 1")
     live = stage(shared.select("token", "node", "n", "i"), "live")
@@ -228,17 +267,15 @@ def link_components(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN)
         most = here.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("node", "n", "i", "label"), F.xxhash64("node", F.lit(turn))).alias("hub")).where("lo < hi")
         if turn < HUB_ROUNDS:
             each = here.join(most, "token").where("label <> hub.label").select(F.col("hub.node").alias("a"), F.col("hub.n").alias("na"), F.col("hub.i").alias("ia"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"))
+            swap = F.col("a") > F.col("b")
+            each = each.where(_lengths_fit(num, den)).select(*[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("na", "nb"), ("ia", "ib"), ("b", "a"), ("nb", "na"), ("ib", "ia"))])
+            pairs = _suffix_filter(_passing(each, num, den), nodes, num, den)
         else:
-            mixed = stage(here.join(most.select("token"), "token", "left_semi"), "mixed")
-            left, right = (mixed.select("token", *[F.col(c).alias(c + s) for c in ("node", "n", "i", "label")]) for s in ("_a", "_b"))
-            fits = F.lit(den) * F.least("n_a", "n_b") >= F.lit(num) * F.greatest("n_a", "n_b")
-            each = left.join(right, (left.token == right.token) & (F.col("label_a") < F.col("label_b")) & fits).select(F.col("node_a").alias("a"), F.col("n_a").alias("na"), F.col("i_a").alias("ia"), F.col("node_b").alias("b"), F.col("n_b").alias("nb"), F.col("i_b").alias("ib"))
-        swap = F.col("a") > F.col("b")
-        each = each.where(_lengths_fit(num, den)).select(*[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("na", "nb"), ("ia", "ib"), ("b", "a"), ("nb", "na"), ("ib", "ia"))])
-        pairs = _passing(each, num, den)
+            shared = here.join(most.select("token", F.col("hub.node").alias("hub")), "token").select("hub", "node", "n", "label").distinct()
+            pairs = _between(stage(shared, "shared"), nodes, num, den)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stage(_suffix_filter(pairs, nodes.select("node", "slices"), num, den), "pairs")
+        pairs = stage(pairs, "pairs")
         if pairs.isEmpty():
             continue
         tested = pairs if tested is None else tested.unionByName(pairs)
