@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words kept from batch to batch, and characters of text worked on at once; both only bound memory.
-KEPT_WORDS, SLICE = 200_000, 4_000_000
+KEPT_WORDS, SLICE = 600_000, 4_000_000
 
 
 class Pieces:
@@ -49,15 +49,17 @@ class Pieces:
             else:
                 self.score[piece], self.id[piece] = m.get_score(i), i
                 self.out.append(piece.replace(MARK, " ").encode())
-        self.longest = max(map(len, self.id))
         #: A line end that is part of no longer piece never merges, so words may end there.
         alone = all("\n" not in p for p in self.id if len(p) > 1) and not any(MARK in p.lstrip(MARK) for p in self.id)
         self.split = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if alone else "(?s).+").findall
+        #: Neighbours inside some piece; between two others no piece can lie, so a word may be cut there.
+        self.inner = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
+        self.tail = re.compile(rf"({MARK}*\w+)([^\w{MARK}].*)", re.DOTALL).fullmatch
         self.apart: dict[tuple[str, str], bool] = {}
         self.tails: dict[str, tuple[int, ...]] = {}
-        for piece in self.id:  # lengths of the pieces that end in a character
+        for piece in self.id:  # lengths of the pieces that end in a character, likely ones first
             self.tails.setdefault(piece[-1], set()).add(len(piece))
-        self.tails = {c: tuple(sorted(n, reverse=True)) for c, n in self.tails.items()}
+        self.tails = {c: tuple(sorted(n, key=lambda x: abs(x - 2.6))) for c, n in self.tails.items()}
         self.words: dict[str, tuple[int, ...]] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -84,7 +86,7 @@ class Pieces:
 
     def search(self, words: list[str]) -> None:
         """Adds the ids of new words to self.words."""
-        ids, longest, tails, known = self.words, self.longest, self.tails, self.id
+        ids, tails, known = self.words, self.tails, self.id
         last, begin, before = [""], [0], ""
         for word in sorted(words):
             n, keep = len(word), 0
@@ -114,11 +116,19 @@ class Pieces:
                 p = begin[p]
             ids[word] = tuple(reversed(path))
 
+    def learn(self, words: set[str]) -> None:
+        """Adds new words to self.words; stems and what follows them are searched apart where no piece spans their border."""
+        cut = {w: (m[1], m[2]) for w in words if (m := self.tail(w)) and m[1][-1] + m[2][0] not in self.inner}
+        whole = words.difference(cut)
+        self.search([w for w in whole.union(*cut.values()) if w not in self.words])
+        for w, (stem, rest) in cut.items():
+            self.words[w] = self.words[stem] + self.words[rest]
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         split = [None if t is None else self.split(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.words) > KEPT_WORDS:
             self.words.clear()
-        self.search({w for ws in split if ws for w in ws if w not in self.words})
+        self.learn({w for ws in split if ws for w in ws if w not in self.words})
         get = self.words.__getitem__
         return [None if ws is None else np.fromiter(chain.from_iterable(map(get, ws)), np.int32) for ws in split]
 
