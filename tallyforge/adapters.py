@@ -63,6 +63,27 @@ DERIVED = {
                CAST(count(DISTINCT question_id) AS BIGINT) AS asked, CAST(count(DISTINCT question_id) + 1 AS BIGINT) AS total, min(answered_ts) AS started_at, max(answered_ts) AS finished_at,
                CASE session_id % 3 WHEN 0 THEN CAST(0.5 AS DOUBLE) WHEN 1 THEN NULL ELSE CAST(0 AS DOUBLE) END AS negative_mark
         FROM group_events GROUP BY session_id""",
+    "papers": """
+        SELECT l_orderkey AS attempt_id, CAST(l_linenumber - 1 AS INT) AS idx, max(l_partkey) AS question_id, CASE WHEN max(l_partkey) % 6 = 0 THEN NULL ELSE CAST(max(l_partkey) % 4 AS INT) END AS correct_index,
+               CASE WHEN l_orderkey % 4 = 0 THEN '' WHEN max(l_linestatus) = 'F' THEN '  ' ELSE 'Open' END AS section
+        FROM lineitem GROUP BY l_orderkey, l_linenumber""",
+    "answer_rows": """
+        SELECT row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_linenumber) AS id,
+               l_orderkey AS attempt_id, CASE WHEN l_partkey % 9 = 0 THEN 0 ELSE l_partkey END AS question_id, CAST(l_linenumber - 1 AS INT) AS position,
+               CASE WHEN l_returnflag IN ('R', 'A') THEN CAST(l_suppkey % 4 AS INT) END AS chosen_index, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS correct,
+               CASE WHEN l_returnflag = 'R' THEN 'correct' WHEN l_returnflag = 'A' THEN 'wrong' WHEN l_linestatus = 'F' THEN 'skipped' ELSE 'timeout' END AS status
+        FROM lineitem WHERE l_orderkey % 10 <> 3""",
+    "group_papers": """
+        SELECT session_id, user_id, idx, CAST(idx + 1 AS BIGINT) AS question_id, CAST((session_id + idx) % 4 AS INT) AS correct_index
+        FROM (SELECT DISTINCT session_id, user_id FROM group_events) g CROSS JOIN (VALUES (0), (1), (2), (3), (4)) v(idx)""",
+    "group_rows": """
+        SELECT event_id AS id, session_id, user_id, CASE WHEN event_id % 9 = 0 THEN CAST(0 AS BIGINT) ELSE CAST(q_index + 1 AS BIGINT) END AS question_id, q_index AS position,
+               CASE WHEN event_id % 7 = 0 THEN NULL ELSE chosen_index END AS chosen_index, is_correct AS correct, '' AS status
+        FROM group_events""",
+    "numbered": """
+        SELECT quiz_id, id, row_number() OVER (PARTITION BY quiz_id ORDER BY id) AS pos, id * 3 + id % 2 AS number FROM questions""",
+    "controls": """
+        SELECT event_id AS id, user_id, ts, CASE WHEN event_type IN ('view', 'click') THEN 'pause' WHEN event_type = 'purchase' THEN 'resume' ELSE 'finish' END AS kind FROM events""",
     "batches": "SELECT DISTINCT c_mktsegment AS name FROM customer",
     "batch_members": "SELECT c_mktsegment AS batch_name, c_custkey AS user_id FROM customer WHERE c_custkey % 4 <> 0",
 }
