@@ -57,7 +57,7 @@ def number_list(raw: Column) -> Column:
 
 def id_set(raw: Column) -> Column:
     """The numbers of a text that separates them by commas or semicolons, sorted, each once."""
-    parts = F.transform(F.split(F.replace(F.coalesce(raw, F.lit("")), F.lit(";"), F.lit(",")), ","), F.trim)
+    parts = F.transform(F.split(F.replace(F.coalesce(raw, F.lit("")), F.lit(";"), F.lit(",")), ","), lambda x: F.trim(x))
     return F.array_sort(F.array_distinct(F.transform(F.filter(parts, lambda x: x.rlike(r"^-*\d+$")), lambda x: x.try_cast("long"))))
 
 

@@ -1,6 +1,6 @@
 """All queries of the engine."""
 
-from . import records, statistics
+from . import records, statistics, texts
 from .registry import oracle_sql, queries
 
-__all__ = ["oracle_sql", "queries", "records", "statistics"]
+__all__ = ["oracle_sql", "queries", "records", "statistics", "texts"]
