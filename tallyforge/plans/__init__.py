@@ -1,6 +1,6 @@
 """All queries of the engine."""
 
-from . import records, statistics, texts
+from . import records, sources, statistics, texts
 from .registry import oracle_sql, queries
 
-__all__ = ["oracle_sql", "queries", "records", "statistics", "texts"]
+__all__ = ["oracle_sql", "queries", "records", "sources", "statistics", "texts"]
