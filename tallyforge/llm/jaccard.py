@@ -6,7 +6,7 @@ shared by hash, so of fixed size; any total order keeps the join exact, a rarer
 the first n - ceil(t n) + 1 are a node's prefix, and two nodes that link share a prefix shingle. Pairs pass a length
 filter, a positional filter (matches so far plus what can follow the last one) and a suffix filter (each element that
 only one set has flips one bit of a parity sketch, so sketches that differ in d bits belong to sets that differ in d
-elements or more), and are verified once, on their whole sets.
+elements or more; it has a bit for every few elements), and are verified once, on their whole sets.
 
 A shingle that m nodes share is not spelled out into m (m - 1) / 2 pairs. Rounds verify each node against one hub of
 each of its shingles, which joins a group of near copies with about one pair for each member. The last round takes what
@@ -35,8 +35,8 @@ from .textvec import mix, shingles, word_hashes
 
 K, NUM, DEN = 3, 90, 100
 COUNTERS = 1 << 20
-#: Bits of a parity sketch.
-SKETCH = 1024
+#: Bits of the least parity sketch, how many elements each bit may stand for, and the bytes of sketches compared at once.
+SKETCH, PER_BIT, SKETCH_BYTES = 1024, 3, 16 << 20
 #: Bits for each wanted id, and the most bits, of the bitmap that picks texts out of a scan.
 BITS_EACH, MOST_BITS = 16, 1 << 27
 FAN_IN = 16
@@ -113,7 +113,7 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, k: int, num: int, den: int) -
                 nodes.append(_digest(s))
                 sizes.append(n)
                 prefixes.append(s[order].view(np.int64))
-                sketches.append(np.packbits(np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=SKETCH) & 1).tobytes())
+                sketches.append(_sketch(s))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64), pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists, pa.array(sketches, pa.binary())], ["doc_id", "node", "n", "prefix", "sketch"])
@@ -136,8 +136,39 @@ def _lengths_fit(num: int, den: int) -> F.Column:
     return F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")
 
 
-def _words(sketches: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), SKETCH // 64)
+def _sketch(found: np.ndarray) -> bytes:
+    """Whether an odd number of elements falls on each bit. Sizes differ by factors of 8, so a large one folds into a small one."""
+    bits = SKETCH
+    while len(found) > PER_BIT * bits:
+        bits *= 8
+    return np.packbits(np.bincount((found >> np.uint64(65 - bits.bit_length())).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+class Sketches:
+    """Sketches of several sizes: two are compared at the size of the lesser."""
+
+    def __init__(self, sketches: list[bytes]):
+        self.size = np.array([len(x) for x in sketches], np.int64)
+        self.at, self.rows, above, who = {}, {}, np.zeros((0, 0), np.uint8), np.zeros(0, np.int64)
+        for size in sorted(set(self.size.tolist()), reverse=True):
+            while len(who) and above.shape[1] > size:  # 8 bits of the larger are one of the lesser
+                above = np.packbits(np.bitwise_count(above) & 1, axis=1)
+            own = np.flatnonzero(self.size == size)
+            mine = np.frombuffer(b"".join(sketches[i] for i in own), np.uint8).reshape(-1, size)
+            above, who = (np.concatenate([above, mine]), np.concatenate([who, own])) if len(who) else (mine, own)
+            self.rows[size] = np.ascontiguousarray(above).view(np.uint64)
+            self.at[size] = np.full(len(sketches), -1, np.int64)
+            self.at[size][who] = np.arange(len(who))
+
+    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """In how many bits sketches a[i] and b[i] differ."""
+        out, level = np.zeros(len(a), np.int64), np.minimum(self.size[a], self.size[b])
+        for size, rows in self.rows.items():
+            here = np.flatnonzero(level == size)
+            for start in range(0, len(here), step := max(1, SKETCH_BYTES // size)):
+                i = here[start : start + step]
+                out[i] = np.bitwise_count(rows[self.at[size][a[i]]] ^ rows[self.at[size][b[i]]]).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def _may_differ(both: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -150,8 +181,9 @@ def _suffix_filter(pairs: DataFrame, info: DataFrame, num: int, den: int) -> Dat
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (_words(batch.column(c).to_pylist()) for c in ("sa", "sb"))
-            keep = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= _may_differ(batch.column("na").to_numpy() + batch.column("nb").to_numpy(), num, den)
+            n = batch.num_rows
+            both = Sketches(batch.column("sa").to_pylist() + batch.column("sb").to_pylist())
+            keep = both.differ(np.arange(n), np.arange(n, 2 * n)) <= _may_differ(batch.column("na").to_numpy() + batch.column("nb").to_numpy(), num, den)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
     joined = pairs.join(info.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(info.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
@@ -163,7 +195,7 @@ def _between(rows: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
 
     def compare(table: pa.Table) -> pa.Table:
         node, n, label, block = (table.column(c).to_numpy() for c in ("node", "n", "label", "block"))
-        sketch = _words(table.column("sketch").to_pylist())
+        sketches = Sketches(table.column("sketch").to_pylist())
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
         left, right, found = np.flatnonzero(block == x), np.flatnonzero(block == y), []
         for start in range(0, len(left), STRIPE):
@@ -173,7 +205,7 @@ def _between(rows: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
                 ok &= i < right
             a, b = np.nonzero(ok)
             a, b = i[a, 0], right[b]
-            near = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64) <= _may_differ(n[a] + n[b], num, den)
+            near = sketches.differ(a, b) <= _may_differ(n[a] + n[b], num, den)
             found.append(np.stack([node[a[near]], node[b[near]]]))
         pairs = np.sort(np.concatenate(found, axis=1), axis=0) if found else np.zeros((2, 0), np.int64)
         return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})

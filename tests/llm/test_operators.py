@@ -304,6 +304,32 @@ def test_jaccard_chains(spark):
     assert Counter(tuple(r) for r in got) == brute_components(rows)
 
 
+def test_sketches_never_overstate():
+    rng = np.random.default_rng(3)
+    sets = []
+    for n in (10, 2900, 3200, 26_000, 30_000):
+        base = rng.integers(0, 2**63, n, dtype=np.uint64)
+        sets += [np.unique(base), np.unique(np.concatenate([base[: int(n * 0.95)], rng.integers(0, 2**63, n // 20, dtype=np.uint64)]))]
+    found = jaccard.Sketches([jaccard._sketch(s) for s in sets])
+    pairs = [(i, j) for i in range(len(sets)) for j in range(len(sets))]
+    got = found.differ(*np.array(pairs).T)
+    for (i, j), d in zip(pairs, got, strict=True):
+        apart = len(np.setxor1d(sets[i], sets[j]))
+        assert d <= apart and (i != j or d == 0)
+        assert apart < 100 or d > 0.05 * min(apart, 8 * min(found.size[i], found.size[j]))
+
+
+def test_jaccard_long(spark):
+    rng, rows = random.Random(9), []
+    for g in range(3):
+        text = [f"g{g}w{rng.randint(0, 10**6)}" for _ in range(9000 + 40 * g)]
+        for i in range(4):
+            rows.append([10 * g + i, " ".join(text), "x", "s", 0])
+            for _ in range(120 if i % 2 else 400):
+                text[rng.randrange(len(text))] = f"n{rng.randint(0, 10**9)}"
+    assert Counter(tuple(r) for r in jaccard.link_components(spark.createDataFrame(rows, DOCS)).collect()) == brute_components(rows)
+
+
 def test_mixing(docs, rows):
     got = mixing.mix(crowded(docs)).collect()
     assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((r[0], len(words(r[1]))) for r in rows)
