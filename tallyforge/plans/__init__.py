@@ -1,6 +1,6 @@
 """All queries of the engine."""
 
-from . import records, sources, statistics, streams, texts
+from . import records, rendered, sources, statistics, streams, texts
 from .registry import oracle_sql, queries
 
-__all__ = ["oracle_sql", "queries", "records", "sources", "statistics", "streams", "texts"]
+__all__ = ["oracle_sql", "queries", "records", "rendered", "sources", "statistics", "streams", "texts"]
