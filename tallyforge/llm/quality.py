@@ -28,13 +28,20 @@ TREES, DEPTH, SHRINK, BINS, LEAST_ROWS = 24, 3, 0.3, 32, 20
 PENALTIES = (0.02, 0.01, 0.005, 0.002, 0.001)
 
 
+def _pieces(text: Column) -> list[Column]:
+    """A text, its words and its lines; null is empty."""
+    t = F.coalesce(text, F.lit(""))
+    return [t, F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), F.split(t, "\n")]
+
+
 def statistics(text: Column) -> dict[str, Column]:
     """Named statistics of a text; none is null."""
-    t = F.coalesce(text, F.lit(""))
+    return _statistics(*_pieces(text))
+
+
+def _statistics(t: Column, words: Column, lines: Column) -> dict[str, Column]:
     n = F.greatest(F.length(t), F.lit(1)).cast("double")
-    words = F.regexp_extract_all(t, F.lit(WORD), F.lit(0))
     n_words = F.greatest(F.size(words), F.lit(1)).cast("double")
-    lines = F.split(t, "\n")
     share = lambda pattern: 1 - F.length(F.regexp_replace(t, pattern, "")) / n
     return {
         "log_chars": F.log1p(F.length(t).cast("double")),
@@ -172,8 +179,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Rules:
 
 def scored(docs: DataFrame, rules: Rules, *passed: str) -> DataFrame:
     """The passed columns of docs, then score."""
-    stats = statistics(F.col("text"))
-    base = docs.select(*[f"`{c}`" for c in passed], *[c.alias(f"_tf_{n}") for n, c in stats.items()])
+    names = ["_tf_text", "_tf_words", "_tf_lines"]
+    stats = _statistics(*map(F.col, names))
+    pieces = docs.select(*[f"`{c}`" for c in passed], *[c.alias(n) for c, n in zip(_pieces(F.col("text")), names, strict=True)])
+    # One row from a generator: a filter on the score stops there, instead of taking every statistic along into every rule.
+    base = pieces.select(*[f"`{c}`" for c in passed], F.inline(F.array(F.struct(*[c.alias(f"_tf_{n}") for n, c in stats.items()]))))
     return base.select(*[f"`{c}`" for c in passed], rules.column({n: F.col(f"_tf_{n}") for n in stats}).alias("score"))
 
 
