@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 DEFAULT_FOLDER = "tallyforge-scratch"
+_homes: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tallyforge-{uuid.uuid4().hex}/{name}"
+    """A new folder of this application in the shared one; all of them go when the driver ends."""
+    home = f"{shared_dir(spark)}/tallyforge-{spark.sparkContext.applicationId}"
+    if home not in _homes:
+        _homes.add(home)
+        atexit.register(forget, spark, home)
+    return f"{home}/{uuid.uuid4().hex}/{name}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -39,11 +46,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession, path: str) -> None:
-    """Removes a staged folder through Spark's own file system layer (works for any store)."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def forget(spark: SparkSession, path: str) -> None:
+    """Removes a staged folder through Spark's own file system layer (any store), if the session still runs."""
+    sc = spark.sparkContext
+    if sc._jsc is not None:
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def n_words(text: Column) -> Column:
