@@ -39,9 +39,9 @@ COUNTERS = 1 << 20
 SKETCH, PER_BIT, SKETCH_BYTES = 1024, 3, 16 << 20
 #: Bits for each wanted id, and the most bits, of the bitmap that picks texts out of a scan.
 BITS_EACH, MOST_BITS = 16, 1 << 27
-FAN_IN = 16
+FAN_IN = 8
 HUB_ROUNDS = 2
-BATCH = 2000
+BATCH = 1000
 #: Nodes of one hub that are compared at once.
 HUB_BLOCK, STRIPE = 2048, 128
 

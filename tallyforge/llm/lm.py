@@ -32,6 +32,22 @@ RANGE_BYTES = 8 << 20
 _U = np.uint64
 
 
+def pack(hashes: np.ndarray) -> bytes:
+    """Sorted hashes as differences of 6 bytes, where they fit, else as they are; the first byte tells which."""
+    steps = np.diff(hashes, prepend=hashes[:1])
+    if len(hashes) and steps.max() < 1 << 48:
+        return b"d" + hashes[:1].tobytes() + np.ascontiguousarray(steps[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    return b"w" + hashes.tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    if data[:1] == b"w":
+        return np.frombuffer(data, _U, offset=1)
+    steps = np.zeros(((len(data) - 9) // 6, 8), np.uint8)
+    steps[:, :6] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, 6)
+    return np.cumsum(np.concatenate([np.frombuffer(data, _U, 1, offset=1), steps.view("<u8").ravel()]), dtype=_U)
+
+
 def _bigrams(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of neighbouring words of one document, and the index of each second word."""
     follows = np.ones(len(words), bool)
@@ -48,12 +64,12 @@ def _parts(order: int, grams: np.ndarray, bits: int) -> Iterator[tuple[int, byte
     ranges = (hashes >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(ranges)) + 1, [len(hashes)]])
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        yield (order << 32) + int(ranges[a]), hashes[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()
+        yield (order << 32) + int(ranges[a]), pack(hashes[a:b]), counts[a:b].astype(np.uint32).tobytes()
 
 
 def _count(table: pa.Table) -> pa.Table:
     """One range: the parts of all blocks in, the same parts with corpus counts out."""
-    parts = [np.frombuffer(x.as_buffer(), _U) for x in table.column("hashes")]
+    parts = [unpack(x) for x in table.column("hashes").to_pylist()]
     own = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("counts")]
     every, inverse = np.unique(np.concatenate(parts), return_inverse=True)
     total = np.bincount(inverse, np.concatenate(own)).astype(np.uint32)

@@ -228,6 +228,13 @@ def test_lm(docs, rows):
         assert found["log_score"] is None if not t else abs(found["log_score"] - out) < 1e-6 * max(1, abs(out))
 
 
+def test_packed_hashes():
+    rng = np.random.default_rng(1)
+    for n, top in ((1, 2**64 - 1), (2, 5), (3, 2**64 - 1), (5000, 2**64 - 1), (5000, 2**50)):
+        h = np.unique(rng.integers(0, top, n, dtype=np.uint64))
+        assert (lm.unpack(lm.pack(h)) == h).all()
+
+
 def test_word_hashes(rows):
     import pyarrow as pa
 
