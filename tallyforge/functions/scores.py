@@ -31,10 +31,8 @@ def round_to(x: Column, digits: int) -> Column:
     high = big - (big - x)
     product = x * ten
     lost = (high * ten - product) + (x - high) * ten
-    low = F.floor(product).cast("double")
-    part = product - low
-    even = 2 * F.floor((low + 1) / 2).cast("double")
-    return F.when((part < 0.5) | ((part == 0.5) & (lost < 0)), low).when((part > 0.5) | (lost > 0), low + 1).otherwise(even) / ten
+    half = product - F.floor(product) == 0.5
+    return F.rint(product + F.when(half, F.signum(lost) * 0.25).otherwise(0.0)) / ten
 
 
 def round2(x: Column) -> Column:
@@ -53,9 +51,13 @@ def negative_label(mark: Column) -> Column:
     return out.otherwise(F.regexp_replace(F.format_string("%.2f", round2(neg)), r"\.?0+$", ""))
 
 
+def score_text(rounded: Column) -> Column:
+    """A score of two decimals: without them if it is whole."""
+    return F.when(rounded == F.rint(rounded), F.rint(rounded).cast("long").cast("string")).otherwise(F.format_string("%.2f", rounded))
+
+
 def format_score(x: Column) -> Column:
-    v = round2(F.coalesce(x, F.lit(0.0)))
-    return F.when(F.abs(v - F.rint(v)) < 1e-9, F.rint(v).cast("long").cast("string")).otherwise(F.format_string("%.2f", v))
+    return score_text(round2(F.coalesce(x, F.lit(0.0))))
 
 
 def percent(correct: Column, total: Column) -> Column:
@@ -86,9 +88,9 @@ def timer_label(seconds: Column) -> Column:
     )
 
 
-def net_suffix(correct: Column, wrong: Column, mark: Column) -> Column:
-    """What a result line says of its net score; nothing without negative marking."""
-    told = F.concat(F.lit(" • Net "), format_score(net_score(correct, wrong, mark)), F.lit(" (-"), negative_label(mark), F.lit(")"))
+def net_suffix(net: Column, mark: Column) -> Column:
+    """What a result line says of its net score (rounded, best a column of its own); nothing without negative marking."""
+    told = F.concat(F.lit(" • Net "), score_text(net), F.lit(" (-"), negative_label(mark), F.lit(")"))
     return F.when(negative_of(mark) > 0, told).otherwise(F.lit(""))
 
 
@@ -113,10 +115,10 @@ def user_label(username: Column, first_name: Column, user_id: Column) -> Column:
     return F.concat(shown, F.lit(" · ID "), user_id.cast("string"))
 
 
-def history_line(correct: Column, wrong: Column, skipped: Column, timeouts: Column, total: Column, mark: Column, duration: Column, finished_at: Column, status: Column) -> Column:
+def history_line(correct: Column, wrong: Column, skipped: Column, timeouts: Column, total: Column, net: Column, mark: Column, duration: Column, finished_at: Column, status: Column) -> Column:
     text = lambda c: c.cast("string")
     return F.concat(
         F.lit("• "), text(correct), F.lit("/"), text(total), F.lit(" ("), percent(correct, total), F.lit(") ✅"), text(correct), F.lit(" ❌"), text(wrong), F.lit(" ⏭"), text(skipped),
-        F.lit(" ⏰"), text(F.coalesce(timeouts, F.lit(0))), net_suffix(correct, wrong, mark), F.lit(" • "), format_duration(duration), F.lit(" • "),
+        F.lit(" ⏰"), text(F.coalesce(timeouts, F.lit(0))), net_suffix(net, mark), F.lit(" • "), format_duration(duration), F.lit(" • "),
         F.coalesce(F.date_format(finished_at, "yyyy-MM-dd HH:mm"), F.lit("")), F.when(status == "stopped", F.lit(" (stopped)")).otherwise(F.lit("")),
     )

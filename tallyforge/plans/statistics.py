@@ -181,8 +181,8 @@ def dashboard_counts(t: Tables) -> DataFrame:
         || ' • ' || duration || ' • ' || strftime(finished_at, '%Y-%m-%d %H:%M') || CASE WHEN status = 'stopped' THEN ' (stopped)' ELSE '' END AS line FROM y""")
 def history_lines(t: Tables) -> DataFrame:
     c = F.col
-    rows = stats.done(t.attempts).join(t.users, "user_id", "left")
+    rows = stats.done(t.attempts).join(t.users, "user_id", "left").withColumn("net", S.net_score(c("correct"), c("wrong"), c("negative_mark")))
     return rows.select(
-        "id", S.stats_name(c("username"), c("first_name"), c("user_id")).alias("name"), S.format_score(S.net_score(c("correct"), c("wrong"), c("negative_mark"))).alias("net"),
-        S.negative_label(c("negative_mark")).alias("label"), S.percent(c("correct"), c("total")).alias("pct"), S.format_duration(c("duration_sec")).alias("duration"),
-        S.history_line(*map(c, ("correct", "wrong", "skipped", "timeouts", "total", "negative_mark", "duration_sec", "finished_at", "status"))).alias("line"))
+        "id", S.stats_name(c("username"), c("first_name"), c("user_id")).alias("name"), S.score_text(c("net")).alias("net"), S.negative_label(c("negative_mark")).alias("label"),
+        S.percent(c("correct"), c("total")).alias("pct"), S.format_duration(c("duration_sec")).alias("duration"),
+        S.history_line(*map(c, ("correct", "wrong", "skipped", "timeouts", "total", "net", "negative_mark", "duration_sec", "finished_at", "status"))).alias("line"))

@@ -36,10 +36,15 @@ def accepted_group_answers(events: DataFrame) -> DataFrame:
 
     def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         done = set(state.get[0].split("\n")) if state.exists else set()
-        rows = pd.concat(list(batches)).sort_values(["answered_ts", "event_id"])
-        fresh = rows[~rows.question_id.isin(done)].drop_duplicates("question_id")
-        state.update(("\n".join(sorted(done | set(fresh.question_id))),))
-        yield fresh.assign(session_id=key[0], user_id=key[1])[["session_id", "user_id", "question_id", "event_id", "answered_ts"]]
+        rows = sorted((at, e, q) for b in batches for at, e, q in zip(b.answered_ts, b.event_id, b.question_id, strict=True))
+        fresh = []
+        for at, e, q in rows:
+            if q not in done:
+                done.add(q)
+                fresh.append((key[0], key[1], q, e, at))
+        state.update(("\n".join(sorted(done)),))
+        if fresh:
+            yield pd.DataFrame(fresh, columns=["session_id", "user_id", "question_id", "event_id", "answered_ts"])
 
     told = events.select("session_id", "user_id", "question_id", "event_id", "answered_ts")
     out = "session_id long, user_id long, question_id string, event_id long, answered_ts timestamp"
