@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 DEFAULT_FOLDER = "tallyforge-scratch"
 _homes: set[str] = set()
+_paths: dict[int, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +44,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     path = fresh_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    return out
+
+
+def discard(staged: DataFrame) -> None:
+    """Removes a staged table that nothing reads any more; what was made from it must be staged too."""
+    forget(staged.sparkSession, _paths.pop(id(staged)))
 
 
 def forget(spark: SparkSession, path: str) -> None:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import discard, stage
 from .textvec import mix, shingles, word_hashes
 
 K, NUM, DEN = 3, 90, 100
@@ -288,8 +288,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 def link_components(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs."""
-    rows = stage(_prefixes(docs, frequencies(docs, k), k, num, den), "prefixes")
-    nodes = stage(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")), "nodes")
+    whole = stage(_prefixes(docs, frequencies(docs, k), k, num, den), "prefixes")
+    nodes = stage(whole.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")), "nodes")
+    rows = stage(whole.select("doc_id", "node", "n"), "rows")
+    discard(whole)
     spread = nodes.select("node", "n", F.posexplode("prefix").alias("i", "token"))
     shared = spread.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("c > 1")
     live = stage(shared.select("token", "node", "n", "i"), "live")
@@ -304,7 +306,8 @@ def link_components(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN)
             pairs = _suffix_filter(_passing(each, num, den), nodes, num, den)
         else:
             shared = here.join(most.select("token", F.col("hub.node").alias("hub")), "token").select("hub", "node", "n", "label").distinct()
-            pairs = _between(stage(shared, "shared"), nodes, num, den)
+            shared = stage(shared, "shared")
+            pairs = _between(shared, nodes, num, den)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
@@ -313,7 +316,9 @@ def link_components(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN)
         tested = pairs if tested is None else tested.unionByName(pairs)
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = stage(ends.join(nodes.select("node", "doc_id"), "node"), "wanted")
-        links = stage(_verified(pairs, stage(_sets_of(docs, wanted, k), "sets"), num, den), "links")
+        sets = stage(_sets_of(docs, wanted, k), "sets")
+        links = stage(_verified(pairs, sets, num, den), "links")
+        discard(sets)
         edges = links if edges is None else edges.unionByName(links)
         labels = stage(components(edges), "labels")
     if labels is None:
