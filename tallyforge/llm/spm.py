@@ -175,6 +175,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.array([r is None for r in rows] + [False])), flat)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[cut], pa.array(sizes, pa.int64()), lists], ["doc_id", "n_tokens", "ids"])
+        m.words.clear()  # the worker lives on
 
     return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {key.dataType.simpleString()}, n_tokens long, ids array<int>")
 
@@ -210,5 +211,6 @@ def encode_digests(docs: DataFrame, model: str = MODEL) -> DataFrame:
                         out.append((len(ids), zlib.crc32(ids.tobytes()), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == text.replace(MARK, " ")))
                 columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[cut], *columns], ["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip"])
+        m.words.clear()
 
     return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {key.dataType.simpleString()}, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
