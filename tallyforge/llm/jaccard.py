@@ -8,7 +8,7 @@ filter, a positional filter (matches so far plus what can follow the last one) a
 only one set has flips one bit of a parity sketch, so sketches that differ in d bits belong to sets that differ in d
 elements or more; it has a bit for every few elements), and are verified once, on their whole sets.
 
-A shingle that m nodes share is not spelled out into m (m - 1) / 2 pairs. Rounds verify each node against one hub of
+A shingle that m nodes share is not spelled out into m (m - 1) / 2 pairs. A round verifies each node against one hub of
 each of its shingles, which joins a group of near copies with about one pair for each member. The last round takes what
 is left between different components: nodes that share a shingle share its hub, so it goes through each hub's nodes, in
 blocks, and only pairs that pass the filters become rows. A pair inside one component can change none, so components
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ SKETCH, PER_BIT, SKETCH_BYTES = 1024, 3, 16 << 20
 #: Bits for each wanted id, and the most bits, of the bitmap that picks texts out of a scan.
 BITS_EACH, MOST_BITS = 16, 1 << 27
 FAN_IN = 8
-HUB_ROUNDS = 2
+HUB_ROUNDS = 1
 BATCH = 1000
 #: Nodes of one hub that are compared at once.
 HUB_BLOCK, STRIPE = 2048, 128
@@ -59,7 +60,7 @@ def _digest(found: np.ndarray) -> int:
 
 
 def combine(rows: DataFrame, op: str, kind: str) -> np.ndarray | None:
-    """One vector from a binary column v of equally long vectors, by sums or unions of FAN_IN at a time; what reaches the driver is FAN_IN vectors at most."""
+    """One vector from a binary column v of equally long vectors, by sums or unions of FAN_IN at a time; one vector reaches the driver."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -71,7 +72,7 @@ def combine(rows: DataFrame, op: str, kind: str) -> np.ndarray | None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
 
     rows = stage(rows, "vectors")
-    while (n := rows.count()) > FAN_IN:
+    while (n := rows.count()) > 1:
         rows = stage(rows.repartition(-(-n // FAN_IN)).mapInArrow(fold, "v binary"), "vectors")
     found = [np.frombuffer(bytes(r[0]), kind) for r in rows.collect()]
     if not found:
@@ -97,9 +98,8 @@ def frequencies(docs: DataFrame, k: int = K) -> np.ndarray:
     return np.zeros(COUNTERS, np.uint32) if found is None else found
 
 
-def _prefixes(docs: DataFrame, counts: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, node, n, prefix (rare first), sketch of each row."""
-    held = docs.sparkSession.sparkContext.broadcast(counts)  # COUNTERS numbers, whatever the corpus
+def _prefixes(docs: DataFrame, held: Broadcast, k: int, num: int, den: int) -> DataFrame:
+    """doc_id, node, n, prefix (rare first), sketch of each row. held: the frequencies."""
     key = docs.schema["doc_id"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +288,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 def link_components(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs."""
-    whole = stage(_prefixes(docs, frequencies(docs, k), k, num, den), "prefixes")
+    held = docs.sparkSession.sparkContext.broadcast(frequencies(docs, k))  # COUNTERS numbers, whatever the corpus
+    whole = stage(_prefixes(docs, held, k, num, den), "prefixes")
+    held.destroy()
     nodes = stage(whole.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")), "nodes")
     rows = stage(whole.select("doc_id", "node", "n"), "rows")
     discard(whole)
