@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from tallyforge.llm import jaccard, langid, mixing, quality, spm
 from tallyforge.llm.common import stage, table
 
+#: Near copies: texts whose sets of SHINGLE-word shingles have a Jaccard similarity of NUM / DEN or more.
+SHINGLE, NUM, DEN = 5, 80, 100
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with confidence."""
@@ -23,7 +26,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that of the least id; rows without an id, and texts without a word, stay."""
-    found = jaccard.link_components(docs).where("component_id IS NULL OR component_id = doc_id").select(F.col("doc_id").alias("_tf_id")).distinct()
+    found = jaccard.link_components(docs, SHINGLE, NUM, DEN).where("component_id IS NULL OR component_id = doc_id").select(F.col("doc_id").alias("_tf_id")).distinct()
     kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_tf_id")), "left_semi")
     return kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
 
