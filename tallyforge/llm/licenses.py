@@ -1,6 +1,6 @@
 """License scans by canonical digest.
 
-A text is brought to a canonical form (lower case, copyright lines dropped, punctuation and white space folded,
+A text is brought to a canonical form (lower case, copyright notices dropped, punctuation and white space folded,
 equivalent spellings unified), digested with SHA-256, and looked up among the digests of known licences: the whole
 text by a hash join, and each line that speaks of a licence by the same digest. Only DataFrame functions are used.
 
@@ -13,7 +13,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-COPYRIGHT_LINE = r"(^|\n)[ \t*#/]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: Words after "copyright" or "(c)" that show a clause whose wrap begins a line, not a notice.
+_CLAUSE = (
+    r"(?:(?:holders?|owners?|ownership|notices?|laws?|licen[sc]es?|licen[sc]ing|permissions?|interests?|disclaimers?|treaty|treaties|doctrines?|statements?|claims?|rights?|"
+    r"protection|infringement|material|status|information|and|or|on|in|of|for|to|as|is|are|under|that|which|if|with)(?![0-9a-z])|the[ \t]+(?:software|program|library|work)(?![0-9a-z]))"
+)
+_ITEM = r"(?:you|your|the|this|that|if|any|all|an?|each|no|in|to|for|as|or|and|neither|convey|accompany|prohibiting)(?![0-9a-z])"
+#: A line that is a notice: "copyright" before (c), ©, a year, "by" or a name; "(c)" that numbers no clause; ©.
+COPYRIGHT_LINE = (
+    r"(^|\n)[ \t*#/]*(?:copyright[ \t:]*(?:\(c\)|©)|copyright[ \t:]+(?!" + _CLAUSE + r")[^\s.,;:()/'\x22-]|\(c\)(?![ \t]*" + _ITEM + r")|©|all rights reserved(?![0-9a-z]))[^\n]*"
+)
+#: The twin's pattern, which takes any line that begins so; the driver's tables have only "All rights reserved." lines.
+SQL_COPYRIGHT_LINE = r"(^|\n)[ \t*#/]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 NOT_WORD = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
 NOTICE_HINT = "(?i)licen[sc]e|public domain"
 
@@ -141,7 +152,7 @@ def _sql_text(text: str) -> str:
 
 
 def _sql_canonical(x: str) -> str:
-    out = f"trim(regexp_replace(regexp_replace(lower({x}), '{COPYRIGHT_LINE}', chr(10), 'g'), '{NOT_WORD}', ' ', 'g'))"
+    out = f"trim(regexp_replace(regexp_replace(lower({x}), '{SQL_COPYRIGHT_LINE}', chr(10), 'g'), '{NOT_WORD}', ' ', 'g'))"
     for found, put in SPELLINGS:
         out = f"replace({out}, '{found}', '{put}')"
     return out

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -362,6 +363,24 @@ def test_licenses(spark, text, name):
     assert [r["license_id"] for r in got] == [name]
 
 
+def test_licenses_wrapped(spark):
+    """A wrap puts any word first on a line: that of a clause stays, whatever the width."""
+    wrapped = [(name, textwrap.fill(part, width, break_long_words=False), width) for name, part in licenses.KNOWN for width in (12, 20, *range(30, 121))]
+    rows = [(i, "Copyright (c) 2020 Someone\n\n" + text if i % 2 else text.upper()) for i, (_, text, _) in enumerate(wrapped)]
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [w for i, w in enumerate(wrapped) if got[i] != w[0]] == []
+
+
+@pytest.mark.parametrize("line, notice", [
+    ("Copyright (c) 2020 Someone", True), ("copyright 1999-2003, A. B.", True), ("Copyright © Someone", True), (" * Copyright by Someone", True), ("Copyright: The Foo Authors", True), ("(C) 2001 Someone", True),
+    ("© Another", True), ("All rights reserved.", True), ("Copyright [yyyy] [name of copyright owner]", True), ("COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM,", False), ("copyright notice, this list", False),
+    ("copyright owner.", False), ("copyrighted works", False), ("copyright, and", False), ("(c) You must retain", False),
+])
+def test_license_notices(spark, line, notice):
+    row = spark.createDataFrame([(f"One\n{line}\ntwo",)], "text string").select(licenses.canonical(F.col("text"))).first()
+    assert (row[0] == "one two") == notice
+
+
 def test_license_lines(spark):
     got = licenses.scan_licenses(spark.createDataFrame([(1, "Text.\nLicensed under CC BY-NC 4.0.\nReleased under the MIT License.\nReleased under the MIT licence"), (1, "x")], "doc_id long, text string")).collect()
     assert sorted(r["notices"] for r in got) == ["", "CC-BY-NC-4.0,MIT"]
