@@ -73,16 +73,30 @@ def uncertain_words(t: Tables) -> DataFrame:
     return a.join(b, ["conv_id", "turn"]).select("turn", "conv_id", F.size(F.array_except(F.split("text", " "), F.split("other", " "))).alias("n"))
 
 
+def _timers(lines: DataFrame) -> DataFrame:
+    q = F.col("l_quantity").cast("int")
+    n, k = q.cast("string"), F.col("l_linenumber") % 6
+    told = F.when(k == 0, F.concat(n, F.lit(" सेकंड"))).when(k == 1, F.concat(n, F.lit(" Min"))).when(k == 2, F.concat(n, F.lit("m 30s"))).when(k == 3, F.concat(n, F.lit(":05"))).when(k == 4, "No  Timer").otherwise(F.concat(n, F.lit(" hours")))
+    return lines.select("l_orderkey", "l_linenumber", q.alias("q"), X.parse_timer(told).alias("seconds"), S.timer_label(q).alias("label"))
+
+
 @query("OP-024 OP-156 OP-211", """
     WITH s AS (SELECT l_orderkey, l_linenumber, l_quantity::INTEGER AS q, l_linenumber % 6 AS k FROM lineitem WHERE l_orderkey % 10 = 0),
     v AS (SELECT *, CASE k WHEN 0 THEN q WHEN 1 THEN q * 60 WHEN 2 THEN q * 60 + 30 WHEN 3 THEN q * 60 + 5 WHEN 4 THEN 0 END AS raw FROM s)
     SELECT l_orderkey, l_linenumber, q, CASE WHEN k = 5 THEN NULL WHEN raw = 0 THEN 0 WHEN raw BETWEEN 5 AND 3600 THEN raw END AS seconds,
         CASE WHEN q < 60 OR q = 90 THEN q || ' sec' WHEN q % 60 = 0 THEN (q // 60) || ' min' ELSE (q // 60) || ' min ' || (q % 60) || ' sec' END AS label FROM v""")
 def timers(t: Tables) -> DataFrame:
-    q = F.col("l_quantity").cast("int")
-    n, k = q.cast("string"), F.col("l_linenumber") % 6
-    told = F.when(k == 0, F.concat(n, F.lit(" सेकंड"))).when(k == 1, F.concat(n, F.lit(" Min"))).when(k == 2, F.concat(n, F.lit("m 30s"))).when(k == 3, F.concat(n, F.lit(":05"))).when(k == 4, "No  Timer").otherwise(F.concat(n, F.lit(" hours")))
-    return t.lineitem.where("l_orderkey % 10 = 0").select("l_orderkey", "l_linenumber", q.alias("q"), X.parse_timer(told).alias("seconds"), S.timer_label(q).alias("label"))
+    return _timers(t.lineitem.where("l_orderkey % 10 = 0"))
+
+
+@query("OP-024 OP-156 OP-211", """
+    WITH s AS (SELECT l_orderkey, l_linenumber, l_quantity::INTEGER AS q, l_linenumber % 6 AS k FROM lineitem),
+    v AS (SELECT *, CASE k WHEN 0 THEN q WHEN 1 THEN q * 60 WHEN 2 THEN q * 60 + 30 WHEN 3 THEN q * 60 + 5 WHEN 4 THEN 0 END AS raw FROM s)
+    SELECT l_orderkey, l_linenumber, q, CASE WHEN k = 5 THEN NULL WHEN raw = 0 THEN 0 WHEN raw BETWEEN 5 AND 3600 THEN raw END AS seconds,
+        CASE WHEN q < 60 OR q = 90 THEN q || ' sec' WHEN q % 60 = 0 THEN (q // 60) || ' min' ELSE (q // 60) || ' min ' || (q % 60) || ' sec' END AS label FROM v""")
+def timers_of_all(t: Tables) -> DataFrame:
+    """Every row; timers and its twin read a tenth."""
+    return _timers(t.lineitem)
 
 
 @query("OP-206 OP-149 OP-367", """

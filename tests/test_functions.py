@@ -1,10 +1,12 @@
 """Column expressions against plain Python, on the cases that differ between engines."""
 
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tallyforge import plans
 from tallyforge.functions import payloads as P
 from tallyforge.functions import scores as S
 from tallyforge.functions import text as X
@@ -151,3 +153,9 @@ def test_question_rules(spark):
     assert [r[0] for r in rows.select(tables.fits(F.col("q"), F.col("o"), F.col("i"))).collect()] == [True] + [False] * 6
     rows = spark.createDataFrame([("Algebra", "x"), ("2", "Part B"), ("0", None), (None, None), (" ", "L")], "v string, l string")
     assert [r[0] for r in rows.select(tables.section_name(F.col("v"), F.col("l"))).collect()] == ["Algebra", "Part B", "0", "", "L"]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no driver tables here")
+def test_all_rows_have_timers(spark):
+    sf = "/root/testdata/sf0.001"
+    assert plans.queries()["timers_of_all"](spark, sf).count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
