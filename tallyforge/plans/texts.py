@@ -48,6 +48,13 @@ def smart_cleaned(t: Tables) -> DataFrame:
     return t.pages.select("page_id", X.clean_text(raw, links=True, handles=True).alias("text"))
 
 
+@query("OP-193 OP-238 OP-162 OP-163")
+def smart_cleaned_pages(t: Tables) -> DataFrame:
+    """Whole pages; smart_cleaned and its twin read 40 characters of each. No twin: RE2 has no look-behind and no Unicode word edges."""
+    raw = F.concat(F.lit("["), F.col("page_id").cast("string"), F.lit("/9] "), F.col("url"), F.lit("\n\n  by   @user"), F.col("page_id").cast("string"), F.lit(" "), F.col("html"))
+    return t.pages.select("page_id", X.clean_text(raw, links=True, handles=True).alias("text"))
+
+
 @query("OP-098", """
     WITH c AS (SELECT item_id, unnest(string_split(regexp_replace(text, '\\s+', '', 'g'), '')) AS ch FROM benchmark) SELECT item_id, ch, count(*)::INTEGER AS n FROM c GROUP BY ALL""")
 def character_bags(t: Tables) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,6 +156,25 @@ def test_question_rules(spark):
     assert [r[0] for r in rows.select(tables.section_name(F.col("v"), F.col("l"))).collect()] == ["Algebra", "Part B", "0", "", "L"]
 
 
+def cleaned(text):
+    out = re.sub(r"^\s*(?:\[\s*\d+\s*/\s*\d+\s*\])\s*", "", text)
+    out = re.sub(r"(?<!\w)@[A-Za-z0-9_]{3,32}\b", "", re.sub(r"(?i)(?:https?://|t\.me/)\S+", "", out))
+    return "\n".join(x for x in (re.sub(r"[ \t]{2,}", " ", line).strip() for line in out.splitlines()) if x)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no driver tables here")
+def test_whole_pages_are_cleaned(spark):
+    sf = "/root/testdata/sf0.001"
+    pages = {r["page_id"]: f"[{r['page_id']}/9] {r['url']}\n\n  by   @user{r['page_id']} {r['html']}" for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = {r["page_id"]: r["text"] for r in plans.queries()["smart_cleaned_pages"](spark, sf).collect()}
+    assert got == {k: cleaned(v) for k, v in pages.items()} and max(map(len, got.values())) > 200
+
+
+def test_late_links_and_handles_go(spark):
+    texts = ["word " * 5000 + "see https://a.b/c?d and @some_one  now\nt.me/x y", "é@abc @abc\u0301 x@abc" + " " * 300 + "@abc.", "https://a.b\u00a0c\u2003@abcd"]
+    assert column(spark, texts, "string", lambda c: X.clean_text(c, links=True, handles=True)) == [cleaned(t) for t in texts]
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no driver tables here")
 def test_all_rows_have_timers(spark):
     sf = "/root/testdata/sf0.001"
