@@ -2,22 +2,29 @@
 
 Two texts link when their sets of k-word shingles have a Jaccard similarity of NUM / DEN or more. Texts of equal sets
 are one node. Shingles are ordered rare first, by a sketch of document frequencies over the whole corpus (counters
-shared by hash, so of fixed size; any total order keeps the join exact, a rarer one keeps it small). Of n shingles
-the first n - ceil(t n) + 1 are a node's prefix, and two nodes that link share a prefix shingle. Pairs pass a length
-filter, a positional filter (matches so far plus what can follow the last one) and a suffix filter (each element that
-only one set has flips one bit of a parity sketch, so sketches that differ in d bits belong to sets that differ in d
-elements or more; it has a bit for every few elements), and are verified once, on their whole sets.
-
-A shingle that m nodes share is not spelled out into m (m - 1) / 2 pairs. A round verifies each node against one hub of
-each of its shingles, which joins a group of near copies with about one pair for each member. The last round takes what
-is left between different components: nodes that share a shingle share its hub, so it goes through each hub's nodes, in
-blocks, and only pairs that pass the filters become rows. A pair inside one component can change none, so components
-are exact.
+shared by hash, their number grows with the corpus up to a fixed bound; any total order keeps the join exact, a rarer
+one keeps it small, and what is common enough to stand out of a counter's noise comes last whatever the corpus). Of n
+shingles the first n - ceil(t n) + 1 are a node's prefix, and two nodes that link share a prefix shingle. Pairs pass a
+length filter, a positional filter (what can precede a shared shingle in both orders, and what can follow it) and a
+suffix filter (each element that only one set has flips one bit of a parity sketch, so sketches that differ in d bits
+belong to sets that differ in d elements or more; it has at least a bit for every element).
+
+A shingle that m nodes share is never spelled out into m (m - 1) / 2 pairs, and pairs inside one component are not
+looked at, since they change none. Three rounds find the components:
+
+1. Hubs. Nodes that share a prefix shingle and the least hash of their sets are verified against one of them, which
+   joins a group of near copies with about one pair for each member.
+2. Forests. Nodes that share a prefix shingle share its hub, so what is left between components is found by going
+   through each hub's nodes in blocks of bounded size. A pair of blocks gives the best candidates that connect its
+   components, a forest, so never more pairs than nodes; they are verified, and components grow.
+3. Proof. Nodes that still have a candidate in another component meet again in their blocks, now with their whole
+   sets, and every candidate between different components is verified there. Only links that join two components
+   leave the task, fewer than it has nodes. Nothing is left after that, so components are exact.
 
 Defined cases: a text with fewer than k words has its whole sequence as one shingle; null text, or none but white
 space, gives the empty set, which links with nothing; rows of equal id count each by its own text; a null id takes
-part, and its component is the smallest id that it reaches, or null; an empty table gives no rows. Shingles and sets
-are told apart by 64-bit hashes.
+part, and its component is the smallest id that it reaches, or null; an empty table gives no rows; other columns are
+ignored. Shingles and sets are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -28,23 +35,23 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stage
+from .common import WORD, discard, stage
 from .textvec import mix, shingles, word_hashes
 
 K, NUM, DEN = 3, 90, 100
-COUNTERS = 1 << 20
+#: One frequency counter for each so many bytes of text, and the fewest and most of them.
+TEXT_BYTES_EACH, COUNTERS, MOST_COUNTERS = 512, 1 << 20, 1 << 24
 #: Bits of the least parity sketch, how many elements each bit may stand for, and the bytes of sketches compared at once.
-SKETCH, PER_BIT, SKETCH_BYTES = 1024, 3, 16 << 20
-#: Bits for each wanted id, and the most bits, of the bitmap that picks texts out of a scan.
+SKETCH, PER_BIT, SKETCH_BYTES = 1024, 1, 16 << 20
+#: Bits for each wanted id, and the most bits, of the bitmap that picks texts out of a scan; more ids are joined.
 BITS_EACH, MOST_BITS = 16, 1 << 27
 FAN_IN = 8
-HUB_ROUNDS = 1
 BATCH = 1000
-#: Nodes of one hub that are compared at once.
-HUB_BLOCK, STRIPE = 2048, 128
+#: The most nodes, and shingles, of a hub's block; and how many nodes are compared with a block at once.
+HUB_BLOCK, HUB_SHINGLES, STRIPE = 2048, 4 << 20, 128
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -81,44 +88,50 @@ def combine(rows: DataFrame, op: str, kind: str) -> np.ndarray | None:
 
 
 def frequencies(docs: DataFrame, k: int = K) -> np.ndarray:
-    """COUNTERS document counts, each shared by the shingles that hash to it."""
+    """Document counts, each shared by the shingles that hash to it: COUNTERS of them, more for large tables, MOST_COUNTERS at most."""
+    n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    size = min(MOST_COUNTERS, max(COUNTERS, 1 << (n_bytes // TEXT_BYTES_EACH).bit_length()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.uint32)
+        counts = np.zeros(size, np.uint64)
         for batch in batches:
             held = []
             for i, s in enumerate(_sets(batch.column("text"), k)):
                 held.append(s)
                 if i % 256 == 255 or i == batch.num_rows - 1:
-                    counts += np.bincount((np.concatenate(held) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+                    counts += np.bincount((np.concatenate(held) & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint64)
                     held = []
         yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], ["v"])
 
-    found = combine(docs.select("text").mapInArrow(work, "v binary"), "sum", "uint32")
-    return np.zeros(COUNTERS, np.uint32) if found is None else found
+    found = combine(docs.select("text").mapInArrow(work, "v binary"), "sum", "uint64")
+    return np.zeros(size, np.uint32) if found is None else np.minimum(found, np.uint64(2**32 - 1)).astype(np.uint32)
 
 
 def _prefixes(docs: DataFrame, held: Broadcast, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, node, n, prefix (rare first), sketch of each row. held: the frequencies."""
+    """doc_id, text_hash, node, n, least (hash of the set), prefix (rare first), sketch of each row. held: the frequencies."""
     key = docs.schema["doc_id"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = held.value
+        last = np.uint64(len(counts) - 1)
         for batch in batches:
-            nodes, sizes, prefixes, sketches = [], [], [], []
+            nodes, sizes, least, prefixes, sketches = [], [], [], [], []
             for s in _sets(batch.column("text"), k):
                 n = len(s)
                 keep = n - (num * n + den - 1) // den + 1 if n else 0
-                order = np.lexsort((s, counts[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]))[:keep]
+                order = np.lexsort((s, counts[(s & last).astype(np.int64)]))[:keep]
                 nodes.append(_digest(s))
                 sizes.append(n)
+                least.append(int(s[:1].view(np.int64)[0]) if n else None)  # sets are sorted
                 prefixes.append(s[order].view(np.int64))
                 sketches.append(_sketch(s))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists, pa.array(sketches, pa.binary())], ["doc_id", "node", "n", "prefix", "sketch"])
+            made = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(least, pa.int64()), lists, pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *made], ["doc_id", "text_hash", "node", "n", "least", "prefix", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {key.dataType.simpleString()}, node long, n long, prefix array<long>, sketch binary")
+    shape = f"doc_id {key.dataType.simpleString()}, text_hash long, node long, n long, least long, prefix array<long>, sketch binary"
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(work, shape)
 
 
 def _need(a: str, b: str, num: int, den: int) -> F.Column:
@@ -127,9 +140,13 @@ def _need(a: str, b: str, num: int, den: int) -> F.Column:
 
 
 def _passing(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b of pairs (a, na, ia, b, nb, ib: one row for each shared prefix shingle) that pass the positional filter."""
-    one = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.max("ia").alias("ia"), F.max("ib").alias("ib"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return one.where(F.col("m") + F.least(F.col("na") - F.col("ia") - 1, F.col("nb") - F.col("ib") - 1) >= _need("na", "nb", num, den)).select("a", "b", "na", "nb")
+    """a, b, na, nb of pairs (a, na, ia, b, nb, ib: rows for shared prefix shingles, not all of them) that pass the positional filter.
+
+    Both orders are one order, so before a shared shingle the sets share as many as the lesser place has, at most.
+    """
+    most = F.least("ia", "ib") + 1 + F.least(F.col("na") - F.col("ia") - 1, F.col("nb") - F.col("ib") - 1)
+    one = pairs.groupBy("a", "b").agg(F.min(most).alias("most"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    return one.where(F.col("most") >= _need("na", "nb", num, den)).select("a", "b", "na", "nb")
 
 
 def _lengths_fit(num: int, den: int) -> F.Column:
@@ -190,31 +207,111 @@ def _suffix_filter(pairs: DataFrame, info: DataFrame, num: int, den: int) -> Dat
     return joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(work, "a long, b long")
 
 
-def _between(rows: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b of different labels, from rows (hub, node, n, label), that share a hub and pass the length and suffix filters."""
-
-    def compare(table: pa.Table) -> pa.Table:
-        node, n, label, block = (table.column(c).to_numpy() for c in ("node", "n", "label", "block"))
-        sketches = Sketches(table.column("sketch").to_pylist())
-        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
-        left, right, found = np.flatnonzero(block == x), np.flatnonzero(block == y), []
-        for start in range(0, len(left), STRIPE):
-            i = left[start : start + STRIPE, None]
-            ok = (label[i] != label[right]) & (den * np.minimum(n[i], n[right]) >= num * np.maximum(n[i], n[right]))
-            if x == y:
-                ok &= i < right
-            a, b = np.nonzero(ok)
-            a, b = i[a, 0], right[b]
-            near = sketches.differ(a, b) <= _may_differ(n[a] + n[b], num, den)
-            found.append(np.stack([node[a[near]], node[b[near]]]))
-        pairs = np.sort(np.concatenate(found, axis=1), axis=0) if found else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
-
-    sizes = rows.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB_BLOCK).cast("int").alias("blocks"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    dealt = rows.join(sizes.select("hub", "blocks"), "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+class Labels:
+    """Labels of a block's nodes, which links between them unite."""
+
+    def __init__(self, label: np.ndarray):
+        _, self.of = np.unique(label, return_inverse=True)
+        self.parent = np.arange(self.of.max(initial=-1) + 1)
+
+    def root(self, i: int) -> int:
+        x = self.of[i]
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return int(x)
+
+    def unite(self, i: int, j: int) -> bool:
+        """Whether nodes i and j had different labels, which are one from now on."""
+        a, b = self.root(i), self.root(j)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+    def now(self) -> np.ndarray:
+        while (self.parent[self.parent] != self.parent).any():
+            self.parent = self.parent[self.parent]
+        return self.parent[self.of]
+
+
+def _stripes(table: pa.Table, sketches: Sketches, labels: Labels, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of a pair of blocks that pass the length and suffix filters under different labels: pairs and in how many bits they differ, STRIPE rows at a time."""
+    n, block = (table.column(c).to_numpy() for c in ("n", "block"))
+    x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+    left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+    for start in range(0, len(left), STRIPE):
+        i, label = left[start : start + STRIPE, None], labels.now()
+        ok = (label[i] != label[right]) & (den * np.minimum(n[i], n[right]) >= num * np.maximum(n[i], n[right]))
+        if x == y:
+            ok &= i < right
+        a, b = np.nonzero(ok)
+        a, b = i[a, 0], right[b]
+        apart = sketches.differ(a, b)
+        near = apart <= _may_differ(n[a] + n[b], num, den)
+        yield a[near], b[near], apart[near]
+
+
+def _edges(table: pa.Table, found: list[tuple[int, int]]) -> pa.Table:
+    node = table.column("node").to_numpy()
+    pairs = np.sort(node[np.array(found, np.int64).reshape(-1, 2)], axis=1)
+    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+
+def _forest(table: pa.Table, num: int, den: int) -> pa.Table:
+    """a, b: the candidates that connect the labels of a pair of blocks, the likeliest first; fewer than it has nodes."""
+    sketches, labels, found = Sketches(table.column("sketch").to_pylist()), Labels(table.column("label").to_numpy()), []
+    for a, b, apart in _stripes(table, sketches, labels, num, den):
+        while len(a):  # each left row takes its best partner, labels unite, until no pair of different labels is left
+            order = np.lexsort((b, apart, a))
+            first = order[np.concatenate([[True], a[order][1:] != a[order][:-1]])]
+            found += [(i, j) for i, j in zip(a[first].tolist(), b[first].tolist(), strict=True) if labels.unite(i, j)]
+            label = labels.now()
+            still = label[a] != label[b]
+            a, b, apart = a[still], b[still], apart[still]
+    return _edges(table, found)
+
+
+def _unsettled(table: pa.Table, num: int, den: int) -> pa.Table:
+    """The rows of a pair of blocks that have a candidate under another label."""
+    sketches, labels = Sketches(table.column("sketch").to_pylist()), Labels(table.column("label").to_numpy())
+    keep = np.zeros(table.num_rows, bool)
+    for a, b, _ in _stripes(table, sketches, labels, num, den):
+        keep[a] = keep[b] = True
+    return table.filter(pa.array(keep))
+
+
+def _proven(table: pa.Table, num: int, den: int) -> pa.Table:
+    """a, b: links that join labels of a pair of blocks, found on whole sets, until no other link joins two."""
+    sketches, labels, found = Sketches(table.column("sketch").to_pylist()), Labels(table.column("label").to_numpy()), []
+    sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in table.column("shingles")]
+    for a, b, apart in _stripes(table, sketches, labels, num, den):
+        order = np.lexsort((b, a, apart))
+        for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True):
+            if labels.root(i) != labels.root(j) and _link(sets[i], sets[j], num, den):
+                labels.unite(i, j)
+                found.append((i, j))
+    return _edges(table, found)
+
+
+def _link(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return den * both >= num * (len(x) + len(y) - both)
+
+
+IN_BLOCKS = "hub long, x int, y int, node long, n long, label long, block int, sketch binary"
+
+
+def _in_blocks(live: DataFrame, info: DataFrame) -> DataFrame:
+    """Rows of pairs of blocks (hub, x, y) from live (token, node, n, label): nodes of the hubs that join different labels, with their sketches.
+
+    A block has HUB_BLOCK nodes and HUB_SHINGLES shingles or so, whatever the hub, and a node is copied once for each block of its hub.
+    """
+    most = live.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("node", F.xxhash64("node", F.lit(1))).alias("hub")).where("lo < hi")
+    rows = stage(live.join(most.select("token", "hub"), "token").select("hub", "node", "n", "label").distinct(), "shared")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / HUB_BLOCK), F.ceil(F.sum("n") / HUB_SHINGLES)).cast("int")
+    sizes = rows.groupBy("hub").agg(blocks.alias("blocks"))
+    dealt = rows.join(sizes, "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
-    dealt = dealt.join(info.select("node", "sketch"), "node").select("hub", "x", "y", "node", "n", "label", "block", "sketch")
-    return dealt.groupBy("hub", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+    return dealt.join(info.select("node", "sketch"), "node").select("hub", "x", "y", "node", "n", "label", "block", "sketch")
 
 
 def _hash_ids(column: pa.Array, bits: int) -> np.ndarray:
@@ -226,10 +323,22 @@ def _hash_ids(column: pa.Array, bits: int) -> np.ndarray:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """node, shingles of the nodes in wanted (node, doc_id): a scan picks their texts by a bitmap, so that no other text leaves its task."""
+    """node, shingles of the nodes in wanted (node, doc_id): a scan picks their texts by a bitmap, so that no other text leaves its task, or by a join where the bitmap would pass MOST_BITS."""
     key = docs.schema["doc_id"].dataType.simpleString()
     n = wanted.count()
-    bits = min(MOST_BITS, 1 << max(10, (BITS_EACH * max(1, n) - 1).bit_length()))
+    bits = 1 << max(10, (BITS_EACH * max(1, n) - 1).bit_length())
+    texts = docs.select(F.col("doc_id").cast(key).alias("doc_id"), "text")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                found = list(_sets(batch.column("text")[start : start + 256], k))
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "shingles"])
+
+    if bits > MOST_BITS:
+        ids = wanted.select(F.col("doc_id").alias("id")).distinct()
+        picked = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").mapInArrow(whole, "node long, shingles binary")
+        return picked.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(bits, bool)
@@ -245,10 +354,9 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             keep = np.flatnonzero(seen[_hash_ids(batch.column("doc_id"), bits)]) if seen is not None else np.zeros(0, np.int64)
             for start in range(0, len(keep), 256):
-                found = list(_sets(batch.column("text").take(pa.array(keep[start : start + 256])), k))
-                yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "shingles"])
+                yield from whole(iter([batch.take(pa.array(keep[start : start + 256]))]))
 
-    found = docs.select(F.col("doc_id").cast(key).alias("doc_id"), "text").mapInArrow(work, "node long, shingles binary")
+    found = texts.mapInArrow(work, "node long, shingles binary")
     return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -257,9 +365,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("xa"), batch.column("xb"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(den * both >= num * (len(x) + len(y) - both))
+                keep.append(_link(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), num, den))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
     joined = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a")
@@ -286,47 +392,79 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
 
 
-def link_components(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of docs."""
-    held = docs.sparkSession.sparkContext.broadcast(frequencies(docs, k))  # COUNTERS numbers, whatever the corpus
+def _hub_pairs(live: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: each node with the hub of those that share a prefix shingle and the least hash of their sets, if the pair passes the filters."""
+    hubs = live.groupBy("token", "least").agg(F.count(F.lit(1)).alias("c"), F.min_by(F.struct("node", "n", "i"), F.xxhash64("node", F.lit(0))).alias("hub")).where("c > 1")
+    each = live.join(hubs, ["token", "least"]).where("node <> hub.node").select(F.col("hub.node").alias("a"), F.col("hub.n").alias("na"), F.col("hub.i").alias("ia"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"))
+    swap = F.col("a") > F.col("b")
+    each = each.where(_lengths_fit(num, den)).select(*[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("na", "nb"), ("ia", "ib"), ("b", "a"), ("nb", "na"), ("ib", "ia"))])
+    return _suffix_filter(_passing(each, num, den), nodes, num, den)
+
+
+def grouped(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
+    """doc_id, text_hash (xxhash64 of the text), n (shingles), node (its set's hash) and label (its component's least node) of each row of docs; both are null without words."""
+    held = docs.sparkSession.sparkContext.broadcast(frequencies(docs, k))  # MOST_COUNTERS numbers of 4 bytes at most, whatever the corpus
     whole = stage(_prefixes(docs, held, k, num, den), "prefixes")
     held.destroy()
-    nodes = stage(whole.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")), "nodes")
-    rows = stage(whole.select("doc_id", "node", "n"), "rows")
+    nodes = stage(whole.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "least", "prefix", "sketch")]), "nodes")
+    rows = stage(whole.select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")), "rows")
     discard(whole)
-    spread = nodes.select("node", "n", F.posexplode("prefix").alias("i", "token"))
-    shared = spread.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("c > 1")
-    live = stage(shared.select("token", "node", "n", "i"), "live")
-    edges = tested = labels = None
-    for turn in range(HUB_ROUNDS + 1):
-        here = live.withColumn("label", F.col("node")) if labels is None else live.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        most = here.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("node", "n", "i", "label"), F.xxhash64("node", F.lit(turn))).alias("hub")).where("lo < hi")
-        if turn < HUB_ROUNDS:
-            each = here.join(most, "token").where("label <> hub.label").select(F.col("hub.node").alias("a"), F.col("hub.n").alias("na"), F.col("hub.i").alias("ia"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"))
-            swap = F.col("a") > F.col("b")
-            each = each.where(_lengths_fit(num, den)).select(*[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("na", "nb"), ("ia", "ib"), ("b", "a"), ("nb", "na"), ("ib", "ia"))])
-            pairs = _suffix_filter(_passing(each, num, den), nodes, num, den)
-        else:
-            shared = here.join(most.select("token", F.col("hub.node").alias("hub")), "token").select("hub", "node", "n", "label").distinct()
-            shared = stage(shared, "shared")
-            pairs = _between(shared, nodes, num, den)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    spread = nodes.select("node", "n", "least", F.posexplode("prefix").alias("i", "token"))
+    again = spread.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    live = stage(spread.join(again.select("token"), "token", "left_semi").select("token", "node", "n", "least", "i"), "live")
+
+    def sets_of(named: DataFrame) -> DataFrame:
+        return stage(_sets_of(docs, stage(named.distinct().join(nodes.select("node", "doc_id"), "node"), "wanted"), k), "sets")
+
+    def checked(pairs: DataFrame) -> DataFrame:
         pairs = stage(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = stage(ends.join(nodes.select("node", "doc_id"), "node"), "wanted")
-        sets = stage(_sets_of(docs, wanted, k), "sets")
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
         links = stage(_verified(pairs, sets, num, den), "links")
         discard(sets)
-        edges = links if edges is None else edges.unionByName(links)
+        return links
+
+    def labelled(labels: DataFrame) -> DataFrame:
+        return live.join(labels, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("label"))
+
+    edges = checked(_hub_pairs(live, nodes, num, den))
+    labels = stage(components(edges), "labels")
+    met = stage(_in_blocks(labelled(labels), nodes), "blocks")
+    tried = checked(met.groupBy("hub", "x", "y").applyInArrow(lambda t: _forest(t, num, den), "a long, b long").distinct())
+    if not tried.isEmpty():
+        edges = edges.unionByName(tried)
         labels = stage(components(edges), "labels")
-    if labels is None:
-        labels = nodes.select("node", F.col("node").alias("label")).limit(0)
-    named = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_node = stage(named.join(least, "label").select("node", "component_id"), "components")
-    out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(of_node, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    met_again = met.drop("label").join(labels, "node", "left").select("hub", "x", "y", "node", "n", F.coalesce("label", "node").alias("label"), "block", "sketch")
+    left = stage(met_again.groupBy("hub", "x", "y").applyInArrow(lambda t: _unsettled(t, num, den), IN_BLOCKS), "unsettled")
+    discard(met)
+    if not left.isEmpty():
+        sets = sets_of(left.select("node"))
+        proven = stage(left.join(sets, "node").groupBy("hub", "x", "y").applyInArrow(lambda t: _proven(t, num, den), "a long, b long"), "proven")
+        discard(sets)
+        if not proven.isEmpty():
+            labels = stage(components(edges.unionByName(proven)), "labels")
+    return rows.join(labels, "node", "left").select("doc_id", "text_hash", "n", "node", F.coalesce("label", "node").alias("label"))
+
+
+def link_components(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row of docs."""
+    rows = stage(grouped(docs, k, num, den), "grouped")
+    least = rows.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    worded = F.col("label").isNotNull()
+    return rows.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(worded, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def oracle() -> str:
+    """All pairs that share a shingle, then everything each set reaches."""
+    return f"""
+    WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+    s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] ELSE list_sort(list_distinct([array_to_string(w[i : i + {K - 1}], ' ') FOR i IN generate_series(1, greatest(1, len(w) - {K - 1}))])) END AS shingles FROM w),
+    nodes AS (SELECT min(r) AS node, shingles, len(shingles) AS n FROM s WHERE len(shingles) > 0 GROUP BY shingles),
+    e AS (SELECT node, n, unnest(shingles) AS shingle FROM nodes),
+    pairs AS (SELECT a.node AS a, b.node AS b, count(*) AS both, any_value(a.n) + any_value(b.n) AS total FROM e a JOIN e b ON a.shingle = b.shingle AND a.node <> b.node GROUP BY a.node, b.node),
+    links AS (SELECT a, b FROM pairs WHERE {DEN} * both >= {NUM} * (total - both)),
+    reach AS (SELECT node AS a, node AS b FROM nodes UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+    least AS (SELECT n.node, s.doc_id FROM s JOIN nodes n ON s.shingles = n.shingles),
+    comp AS (SELECT reach.a AS node, min(least.doc_id) AS component_id FROM reach JOIN least ON reach.b = least.node GROUP BY reach.a)
+    SELECT s.doc_id, len(s.shingles)::BIGINT AS n_shingles, CASE WHEN n.node IS NULL THEN s.doc_id ELSE c.component_id END AS component_id
+    FROM s LEFT JOIN nodes n ON s.shingles = n.shingles LEFT JOIN comp c ON c.node = n.node
+    """

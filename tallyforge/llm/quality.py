@@ -7,9 +7,9 @@ statistics, which are Spark columns too, so scoring runs inside the JVM with no
 Labels are learned from a bounded sample: at most SAMPLE labelled rows or so, drawn by a hash of the id over the whole
 table. Every document is scored on its whole text.
 
-Defined cases: null text counts as empty and is scored; ids labelled more than once take their least label; without
-labelled rows, or with one label only, every score is that label's share (or 0.5); equal texts score alike; columns
-other than doc_id and text are ignored or passed through.
+Defined cases: null text counts as empty and is scored; ids labelled more than once take their least label, and ids
+of several rows teach by one of them; without labelled rows, or with one label only, every score is that label's
+share (or 0.5); equal texts score alike; columns other than doc_id and text are ignored or passed through.
 """
 
 from __future__ import annotations
@@ -172,7 +172,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Rules:
     # SAMPLE rows or so, so this side may be broadcast.
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 24)) < F.lit(share * (1 << 24))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     stats = statistics(F.col("text"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "quality", *[c.alias(n) for n, c in stats.items()]).collect()
+    found = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "quality", *[c.alias(n) for n, c in stats.items()])
+    rows = found.groupBy("doc_id").agg(F.min(F.struct("quality", *stats)).alias("x")).select("doc_id", "x.*").collect()
     rows.sort(key=lambda r: tuple(r))
     return fit(np.array([r[2:] for r in rows], float).reshape(len(rows), len(stats)), np.array([r["quality"] for r in rows], float), list(stats))
 

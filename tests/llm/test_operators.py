@@ -268,13 +268,13 @@ def test_top_k(spark, monkeypatch):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
-def shingle_set(text):
+def shingle_set(text, k=3):
     w = words(ascii_lower(text or ""))
-    return frozenset(tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))) if w else frozenset()
+    return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
 
 
-def brute_components(rows):
-    sets = [shingle_set(r[1]) for r in rows]
+def brute_components(rows, num=90, k=3):
+    sets = [shingle_set(r[1], k) for r in rows]
     parent = list(range(len(rows)))
 
     def root(i):
@@ -286,7 +286,7 @@ def brute_components(rows):
         for j in range(i):
             if sets[i] and sets[j]:
                 both = len(sets[i] & sets[j])
-                if 100 * both >= 90 * (len(sets[i]) + len(sets[j]) - both):
+                if 100 * both >= num * (len(sets[i]) + len(sets[j]) - both):
                     parent[root(i)] = root(j)
     least = defaultdict(lambda: None)
     for i, r in enumerate(rows):
@@ -312,6 +312,55 @@ def test_jaccard_chains(spark):
     assert Counter(tuple(r) for r in got) == brute_components(rows)
 
 
+def outsider_groups(n_words=60, copies=300, seed=11):
+    """Copies of one text with one word changed in each, so that few link with each other, and strangers that hold parts of it."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(n_words)]
+    rows = []
+    for i in range(copies):
+        text = list(base)
+        text[rng.randrange(n_words)] = f"c{i}"
+        rows.append([10 + i, " ".join(text), "x", "s", 0])
+    for i in range(40):
+        at = rng.randrange(n_words - 20)
+        rows.append([1000 + i, " ".join(base[at : at + 20] + [f"s{i}w{j}" for j in range(20)]), "x", "s", 0])
+    return rows
+
+
+@pytest.mark.parametrize("n_words, num", [(60, 90), (60, 80), (200, 90)])
+def test_jaccard_pairs_stay_few(spark, monkeypatch, n_words, num):
+    """No round makes more pairs than a few for each node, even where the hub is no near copy of the group."""
+    made, real = [], jaccard.stage
+
+    def counted(df, name):
+        out = real(df, name)
+        if name in ("pairs", "links", "proven", "edges"):
+            made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "stage", counted)
+    rows = outsider_groups(n_words)
+    got = jaccard.link_components(spark.createDataFrame(rows, DOCS), num=num).collect()
+    assert Counter(tuple(r) for r in got) == brute_components(rows, num)
+    assert max(n for _, n in made) <= 2 * len(rows), made
+
+
+def test_jaccard_in_small_blocks(spark, docs, rows, monkeypatch):
+    """Blocks of a few nodes: pairs between blocks count as those inside."""
+    monkeypatch.setattr(jaccard, "HUB_BLOCK", 7)
+    monkeypatch.setattr(jaccard, "HUB_SHINGLES", 2000)
+    monkeypatch.setattr(jaccard, "STRIPE", 3)
+    some = rows[:160] + outsider_groups(copies=60)
+    got = jaccard.link_components(spark.createDataFrame(some, DOCS)).collect()
+    assert Counter(tuple(r) for r in got) == brute_components(some)
+
+
+def test_jaccard_many_ids(docs, rows, monkeypatch):
+    """Ids beyond the bitmap are joined."""
+    monkeypatch.setattr(jaccard, "MOST_BITS", 1)
+    assert Counter(tuple(r) for r in jaccard.link_components(docs).collect()) == brute_components(rows)
+
+
 def test_sketches_never_overstate():
     rng = np.random.default_rng(3)
     sets = []

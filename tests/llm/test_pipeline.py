@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as p
 from tallyforge.llm import langid, mixing, quality, spm
@@ -33,7 +34,7 @@ def test_stages(spark, sf):
     ids = {r["doc_id"] for r in quality.predict_quality(docs, spark.read.parquet(f"{sf}/labels.parquet")).where("predicted = 1").collect()}
     assert good.columns == columns and {r["doc_id"] for r in good.collect()} == ids
     one = p.one_of_each(spark, docs, sf)
-    want = {k[0] for k in brute_components([list(r) for r in docs.collect()]) if k[0] is not None and k[2] == k[0]}
+    want = {k[0] for k in brute_components([list(r) for r in docs.collect()], 80, 5) if k[0] is not None and k[2] == k[0]}
     got = [r["doc_id"] for r in one.where("doc_id IS NOT NULL").collect()]
     assert one.columns == columns and sorted(got) == sorted(want)
     mix = p.mixed(spark, docs, sf)
@@ -85,3 +86,40 @@ def test_near_copies_from_five_words(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(r["doc_id"] for r in p.one_of_each(spark, docs, "").collect())
     assert got == near_copies(rows) and len(got) < len(rows)
+
+
+def clashing(docs):
+    """Extra columns named like those that a stage may use inside, in both cases of letters."""
+    for name in ("_tf_id", "_tf_n", "_tf_i", "_tf_hash", "_tf_many", "_TF_TIMES", "_tf_turn", "_tf_size", "_tf_text", "label", "n", "node", "size", "score", "taken", "c", "d"):
+        docs = docs.withColumn(name, F.lit("x"))
+    return docs
+
+
+@pytest.mark.parametrize("name, step", p.STAGES)
+def test_stage_with_clashing_names(spark, sf, name, step):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    more = clashing(docs)
+    plain, got = step(spark, docs, sf), step(spark, more, sf)
+    if name != "SentencePiece encoding":
+        assert got.columns == more.columns
+    assert Counter(r["doc_id"] for r in got.select("doc_id").collect()) == Counter(r["doc_id"] for r in plain.select("doc_id").collect())
+
+
+@pytest.mark.parametrize("name, step", p.STAGES)
+def test_stage_without_rows(spark, sf, name, step):
+    none = spark.createDataFrame([], DOCS)
+    assert step(spark, none, sf).collect() == []
+
+
+def test_run_without_rows(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert p.run(spark, str(tmp_path)).collect() == []
+
+
+def test_one_of_each_with_equal_ids(spark):
+    """Rows of one id and different texts are told apart; repeated rows are one; what has no word stays."""
+    far, near = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, far), (1, near), (1, near), (2, near + " end"), (3, None), (3, " "), (3, " "), (None, far + " end"), (None, "only here now and then"), (None, "only here now and then")]
+    got = p.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert Counter(tuple(r) for r in got) == Counter([(1, far), (1, near), (3, None), (3, " "), (3, " "), (None, "only here now and then")])
