@@ -8,38 +8,79 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import jaccard, langid, mixing, quality, spm
-from tallyforge.llm.common import stage, table
+from tallyforge.llm.common import n_words, stage, table
 
 #: Near copies: texts whose sets of SHINGLE-word shingles have a Jaccard similarity of NUM / DEN or more.
 SHINGLE, NUM, DEN = 5, 80, 100
 
 
+def _hidden(docs: DataFrame, *names: str) -> list[str]:
+    """Names for columns of a stage's own that no column of docs has, in any case of letters."""
+    taken, lead = {c.lower() for c in docs.columns}, "_tf_"
+    while any(c.startswith(lead) for c in taken):
+        lead = "_" + lead
+    return [lead + n for n in names]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with confidence."""
+    """Documents whose language is told with confidence.
+
+    Null texts and texts without a letter go, since no language can be told of them; very long texts are read whole;
+    repeated rows and ties go or stay together; without labelled rows nothing is told and all go; an empty table gives
+    no rows; other columns pass through, whatever their names.
+    """
     return langid.keep_identified(docs)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts.
+
+    Null texts count as empty and are scored; very long texts are read whole; repeated rows and ties go or stay
+    together; without labels every score is 0.5 and all go; an empty table gives no rows; other columns pass through.
+    """
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the least id; rows without an id, and texts without a word, stay."""
-    found = jaccard.link_components(docs, SHINGLE, NUM, DEN).where("component_id IS NULL OR component_id = doc_id").select(F.col("doc_id").alias("_tf_id")).distinct()
-    kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_tf_id")), "left_semi")
-    return kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    """One document of each group of near copies: that of the least id, then of the least hash of the text.
+
+    A group without any id keeps one row too. Null texts, and texts without a word, have no near copies and stay, and so do
+    rows of equal id whose texts are no near copies. Of equal ids and texts the row of the least other columns stays.
+    Very long texts are compared whole; an empty table gives no rows; other columns pass through, whatever their names.
+    """
+    key, digest, many = _hidden(docs, "id", "hash", "many")
+    rows = stage(jaccard.grouped(docs, SHINGLE, NUM, DEN), "grouped")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    least = rows.where("label IS NOT NULL").groupBy("label").agg(first.alias("least")).select("label", "least.doc_id", "least.text_hash")
+    same = rows.where("label IS NOT NULL").groupBy("label", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("c")).withColumnsRenamed({"label": "l", "doc_id": "d", "text_hash": "h"})
+    chosen = least.join(same, (F.col("label") == F.col("l")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
+    chosen = chosen.select(F.col("doc_id").alias(key), F.col("text_hash").alias(digest), (F.col("c") > 1).alias(many))
+    wordless = n_words(F.col("text")) == 0
+    picked = docs.where(~wordless).withColumn(digest, F.xxhash64("text")).join(chosen.withColumnRenamed(digest, digest + "2"), F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(digest) == F.col(digest + "2")))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    again = picked.where(F.col(many)).groupBy(key, digest).agg(F.min(F.struct(*columns)).alias(many)).select(f"{many}.*")
+    return picked.where(~F.col(many)).select(*columns).unionByName(again).unionByName(docs.where(wordless))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    taken = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("_tf_id"), (F.col("taken") / F.col("size")).cast("int").alias("_tf_n")).groupBy("_tf_id").agg(F.max("_tf_n").alias("_tf_n"))
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_tf_id")))
-    return rows.withColumn("_tf_i", F.explode(F.sequence(F.lit(1), F.col("_tf_n")))).select(*[f"`{c}`" for c in docs.columns])
+    """Documents as often as the mix takes them.
+
+    Null and empty texts have no words and are never taken; a null source is a source; very long texts count whole; of
+    rows with one id each counts by its own text, and repeated rows are taken alike; equal keys go by id; an empty
+    table gives no rows; other columns pass through, whatever their names.
+    """
+    key, size, times, turn = _hidden(docs, "id", "size", "times", "turn")
+    taken = mixing.mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias(key), F.col("size").alias(size)).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias(times))
+    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(key)) & (n_words(F.col("text")) == F.col(size)))
+    return rows.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of each document."""
+    """doc_id, n_tokens and ids of each document.
+
+    A null text has null ids and an empty one none; very long texts are encoded whole; repeated rows give repeated
+    rows; an empty table gives no rows; other columns are left out.
+    """
     return spm.encode(docs)
 
 
