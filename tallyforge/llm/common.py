@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A key is hot from so many rows on, and from this share of all rows; so there are MOST_HOT hot keys at most.
+HOT_ROWS, MOST_HOT = 1000, 1000
 DEFAULT_FOLDER = "tallyforge-scratch"
 _homes: set[str] = set()
 _paths: dict[int, str] = {}
@@ -62,6 +64,23 @@ def forget(spark: SparkSession, path: str) -> None:
         where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def join_unevenly(rows: DataFrame, dim: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """rows with dim, which has a row for each key and how many rows have it (c): no task holds the rows of a hot key.
+
+    Keys of more than 1 / MOST_HOT of the counted rows are MOST_HOT at most; their rows stay where they are and meet
+    dim by broadcast. The others are joined as Spark chooses. Rows with a null key meet nothing. how: inner or left.
+    """
+    total = dim.agg(F.sum("c")).first()[0] or 0
+    hot = dim.where(F.col("c") > F.lit(max(HOT_ROWS, total / MOST_HOT)))
+    few, other = F.broadcast(hot), dim.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    known = F.lit(True)
+    for c in on:
+        known = known & F.col(c).isNotNull()
+    plain = rows.where(known)
+    found = plain.join(few, on).unionByName(plain.join(F.broadcast(hot.select(*on)), on, "left_anti").join(other, on, how))
+    return found if how == "inner" else found.unionByName(rows.where(~known), allowMissingColumns=True)
+
+
 def n_words(text: Column) -> Column:
     """Number of words; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -7,7 +7,7 @@ one keeps it small, and what is common enough to stand out of a counter's noise
 shingles the first n - ceil(t n) + 1 are a node's prefix, and two nodes that link share a prefix shingle. Pairs pass a
 length filter, a positional filter (what can precede a shared shingle in both orders, and what can follow it) and a
 suffix filter (each element that only one set has flips one bit of a parity sketch, so sketches that differ in d bits
-belong to sets that differ in d elements or more; it has at least a bit for every element).
+belong to sets that differ in d elements or more; it has a bit for every two elements, or more).
 
 A shingle that m nodes share is never spelled out into m (m - 1) / 2 pairs, and pairs inside one component are not
 looked at, since they change none. Three rounds find the components:
@@ -17,9 +17,13 @@ looked at, since they change none. Three rounds find the components:
 2. Forests. Nodes that share a prefix shingle share its hub, so what is left between components is found by going
    through each hub's nodes in blocks of bounded size. A pair of blocks gives the best candidates that connect its
    components, a forest, so never more pairs than nodes; they are verified, and components grow.
-3. Proof. Nodes that still have a candidate in another component meet again in their blocks, now with their whole
-   sets, and every candidate between different components is verified there. Only links that join two components
-   leave the task, fewer than it has nodes. Nothing is left after that, so components are exact.
+3. Proof. Where all of a forest's pairs are links, its blocks are settled. In the others, nodes that still have a
+   candidate in another component meet again with their whole sets, and every candidate between different components
+   is verified there. Only links that join two components leave the task, fewer than it has nodes. Nothing is left
+   after that, so components are exact.
+
+A node, shingle, hub or component may hold a third of all rows. Counting and first-of-group aggregates combine before
+they shuffle; joins send keys of more than 1 / MOST_HOT of the rows, so MOST_HOT keys at most, by broadcast.
 
 Defined cases: a text with fewer than k words has its whole sequence as one shingle; null text, or none but white
 space, gives the empty set, which links with nothing; rows of equal id count each by its own text; a null id takes
@@ -29,6 +33,7 @@ ignored. Shingles and sets are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,14 +43,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, discard, stage
+from .common import WORD, discard, join_unevenly, stage
 from .textvec import mix, shingles, word_hashes
 
 K, NUM, DEN = 3, 90, 100
 #: One frequency counter for each so many bytes of text, and the fewest and most of them.
-TEXT_BYTES_EACH, COUNTERS, MOST_COUNTERS = 512, 1 << 20, 1 << 24
+TEXT_BYTES_EACH, COUNTERS, MOST_COUNTERS = 512, 1 << 20, 1 << 22
 #: Bits of the least parity sketch, how many elements each bit may stand for, and the bytes of sketches compared at once.
-SKETCH, PER_BIT, SKETCH_BYTES = 1024, 1, 16 << 20
+SKETCH, PER_BIT, SKETCH_BYTES = 1024, 2, 16 << 20
 #: Bits for each wanted id, and the most bits, of the bitmap that picks texts out of a scan; more ids are joined.
 BITS_EACH, MOST_BITS = 16, 1 << 27
 FAN_IN = 8
@@ -104,7 +109,7 @@ def frequencies(docs: DataFrame, k: int = K) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], ["v"])
 
     found = combine(docs.select("text").mapInArrow(work, "v binary"), "sum", "uint64")
-    return np.zeros(size, np.uint32) if found is None else np.minimum(found, np.uint64(2**32 - 1)).astype(np.uint32)
+    return np.zeros(size, np.uint32) if found is None else np.minimum(found, np.uint64(2**32 - 1)).astype(np.uint32)  # only orders
 
 
 def _prefixes(docs: DataFrame, held: Broadcast, k: int, num: int, den: int) -> DataFrame:
@@ -257,7 +262,7 @@ def _edges(table: pa.Table, found: list[tuple[int, int]]) -> pa.Table:
 
 
 def _forest(table: pa.Table, num: int, den: int) -> pa.Table:
-    """a, b: the candidates that connect the labels of a pair of blocks, the likeliest first; fewer than it has nodes."""
+    """hub, x, y, a, b: the candidates that connect the labels of a pair of blocks, the likeliest first; fewer than it has nodes."""
     sketches, labels, found = Sketches(table.column("sketch").to_pylist()), Labels(table.column("label").to_numpy()), []
     for a, b, apart in _stripes(table, sketches, labels, num, den):
         while len(a):  # each left row takes its best partner, labels unite, until no pair of different labels is left
@@ -267,7 +272,9 @@ def _forest(table: pa.Table, num: int, den: int) -> pa.Table:
             label = labels.now()
             still = label[a] != label[b]
             a, b, apart = a[still], b[still], apart[still]
-    return _edges(table, found)
+    where = table.select(["hub", "x", "y"]).take(pa.array(np.zeros(len(found), np.int64)))
+    edges = _edges(table, found)
+    return where.append_column("a", edges.column("a")).append_column("b", edges.column("b"))
 
 
 def _unsettled(table: pa.Table, num: int, den: int) -> pa.Table:
@@ -300,18 +307,26 @@ def _link(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
 IN_BLOCKS = "hub long, x int, y int, node long, n long, label long, block int, sketch binary"
 
 
-def _in_blocks(live: DataFrame, info: DataFrame) -> DataFrame:
-    """Rows of pairs of blocks (hub, x, y) from live (token, node, n, label): nodes of the hubs that join different labels, with their sketches.
+def _in_blocks(live: DataFrame, num: int, den: int) -> DataFrame:
+    """hub, x, y, node, n, block from live (token, node, n, label): the nodes of hubs that join different labels, once for each pair of blocks.
 
-    A block has HUB_BLOCK nodes and HUB_SHINGLES shingles or so, whatever the hub, and a node is copied once for each block of its hub.
+    A block has HUB_BLOCK nodes and HUB_SHINGLES shingles or so, whatever the hub, and a node is copied once for each
+    block of its hub. Nodes that are alone in their hub with sizes like theirs are left out.
     """
-    most = live.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("node", F.xxhash64("node", F.lit(1))).alias("hub")).where("lo < hi")
-    rows = stage(live.join(most.select("token", "hub"), "token").select("hub", "node", "n", "label").distinct(), "shared")
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / HUB_BLOCK), F.ceil(F.sum("n") / HUB_SHINGLES)).cast("int")
-    sizes = rows.groupBy("hub").agg(blocks.alias("blocks"))
-    dealt = rows.join(sizes, "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
-    return dealt.join(info.select("node", "sketch"), "node").select("hub", "x", "y", "node", "n", "label", "block", "sketch")
+    hub = F.min_by("node", F.xxhash64("node", F.lit(1)))
+    most = live.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), hub.alias("hub"), F.count(F.lit(1)).alias("c")).where("lo < hi")
+    most = stage(most.select("token", "hub", "c"), "hubs")
+    rows = join_unevenly(live.select("token", "node", "n"), most, ["token"]).select("hub", "node", "n").distinct()
+    band = F.floor(F.log("n") / math.log(den / num)).cast("int")  # sizes that fit are at most one band apart
+    rows = stage(rows.withColumn("band", band), "shared")
+    bands = rows.groupBy("hub", "band").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    near = bands.select("hub", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "c").groupBy("hub", "band").agg(F.sum("c").alias("c")).where("c > 1")
+    kept = bands.select("hub", "band", F.col("c").alias("own"), "s").join(near.select("hub", "band"), ["hub", "band"])
+    blocks = F.greatest(F.ceil(F.sum("own") / HUB_BLOCK), F.ceil(F.sum("s") / HUB_SHINGLES)).cast("int")
+    sizes = kept.groupBy("hub").agg(F.collect_set("band").alias("bands"), blocks.alias("blocks"), F.sum("own").alias("c"))  # a band for each factor of den / num
+    dealt = join_unevenly(rows, stage(sizes, "sizes"), ["hub"]).where(F.array_contains("bands", F.col("band")))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("hub", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "node", "n", "block")
 
 
 def _hash_ids(column: pa.Array, bits: int) -> np.ndarray:
@@ -392,65 +407,77 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) after links between nodes; nodes without a label are their own."""
+    named = labels.select(F.col("node").alias("x"), "label")
+    ends = links.join(named.withColumnsRenamed({"x": "a", "label": "la"}), "a", "left").join(named.withColumnsRenamed({"x": "b", "label": "lb"}), "b", "left")
+    above = stage(components(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))), "above")
+    size = above.groupBy(F.col("node").alias("label")).agg(F.first("label").alias("to"))
+    lifted = labels.join(size, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return stage(lifted.unionByName(above.join(labels, "node", "left_anti")), "labels")
+
+
 def _hub_pairs(live: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """a, b: each node with the hub of those that share a prefix shingle and the least hash of their sets, if the pair passes the filters."""
     hubs = live.groupBy("token", "least").agg(F.count(F.lit(1)).alias("c"), F.min_by(F.struct("node", "n", "i"), F.xxhash64("node", F.lit(0))).alias("hub")).where("c > 1")
-    each = live.join(hubs, ["token", "least"]).where("node <> hub.node").select(F.col("hub.node").alias("a"), F.col("hub.n").alias("na"), F.col("hub.i").alias("ia"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"))
+    each = join_unevenly(live, stage(hubs, "hubs"), ["token", "least"]).where("node <> hub.node")
+    each = each.select(F.col("hub.node").alias("a"), F.col("hub.n").alias("na"), F.col("hub.i").alias("ia"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"))
     swap = F.col("a") > F.col("b")
     each = each.where(_lengths_fit(num, den)).select(*[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("na", "nb"), ("ia", "ib"), ("b", "a"), ("nb", "na"), ("ib", "ia"))])
     return _suffix_filter(_passing(each, num, den), nodes, num, den)
 
 
 def grouped(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
-    """doc_id, text_hash (xxhash64 of the text), n (shingles), node (its set's hash) and label (its component's least node) of each row of docs; both are null without words."""
+    """doc_id, text_hash (xxhash64 of the text), n (shingles) and label (the least node of its component) of each row of docs; a row without words has no label."""
     held = docs.sparkSession.sparkContext.broadcast(frequencies(docs, k))  # MOST_COUNTERS numbers of 4 bytes at most, whatever the corpus
     whole = stage(_prefixes(docs, held, k, num, den), "prefixes")
     held.destroy()
-    nodes = stage(whole.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "least", "prefix", "sketch")]), "nodes")
+    nodes = stage(whole.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("c"), *[F.first(c).alias(c) for c in ("n", "least", "prefix", "sketch")]), "nodes")
     rows = stage(whole.select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")), "rows")
     discard(whole)
     spread = nodes.select("node", "n", "least", F.posexplode("prefix").alias("i", "token"))
-    again = spread.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    live = stage(spread.join(again.select("token"), "token", "left_semi").select("token", "node", "n", "least", "i"), "live")
+    again = stage(spread.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "again")
+    live = stage(join_unevenly(spread, again, ["token"]).select("token", "node", "n", "least", "i"), "live")
 
     def sets_of(named: DataFrame) -> DataFrame:
         return stage(_sets_of(docs, stage(named.distinct().join(nodes.select("node", "doc_id"), "node"), "wanted"), k), "sets")
 
     def checked(pairs: DataFrame) -> DataFrame:
-        pairs = stage(pairs, "pairs")
         sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
         links = stage(_verified(pairs, sets, num, den), "links")
         discard(sets)
         return links
 
-    def labelled(labels: DataFrame) -> DataFrame:
-        return live.join(labels, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("label"))
+    def dealt(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        """rows of blocks with labels and sketches."""
+        return rows.join(labels, "node", "left").join(nodes.select("node", "sketch"), "node").select("hub", "x", "y", "node", "n", F.coalesce("label", "node").alias("label"), "block", "sketch").groupBy("hub", "x", "y")
 
-    edges = checked(_hub_pairs(live, nodes, num, den))
-    labels = stage(components(edges), "labels")
-    met = stage(_in_blocks(labelled(labels), nodes), "blocks")
-    tried = checked(met.groupBy("hub", "x", "y").applyInArrow(lambda t: _forest(t, num, den), "a long, b long").distinct())
+    labels = stage(components(checked(stage(_hub_pairs(live, nodes, num, den), "pairs"))), "labels")
+    named = live.join(labels, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("label"))
+    met = stage(_in_blocks(named, num, den), "blocks")
+    tried = stage(dealt(met, labels).applyInArrow(lambda t: _forest(t, num, den), "hub long, x int, y int, a long, b long"), "forest")
     if not tried.isEmpty():
-        edges = edges.unionByName(tried)
-        labels = stage(components(edges), "labels")
-    met_again = met.drop("label").join(labels, "node", "left").select("hub", "x", "y", "node", "n", F.coalesce("label", "node").alias("label"), "block", "sketch")
-    left = stage(met_again.groupBy("hub", "x", "y").applyInArrow(lambda t: _unsettled(t, num, den), IN_BLOCKS), "unsettled")
-    discard(met)
-    if not left.isEmpty():
-        sets = sets_of(left.select("node"))
-        proven = stage(left.join(sets, "node").groupBy("hub", "x", "y").applyInArrow(lambda t: _proven(t, num, den), "a long, b long"), "proven")
-        discard(sets)
-        if not proven.isEmpty():
-            labels = stage(components(edges.unionByName(proven)), "labels")
-    return rows.join(labels, "node", "left").select("doc_id", "text_hash", "n", "node", F.coalesce("label", "node").alias("label"))
+        links = checked(stage(tried.select("a", "b").distinct(), "pairs"))
+        labels = _merged(labels, links)
+        failed = tried.join(links, ["a", "b"], "left_anti").select("hub", "x", "y").distinct()
+        left = stage(dealt(met.join(failed, ["hub", "x", "y"], "left_semi"), labels).applyInArrow(lambda t: _unsettled(t, num, den), IN_BLOCKS), "unsettled")
+        if not left.isEmpty():
+            sets = sets_of(left.select("node"))
+            proven = stage(left.join(sets, "node").groupBy("hub", "x", "y").applyInArrow(lambda t: _proven(t, num, den), "a long, b long"), "proven")
+            discard(sets)
+            if not proven.isEmpty():
+                labels = _merged(labels, proven)
+    full = nodes.select("node", "c").join(labels, "node", "left").select("node", "c", F.coalesce("label", "node").alias("label"))
+    return join_unevenly(rows, stage(full, "labelled"), ["node"], "left").select("doc_id", "text_hash", "n", "label")
 
 
 def link_components(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs."""
     rows = stage(grouped(docs, k, num, den), "grouped")
-    least = rows.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    least = rows.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("c"))
     worded = F.col("label").isNotNull()
-    return rows.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(worded, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = join_unevenly(rows, stage(least, "least"), ["label"], "left")
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(worded, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def oracle() -> str:
@@ -460,8 +487,8 @@ def oracle() -> str:
     s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] ELSE list_sort(list_distinct([array_to_string(w[i : i + {K - 1}], ' ') FOR i IN generate_series(1, greatest(1, len(w) - {K - 1}))])) END AS shingles FROM w),
     nodes AS (SELECT min(r) AS node, shingles, len(shingles) AS n FROM s WHERE len(shingles) > 0 GROUP BY shingles),
     e AS (SELECT node, n, unnest(shingles) AS shingle FROM nodes),
-    pairs AS (SELECT a.node AS a, b.node AS b, count(*) AS both, any_value(a.n) + any_value(b.n) AS total FROM e a JOIN e b ON a.shingle = b.shingle AND a.node <> b.node GROUP BY a.node, b.node),
-    links AS (SELECT a, b FROM pairs WHERE {DEN} * both >= {NUM} * (total - both)),
+    pairs AS (SELECT a.node AS a, b.node AS b, count(*) AS shared, any_value(a.n) + any_value(b.n) AS total FROM e a JOIN e b ON a.shingle = b.shingle AND a.node <> b.node GROUP BY a.node, b.node),
+    links AS (SELECT a, b FROM pairs WHERE {DEN} * shared >= {NUM} * (total - shared)),
     reach AS (SELECT node AS a, node AS b FROM nodes UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
     least AS (SELECT n.node, s.doc_id FROM s JOIN nodes n ON s.shingles = n.shingles),
     comp AS (SELECT reach.a AS node, min(least.doc_id) AS component_id FROM reach JOIN least ON reach.b = least.node GROUP BY reach.a)
