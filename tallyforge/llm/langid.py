@@ -2,20 +2,25 @@
 
 A text is the mean embedding of its hashed letter n-grams (1 to 3, word ends marked); a softmax layer names the
 language. Both layers are trained in numpy by stochastic gradient descent on a bounded sample of labelled rows: at
-most SAMPLE rows, the same number for each language, drawn by a hash of the id over the whole table. A fifth of the
-sample is kept for calibration: a temperature is fitted to it, and the rejection level is the probability that all
-but REJECT of its rightly named texts reach, but never above HIGHEST_LEVEL.
+most SAMPLE rows, the same number for each language, drawn by a hash of the id over the whole table.
+
+Rejection is learned too. Each third drawn row also gives a negative: its letters shuffled, or replaced by random ones,
+or most of them by signs. Negatives are one more class of the softmax, which is never named but takes its share of the
+probability. A fifth of rows and negatives is kept for calibration: a temperature is fitted to it, and the level lies
+midway between the score that all but NEGATIVES of the negatives stay under and the one that all but REJECT of the
+rightly named texts reach, or is the latter if it is the lower one. A text that scores less is not accepted.
 
 Prediction reads whole texts, in pieces of PIECE characters. The two layers are multiplied out beforehand, so that a
 text costs one count of n-grams and one small product.
 
 Defined cases: null text, or text without a letter, is `und` with score 0 and is rejected; rows without a language
-teach nothing; without any labelled row everything is `und`; one language alone is always named with score 1; equal
-texts are named alike; columns other than doc_id, text and lang are ignored or passed through.
+teach nothing; without any labelled row everything is `und`; one language alone is always named; equal texts are named
+alike; columns other than doc_id, text and lang are ignored or passed through.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,8 +35,11 @@ from .textvec import mix
 UND = "und"
 BUCKETS, DIM = 4096, 16
 SAMPLE, SAMPLE_EACH = 6000, 600
-EPOCHS, RATE, MINIBATCH, SEED = 30, 8.0, 32, 7
-REJECT, HIGHEST_LEVEL = 0.002, 0.4
+EPOCHS, RATE, MINIBATCH, SEED = 30, 4.0, 32, 7
+#: The largest step of one embedding component, so that no minibatch throws the training off.
+STEP = 1.0
+REJECT, NEGATIVES, NEGATIVE_EACH = 0.002, 0.01, 3
+SIGNS = "#$%&*+-/<=>@^_|~0123456789"
 PIECE = 1 << 19
 _letters: list[np.ndarray] = []
 
@@ -43,31 +51,52 @@ def _is_letter() -> np.ndarray:
 
 
 def ngram_counts(text: str) -> np.ndarray | None:
-    """How often each bucket's n-grams occur in a whole text; None if it has no letter."""
+    """How often each bucket's n-grams occur in a whole text; None if it has no letter. The pieces it is read in don't show."""
     total = np.zeros(BUCKETS, np.int64)
-    letter, seen = _is_letter(), False
+    letter, seen, tail, text = _is_letter(), False, np.zeros(1, np.uint64), text.lower()
     for start in range(0, len(text), PIECE):
-        codes = np.frombuffer(text[max(0, start - 2) : start + PIECE].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.frombuffer(text[start : start + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
         codes = np.where(letter[np.minimum(codes, 0x10FFFF)], codes, 0).astype(np.uint64)
-        if not codes.any():
-            continue
-        seen = True
-        codes = np.concatenate([[np.uint64(0)] if start == 0 else [], codes, [np.uint64(0)] if start + PIECE >= len(text) else []]).astype(np.uint64)
+        codes = np.concatenate([tail, codes, np.zeros(int(start + PIECE >= len(text)), np.uint64)])
         codes = codes[np.concatenate([[True], (codes[1:] != 0) | (codes[:-1] != 0)])]
-        one = codes[codes != 0]
-        two = codes[:-1] * np.uint64(0x1F123BB5) + codes[1:] + np.uint64(1 << 40)
-        three = (codes[:-2] * np.uint64(0x1F123BB5) + codes[1:-1]) * np.uint64(0x1F123BB5) + codes[2:] + np.uint64(1 << 41)
-        grams = np.concatenate([one, two, three[codes[1:-1] != 0]])
+        new = len(tail)
+        one = codes[new:][codes[new:] != 0]
+        seen = seen or len(one) > 0
+        two = codes[new - 1 : -1] * np.uint64(0x1F123BB5) + codes[new:] + np.uint64(1 << 40)
+        at = max(new, 2)
+        three = (codes[at - 2 : -2] * np.uint64(0x1F123BB5) + codes[at - 1 : -1]) * np.uint64(0x1F123BB5) + codes[at:] + np.uint64(1 << 41)
+        grams = np.concatenate([one, two, three[codes[at - 1 : -1] != 0]])
         total += np.bincount((mix(grams) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+        tail = codes[-2:]
     return total if seen else None
 
 
+def negative(text: str) -> str:
+    """A text that is no language's, made from one: letters shuffled, or replaced by random ones, or most by signs. Equal texts give equal negatives."""
+    chars = np.array(list(text), "U1")
+    rng = np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+    at = np.flatnonzero(np.char.isalpha(chars))
+    kind = rng.integers(3)
+    if kind == 0:
+        chars[at] = chars[rng.permutation(at)]
+    elif kind == 1:
+        chars[at] = np.array([*"abcdefghijklmnopqrstuvwxyz"])[rng.integers(26, size=len(at))]
+    else:
+        away = at[rng.random(len(at)) < 0.9]
+        chars[away] = np.array([*SIGNS])[rng.integers(len(SIGNS), size=len(away))]
+    return "".join(chars.tolist())
+
+
 @dataclass
 class Model:
     langs: list[str]
-    weights: np.ndarray  # BUCKETS x languages: embeddings times softmax layer, over the temperature
+    weights: np.ndarray  # BUCKETS x (languages, then no language): embeddings times softmax layer, over the temperature
     bias: np.ndarray
     level: float
+    #: On calibration rows: how many rightly named ones are accepted, how many accepted ones are named wrongly, how many negatives are accepted.
+    coverage: float = 1.0
+    error: float = 0.0
+    let_in: float = 0.0
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         names, scores = [UND] * len(texts), np.zeros(len(texts))
@@ -78,7 +107,7 @@ class Model:
             at = [i for i, c in enumerate(counts) if c is not None]
             if at:
                 x = np.array([counts[i] for i in at], np.float64)
-                p = _softmax((x / x.sum(axis=1, keepdims=True)) @ self.weights + self.bias)
+                p = _softmax((x / x.sum(axis=1, keepdims=True)) @ self.weights + self.bias)[:, : len(self.langs)]
                 for i, row in zip(at, p, strict=True):
                     names[start + i], scores[start + i] = self.langs[int(row.argmax())], row.max()
         return names, scores
@@ -89,18 +118,18 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(counts: np.ndarray, labels: list[str]) -> Model:
-    """counts: rows x BUCKETS."""
-    langs = sorted(set(labels))
+def fit(counts: np.ndarray, labels: list[str | None]) -> Model:
+    """counts: rows x BUCKETS; the label of a negative is None."""
+    langs = sorted({x for x in labels if x is not None})
     if not langs:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
-    y = np.array([langs.index(x) for x in labels])
+        return Model([], np.zeros((BUCKETS, 1)), np.zeros(1), 1.0)
+    y = np.array([len(langs) if x is None else langs.index(x) for x in labels])
     x = (counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
     rng = np.random.default_rng(SEED)
     calibrate = rng.random(len(y)) < 0.2 if len(y) >= 20 else np.zeros(len(y), bool)
     xt, yt = x[~calibrate], y[~calibrate]
     embed = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
-    layer, bias = np.zeros((DIM, len(langs)), np.float32), np.zeros(len(langs), np.float32)
+    layer, bias = np.zeros((DIM, len(langs) + 1), np.float32), np.zeros(len(langs) + 1, np.float32)
     steps, step = EPOCHS * (-(-len(yt) // MINIBATCH)), 0
     for _ in range(EPOCHS):
         order = rng.permutation(len(yt))
@@ -111,19 +140,23 @@ def fit(counts: np.ndarray, labels: list[str]) -> Model:
             g = _softmax(hidden @ layer + bias)
             g[np.arange(len(at)), yt[at]] -= 1
             g /= len(at)
-            back = xt[at].T @ (g @ layer.T)
+            back = rate * 20 * (xt[at].T @ (g @ layer.T))
             layer -= rate * (hidden.T @ g)
             bias -= 0.1 * g.sum(axis=0)
-            embed -= rate * 20 * back
+            embed -= back * min(1.0, STEP / max(1e-9, float(np.abs(back).max())))
             step += 1
     xc, yc = (x[calibrate], y[calibrate]) if calibrate.any() else (xt, yt)
     z = (xc @ embed @ layer + bias).astype(np.float64)
     loss = lambda t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(yc)), yc], 1e-12)).mean()
     heat = min(np.geomspace(0.25, 4, 33), key=loss)
-    p = _softmax(z / heat)
-    right = p.max(axis=1)[p.argmax(axis=1) == yc]
-    level = min(HIGHEST_LEVEL, float(np.quantile(right, REJECT))) if len(right) else HIGHEST_LEVEL
-    return Model(langs, (embed @ layer).astype(np.float64) / heat, bias.astype(np.float64) / heat, level)
+    p = _softmax(z / heat)[:, : len(langs)]
+    best, right, junk = p.max(axis=1), p.argmax(axis=1) == yc, yc == len(langs)
+    most = float(np.quantile(best[right], REJECT)) if right.any() else 0.0
+    least = float(np.quantile(best[junk], 1 - NEGATIVES, method="higher")) if junk.any() else 0.0
+    level = (least + most) / 2 if least < most else most
+    passed = best >= level
+    rates = [float(x.mean()) if len(x) else 0.0 for x in (passed[right], ~right[passed & ~junk], passed[junk])]
+    return Model(langs, (embed @ layer).astype(np.float64) / heat, bias.astype(np.float64) / heat, level, *rates)
 
 
 def train(docs: DataFrame) -> Model:
@@ -140,16 +173,20 @@ def train(docs: DataFrame) -> Model:
         for batch in batches:
             keys, langs, at, counts = [], [], [], []
             for key, text, lang in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lang")), strict=True):
-                c = ngram_counts(text) if text else None
-                if c is not None:
-                    used = np.flatnonzero(c)
-                    keys.append(str(key))
-                    langs.append(lang)
-                    at.append(used.astype(np.int16).tobytes())
-                    counts.append(c[used].astype(np.int32).tobytes())
+                if not text:
+                    continue
+                made = [(lang, text)] if zlib.crc32(str(key).encode()) // 4 % NEGATIVE_EACH else [(lang, text), (None, negative(text))]
+                for label, t in made:
+                    c = ngram_counts(t)
+                    if c is not None:
+                        used = np.flatnonzero(c)
+                        keys.append(str(key))
+                        langs.append(label)
+                        at.append(used.astype(np.int16).tobytes())
+                        counts.append(c[used].astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(langs, pa.string()), pa.array(at, pa.binary()), pa.array(counts, pa.binary())], ["k", "lang", "at", "n"])
 
-    rows = sorted(drawn.mapInArrow(work, "k string, lang string, at binary, n binary").collect(), key=lambda r: (r["k"], r["lang"], bytes(r["n"])))
+    rows = sorted(drawn.mapInArrow(work, "k string, lang string, at binary, n binary").collect(), key=lambda r: (r["k"], r["lang"] or "", bytes(r["n"])))
     x = np.zeros((len(rows), BUCKETS), np.float32)
     for i, r in enumerate(rows):
         x[i, np.frombuffer(r["at"], np.int16)] = np.frombuffer(r["n"], np.int32)
