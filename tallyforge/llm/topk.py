@@ -8,8 +8,11 @@ length times the block's greatest: above 1 it skips the block; from COORDINATE o
 coordinates at its FOCUS largest ones lie where that cosine allows; below, those long enough. What is left is verified
 by exact integer products.
 
-Defined cases: vectors that are null, hold null or non-finite components, or quantise beyond 31 bits take no part;
-only vectors of one dimension are compared; rows of the query's own id are no candidates; ties go to the smaller id;
+Quantised components are 32-bit integers where they fit, else whole doubles, and products are computed in doubles, in
+64 bits or in Python's integers, whichever holds them. A score beyond 64 bits fails, if it is among the results.
+
+Defined cases: vectors that are null, or hold null or non-finite components, take no part; a component of 2**500 or
+more in size after scaling fails; only vectors of one dimension are compared; rows of the query's own id are no candidates; ties go to the smaller id;
 repeated rows count once; fewer candidates than k give fewer rows; an empty table gives none.
 """
 
@@ -28,11 +31,12 @@ K, SCALE = 5, 256
 BLOCK_ROWS, QUERY_ROWS, BANDS, PROBES = 4096, 512, 32, 1024
 COORDINATE, FOCUS = 0.6, 3
 SLACK = 1e-9
+LARGEST = 2.0**500
 PACKED = "dim int, ids binary, matrix binary"
 
 
 def _quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """id, dim, norm, v (32-bit integers, packed) of the vectors that take part."""
+    """id, dim, norm, v (32-bit integers or whole doubles, packed) of the vectors that take part."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -40,13 +44,16 @@ def _quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> Dat
             for key, v in zip(batch.column("id").to_pylist(), batch.column("v"), strict=True):
                 if key is None or not v.is_valid or v.values.null_count:
                     continue
-                x = np.floor(v.values.to_numpy(zero_copy_only=False).astype(np.float64) * scale)
-                if not np.isfinite(x).all() or (np.abs(x) >= 2**31).any():
+                x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
+                if not np.isfinite(x).all():
                     continue
+                x = np.floor(x * scale)
+                if (np.abs(x) >= LARGEST).any():
+                    raise OverflowError(f"vector {key} has a component beyond {LARGEST:g}")
                 ids.append(key)
                 dims.append(len(x))
                 norms.append(float(np.sqrt((x * x).sum())))
-                packed.append(x.astype(np.int32).tobytes())
+                packed.append((x if (np.abs(x) >= 2**31).any() else x.astype(np.int32)).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(norms, pa.float64()), pa.array(packed, pa.binary())], ["id", "dim", "norm", "v"])
 
     return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).mapInArrow(work, "id long, dim int, norm double, v binary")
@@ -55,27 +62,55 @@ def _quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> Dat
 def _pack(table: pa.Table) -> tuple[int, bytes, bytes]:
     """Dimension, ids and matrix of a group, longest first."""
     order = np.lexsort((table.column("id").to_numpy(), -table.column("norm").to_numpy()))
-    rows = table.column("v").to_pylist()
-    return table.column("dim")[0].as_py(), table.column("id").to_numpy()[order].tobytes(), b"".join(rows[i] for i in order)
+    rows, dim = table.column("v").to_pylist(), table.column("dim")[0].as_py()
+    return dim, table.column("id").to_numpy()[order].tobytes(), _joined([rows[i] for i in order], dim)
+
+
+def _joined(rows: list[bytes], dim: int) -> bytes:
+    """One matrix of packed vectors: doubles if any of them holds doubles."""
+    if all(len(r) == 4 * dim for r in rows):
+        return b"".join(rows)
+    return b"".join(r if len(r) == 8 * dim else np.frombuffer(r, np.int32).astype(np.float64).tobytes() for r in rows)
 
 
 def _matrix(ids: bytes, matrix: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
     ids = np.frombuffer(ids, np.int64)
-    return ids, np.frombuffer(matrix, np.int32).reshape(len(ids), dim).astype(np.float64)
+    return ids, np.frombuffer(matrix, np.int32 if len(matrix) == 4 * dim * len(ids) else np.float64).reshape(len(ids), dim).astype(np.float64)
 
 
 def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact inner products: in floats while every sum stays under 2**53, else in integers."""
+    """Exact inner products: in floats while every sum stays under 2**53, in integers of 64 bits while it stays under 2**63, else in Python's."""
     if not q.size or not c.size:
         return np.zeros((len(q), len(c)), np.int64)
-    if np.abs(q).max() * np.abs(c).max() * q.shape[1] < 2**53:
+    most = float(np.abs(q).max()) * float(np.abs(c).max()) * q.shape[1]
+    if most < 2**53:
         return (q @ c.T).astype(np.int64)
-    return q.astype(np.int64) @ c.astype(np.int64).T
+    if most < 2**62 and max(np.abs(q).max(), np.abs(c).max()) < 2**62:
+        return q.astype(np.int64) @ c.astype(np.int64).T
+    whole = np.frompyfunc(int, 1, 1)
+    return np.dot(whole(q), whole(c).T)
+
+
+def _floor(score) -> float:
+    """A double that a whole number is not less than."""
+    x = float(score)
+    return x if abs(x) < 2**53 else float(np.nextafter(x, -np.inf))
+
+
+def _long(score: int) -> int | None:
+    """A score for a column of 64 bits; one below them has none, one above them can't be told."""
+    if score >= 2**63:
+        raise OverflowError("a score is beyond 64 bits")
+    return score if score >= -(2**63) else None
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, own: int, least: float, k: int) -> Iterator[tuple[int, int]]:
     """The k best of scores that reach least, ties to the smaller id, without the query's own."""
-    at = np.flatnonzero((scores >= least) & (ids != own))
+    at = np.flatnonzero((scores >= least).astype(bool) & (ids != own))
+    if scores.dtype == object:
+        for i in sorted(at.tolist(), key=lambda i: (-scores[i], ids[i]))[:k]:
+            yield int(ids[i]), _long(scores[i])
+        return
     if len(at) > 8 * k:  # those at or above the k-th score
         at = at[scores[at] >= -np.partition(-scores[at], k - 1)[k - 1]]
     for i in at[np.lexsort((ids[at], -scores[at]))][:k]:
@@ -139,9 +174,10 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = K, id_col: str = "vec
             for dim, ids, matrix in zip(*(batch.column(c).to_pylist() for c in ("dim", "qids", "queries")), strict=True):
                 qid, q = _matrix(ids, matrix, dim)
                 mine = list({p[1]: p for p in probes if p[0] == dim}.values())
-                pid, p = _matrix(np.array([x[1] for x in mine], np.int64).tobytes(), b"".join(x[2] for x in mine), dim) if mine else (np.zeros(0, np.int64), np.zeros((0, dim)))
-                scores = np.where(pid[None, :] == qid[:, None], np.iinfo(np.int64).min, _products(q, p))
-                least = np.sort(scores, axis=1)[:, -k].astype(np.float64) if len(pid) > k else np.full(len(qid), -np.inf)
+                pid, p = _matrix(np.array([x[1] for x in mine], np.int64).tobytes(), _joined([x[2] for x in mine], dim), dim) if mine else (np.zeros(0, np.int64), np.zeros((0, dim)))
+                scores = _products(q, p)
+                scores = np.where(pid[None, :] == qid[:, None], -(2.0**1023) if scores.dtype == object else np.iinfo(np.int64).min, scores)
+                least = np.array([_floor(x) for x in np.sort(scores, axis=1)[:, -k]]) if len(pid) > k else np.full(len(qid), -np.inf)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     ratio = np.where(least > 0, np.linalg.norm(q, axis=1) / least, np.inf)
                 out.append((least.tobytes(), float(ratio.max())))
@@ -161,7 +197,9 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = K, id_col: str = "vec
 
     found = pairs.select("dim", "qids", "queries", "least", "ids", "matrix").mapInArrow(verify, "query_id long, vec_id long, score long").distinct()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    told = F.when(F.col("score").isNull(), F.raise_error(F.lit("a score is below 64 bits"))).otherwise(F.col("score"))
+    return best.select("query_id", "rank", "vec_id", told.cast("long").alias("score"))
 
 
 def oracle() -> str:
