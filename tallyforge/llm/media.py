@@ -9,7 +9,7 @@ fails its checksum, is read again from its own offset, up to ATTEMPTS times, wit
 An archive is named by its input partition and put in place by a rename, so that a task that runs twice leaves one.
 
 Defined cases: null text counts as empty, whose payload is 64 zeros; equal texts give equal media; rows of equal or
-null id are members of their own; an empty table gives no archive and no rows; other columns are ignored.
+null id are members of their own, and an empty id is not a null one; an empty table gives no archive and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ from .common import fresh_dir
 WIDTH = 64
 LEVEL = 4
 ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES = 32 << 20, 8 << 20, 4 << 20
+#: Ranges that the driver plans, beside one for each archive.
+MOST_RANGES = 100_000
 ATTEMPTS, WAIT_S = 3, 0.05
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 MOST_CHUNK = 1 << 30
@@ -80,6 +83,16 @@ def from_png(media: bytes) -> tuple[np.ndarray, int]:
     return rows[:, 1:], n_bytes
 
 
+def member_name(key) -> str:
+    """A file name that tells null, the empty text and any other id apart."""
+    return "none" if key is None else "id-" + quote(str(key), safe="")
+
+
+def member_key(member: str) -> str | None:
+    name = member.split("/", 1)[1][: -len(".png")]
+    return unquote(name[len("id-") :]) if name.startswith("id-") else None
+
+
 def _open(folder: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pa.fs.LocalFileSystem(), folder)
 
@@ -110,7 +123,7 @@ def write_archives(docs: DataFrame, folder: str) -> int:
             for key, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
                 data, size = payload(text.as_py())
                 key = key.as_py()
-                archive.writestr(zipfile.ZipInfo(f"{n:09d}/{'' if key is None else key}.png"), to_png(data, size))
+                archive.writestr(zipfile.ZipInfo(f"{n:09d}/{member_name(key)}.png"), to_png(data, size))
                 n, held = n + 1, held + 1
                 if buffer.tell() >= ARCHIVE_BYTES:
                     put()
@@ -136,7 +149,9 @@ class ArchiveReader(DataSourceReader):
     def partitions(self) -> list[ByteRange]:
         store, root = _open(self.folder)
         found = store.get_file_info(pa.fs.FileSelector(root, allow_not_found=True))
-        ranges = [ByteRange(f.path, at, at + self.range_bytes) for f in sorted(found, key=lambda f: f.path) if f.path.endswith(".zip") for at in range(0, f.size, self.range_bytes)]
+        archives = sorted((f for f in found if f.path.endswith(".zip")), key=lambda f: f.path)
+        step = max(self.range_bytes, -(-sum(f.size for f in archives) // MOST_RANGES))  # longer ranges, not more of them, for large folders
+        ranges = [ByteRange(f.path, at, at + step) for f in archives for at in range(0, f.size, step)]
         return ranges or [ByteRange("", 0, 0)]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
@@ -220,7 +235,7 @@ def describe(media: DataFrame, key: str = "bigint") -> DataFrame:
             for member, data in zip(batch.column("member").to_pylist(), batch.column("media").to_pylist(), strict=True):
                 samples, n = from_png(data)
                 raw = samples.tobytes()
-                rows.append((member.split("/", 1)[1][:-4] or None, n, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), feature(samples)))
+                rows.append((member_key(member), n, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), feature(samples)))
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
