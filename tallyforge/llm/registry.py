@@ -59,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_top_k": topk.oracle(), "op8_jaccard_join": jaccard.oracle(), "op9_mixing": mixing.oracle(), "op10_license_scans": licenses.oracle()}
+    return {"op6_lm_scoring": lm.oracle(), "op7_top_k": topk.oracle(), "op8_jaccard_join": jaccard.oracle(), "op9_mixing": mixing.oracle(), "op10_license_scans": licenses.oracle()}
