@@ -43,7 +43,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, discard, join_unevenly, stage
+from .common import WORD, bounded, discard, join_unevenly, stage
 from .textvec import mix, shingles, word_hashes
 
 K, NUM, DEN = 3, 90, 100
@@ -71,45 +71,60 @@ def _digest(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).astype(np.int64))
 
 
-def combine(rows: DataFrame, op: str, kind: str) -> np.ndarray | None:
-    """One vector from a binary column v of equally long vectors, by sums or unions of FAN_IN at a time; one vector reaches the driver."""
+def _narrow(v: np.ndarray) -> bytes:
+    """Counts in as few bytes each as they take, 4 at most, where they stop growing; the first byte tells how many."""
+    most = int(v.max(initial=0))
+    size = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4
+    v = np.minimum(v, np.uint64(2**32 - 1)) if v.itemsize == 8 else v
+    return bytes([size]) + v.astype(f"uint{8 * size}").tobytes()
+
+
+def _wide(data: memoryview | bytes) -> np.ndarray:
+    return np.frombuffer(data, f"uint{8 * bytes(data[:1])[0]}", offset=1)
+
+
+def combine(rows: DataFrame, op: str) -> np.ndarray | None:
+    """One vector from a binary column v of equally long narrowed vectors, by sums or unions of FAN_IN at a time; one vector reaches the driver."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             for x in batch.column("v"):
-                v = np.frombuffer(x.as_buffer(), kind)
-                total = v.copy() if total is None else (total + v if op == "sum" else total | v)
+                v = _wide(memoryview(x.as_buffer()))
+                if total is None:
+                    total = v.astype(np.uint64 if op == "sum" else np.uint8)
+                elif op == "sum":
+                    total += v
+                else:
+                    total |= v
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
+            yield pa.RecordBatch.from_arrays([pa.array([_narrow(total)], pa.binary())], ["v"])
 
     rows = stage(rows, "vectors")
     while (n := rows.count()) > 1:
-        rows = stage(rows.repartition(-(-n // FAN_IN)).mapInArrow(fold, "v binary"), "vectors")
-    found = [np.frombuffer(bytes(r[0]), kind) for r in rows.collect()]
-    if not found:
-        return None
-    return np.sum(found, axis=0, dtype=kind) if op == "sum" else np.bitwise_or.reduce(found)
+        rows = stage(rows.repartition(-(-n // FAN_IN)).mapInArrow(bounded(fold), "v binary"), "vectors")
+    found = rows.first()
+    return None if found is None else _wide(bytes(found[0]))
 
 
 def frequencies(docs: DataFrame, k: int = K) -> np.ndarray:
-    """Document counts, each shared by the shingles that hash to it: COUNTERS of them, more for large tables, MOST_COUNTERS at most."""
+    """Document counts (up to 2**32 - 1, since they only order), each shared by the shingles that hash to it: COUNTERS of them, more for large tables, MOST_COUNTERS at most."""
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     size = min(MOST_COUNTERS, max(COUNTERS, 1 << (n_bytes // TEXT_BYTES_EACH).bit_length()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size, np.uint64)
+        counts = np.zeros(size, np.uint32)
         for batch in batches:
             held = []
             for i, s in enumerate(_sets(batch.column("text"), k)):
                 held.append(s)
                 if i % 256 == 255 or i == batch.num_rows - 1:
-                    counts += np.bincount((np.concatenate(held) & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint64)
+                    counts += np.bincount((np.concatenate(held) & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint32)
                     held = []
-        yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], ["v"])
+        yield pa.RecordBatch.from_arrays([pa.array([_narrow(counts)], pa.binary())], ["v"])
 
-    found = combine(docs.select("text").mapInArrow(work, "v binary"), "sum", "uint64")
-    return np.zeros(size, np.uint32) if found is None else np.minimum(found, np.uint64(2**32 - 1)).astype(np.uint32)  # only orders
+    found = combine(docs.select("text").mapInArrow(bounded(work), "v binary"), "sum")
+    return np.zeros(size, np.uint8) if found is None else found
 
 
 def _prefixes(docs: DataFrame, held: Broadcast, k: int, num: int, den: int) -> DataFrame:
@@ -136,7 +151,7 @@ def _prefixes(docs: DataFrame, held: Broadcast, k: int, num: int, den: int) -> D
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *made], ["doc_id", "text_hash", "node", "n", "least", "prefix", "sketch"])
 
     shape = f"doc_id {key.dataType.simpleString()}, text_hash long, node long, n long, least long, prefix array<long>, sketch binary"
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(work, shape)
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(bounded(work), shape)
 
 
 def _need(a: str, b: str, num: int, den: int) -> F.Column:
@@ -209,7 +224,7 @@ def _suffix_filter(pairs: DataFrame, info: DataFrame, num: int, den: int) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
     joined = pairs.join(info.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(info.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-    return joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(work, "a long, b long")
+    return joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(bounded(work), "a long, b long")
 
 
 class Labels:
@@ -352,17 +367,17 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     if bits > MOST_BITS:
         ids = wanted.select(F.col("doc_id").alias("id")).distinct()
-        picked = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").mapInArrow(whole, "node long, shingles binary")
+        picked = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").mapInArrow(bounded(whole), "node long, shingles binary")
         return picked.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(bits, bool)
         for batch in batches:
             seen[_hash_ids(batch.column("doc_id"), bits)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen).tobytes()], pa.binary())], ["v"])
+        yield pa.RecordBatch.from_arrays([pa.array([_narrow(np.packbits(seen))], pa.binary())], ["v"])
 
     ids = wanted.select("doc_id").repartition(max(1, min(64, n // 100_000)))
-    held = docs.sparkSession.sparkContext.broadcast(combine(ids.mapInArrow(mark, "v binary"), "or", "uint8"))  # MOST_BITS at most
+    held = docs.sparkSession.sparkContext.broadcast(combine(ids.mapInArrow(bounded(mark), "v binary"), "or"))  # MOST_BITS at most
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = None if held.value is None else np.unpackbits(held.value).astype(bool)
@@ -371,7 +386,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             for start in range(0, len(keep), 256):
                 yield from whole(iter([batch.take(pa.array(keep[start : start + 256]))]))
 
-    found = texts.mapInArrow(work, "node long, shingles binary")
+    found = texts.mapInArrow(bounded(work), "node long, shingles binary")
     return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -384,7 +399,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
     joined = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a")
-    return joined.select("a", "b", "xa", "xb").mapInArrow(work, "a long, b long")
+    return joined.select("a", "b", "xa", "xb").mapInArrow(bounded(work), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import bounded, held_out
 from .textvec import mix
 
 UND = "und"
@@ -72,19 +72,21 @@ def ngram_counts(text: str) -> np.ndarray | None:
 
 
 def negative(text: str) -> str:
-    """A text that is no language's, made from one: letters shuffled, or replaced by random ones, or most by signs. Equal texts give equal negatives."""
-    chars = np.array(list(text), "U1")
+    """A text that is no language's, made from a whole one, PIECE characters at a time: letters shuffled, or replaced by random ones, or most by signs. Equal texts give equal negatives."""
     rng = np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass")))
-    at = np.flatnonzero(np.char.isalpha(chars))
-    kind = rng.integers(3)
-    if kind == 0:
-        chars[at] = chars[rng.permutation(at)]
-    elif kind == 1:
-        chars[at] = np.array([*"abcdefghijklmnopqrstuvwxyz"])[rng.integers(26, size=len(at))]
-    else:
-        away = at[rng.random(len(at)) < 0.9]
-        chars[away] = np.array([*SIGNS])[rng.integers(len(SIGNS), size=len(away))]
-    return "".join(chars.tolist())
+    kind, letter, out = rng.integers(3), _is_letter(), []
+    for start in range(0, len(text), PIECE):
+        codes = np.frombuffer(text[start : start + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+        at = np.flatnonzero(letter[np.minimum(codes, 0x10FFFF)])
+        if kind == 0:
+            codes[at] = codes[rng.permutation(at)]
+        elif kind == 1:
+            codes[at] = rng.integers(ord("a"), ord("z") + 1, len(at))
+        else:
+            away = at[rng.random(len(at)) < 0.9]
+            codes[away] = np.array([*map(ord, SIGNS)], np.uint32)[rng.integers(len(SIGNS), size=len(away))]
+        out.append(codes.tobytes().decode("utf-32-le", "surrogatepass"))
+    return "".join(out)
 
 
 @dataclass
@@ -186,7 +188,7 @@ def train(docs: DataFrame) -> Model:
                         counts.append(c[used].astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(langs, pa.string()), pa.array(at, pa.binary()), pa.array(counts, pa.binary())], ["k", "lang", "at", "n"])
 
-    rows = sorted(drawn.mapInArrow(work, "k string, lang string, at binary, n binary").collect(), key=lambda r: (r["k"], r["lang"] or "", bytes(r["n"])))
+    rows = sorted(drawn.mapInArrow(bounded(work), "k string, lang string, at binary, n binary").collect(), key=lambda r: (r["k"], r["lang"] or "", bytes(r["n"])))
     x = np.zeros((len(rows), BUCKETS), np.float32)
     for i, r in enumerate(rows):
         x[i, np.frombuffer(r["at"], np.int16)] = np.frombuffer(r["n"], np.int32)
@@ -204,7 +206,7 @@ def identify(docs: DataFrame, model: Model, *passed: str) -> DataFrame:
             ok = [n != UND and s >= model.level for n, s in zip(names, scores, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(ok, pa.bool_())], [*columns, "lang_pred", "score", "accepted"])
 
-    return docs.select(*[f"`{c}`" for c in columns], F.col("text").alias("_tf_text")).mapInArrow(work, f"{kinds}, lang_pred string, score double, accepted boolean")
+    return docs.select(*[f"`{c}`" for c in columns], F.col("text").alias("_tf_text")).mapInArrow(bounded(work), f"{kinds}, lang_pred string, score double, accepted boolean")
 
 
 def predict_languages(docs: DataFrame) -> DataFrame:

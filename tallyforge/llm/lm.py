@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, bounded
 from .textvec import mix, word_hashes
 
 ALPHA = 0.4
@@ -114,7 +114,7 @@ def score(docs: DataFrame, alpha: float = ALPHA, block_bytes: int = BLOCK_BYTES)
             at = utf8(batch.column("text"))[1]
             yield pa.RecordBatch.from_arrays([pa.array([int(at[-1] - at[0])]), pa.array([words])], ["b", "w"])
 
-    n_bytes, n_words = docs.select("text").mapInArrow(size, "b long, w long").agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
+    n_bytes, n_words = docs.select("text").mapInArrow(bounded(size), "b long, w long").agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
     blocks = max(1, -(-n_bytes // block_bytes))
     bits = max(0, (-(-8 * n_words // RANGE_BYTES) - 1).bit_length())
     dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("g")).repartition(blocks, "g")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import fresh_dir
+from .common import bounded, fresh_dir
 
 WIDTH = 64
 LEVEL = 4
@@ -132,7 +132,7 @@ def write_archives(docs: DataFrame, folder: str) -> int:
             put()
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return docs.select("doc_id", "text").mapInArrow(bounded(work), "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 @dataclass
@@ -240,7 +240,7 @@ def describe(media: DataFrame, key: str = "bigint") -> DataFrame:
             columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    found = media.select("member", "media").mapInArrow(work, "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    found = media.select("member", "media").mapInArrow(bounded(work), "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return found.withColumn("doc_id", F.col("doc_id").cast(key))
 
 

@@ -25,10 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import bounded
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Words kept from batch to batch, and characters of text worked on at once; both only bound memory.
-KEPT_WORDS, SLICE = 600_000, 4_000_000
+#: Words and tested pairs kept from batch to batch, and characters of text worked on at once; both only bound memory.
+KEPT_WORDS, KEPT_PAIRS, SLICE = 250_000, 300_000, 2_000_000
 
 
 class Pieces:
@@ -79,7 +81,7 @@ class Pieces:
     def stays(self, left: str, right: str) -> bool:
         found = self.apart.get((left, right))
         if found is None:
-            if len(self.apart) > 2_000_000:
+            if len(self.apart) > KEPT_PAIRS:
                 self.apart.clear()
             found = self.apart[left, right] = self.merged(left + right) == ([left, right] if left else [right])
         return found
@@ -177,7 +179,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[cut], pa.array(sizes, pa.int64()), lists], ["doc_id", "n_tokens", "ids"])
         m.words.clear()  # the worker lives on
 
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {key.dataType.simpleString()}, n_tokens long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(bounded(work), f"doc_id {key.dataType.simpleString()}, n_tokens long, ids array<int>")
 
 
 def decode(tokens: DataFrame, model: str = MODEL) -> DataFrame:
@@ -190,7 +192,7 @@ def decode(tokens: DataFrame, model: str = MODEL) -> DataFrame:
             texts = [m.decode(None if not x.is_valid else x.values.to_numpy(zero_copy_only=False)) for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(work, f"doc_id {key.dataType.simpleString()}, text string")
+    return tokens.select("doc_id", "ids").mapInArrow(bounded(work), f"doc_id {key.dataType.simpleString()}, text string")
 
 
 def encode_digests(docs: DataFrame, model: str = MODEL) -> DataFrame:
@@ -213,4 +215,4 @@ def encode_digests(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[cut], *columns], ["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip"])
         m.words.clear()
 
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {key.dataType.simpleString()}, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(bounded(work), f"doc_id {key.dataType.simpleString()}, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean")

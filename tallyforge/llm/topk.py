@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import bounded, stage
 
 K, SCALE = 5, 256
 BLOCK_ROWS, QUERY_ROWS, BANDS, PROBES = 4096, 512, 32, 1024
@@ -56,7 +56,7 @@ def _quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> Dat
                 packed.append((x if (np.abs(x) >= 2**31).any() else x.astype(np.int32)).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(norms, pa.float64()), pa.array(packed, pa.binary())], ["id", "dim", "norm", "v"])
 
-    return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).mapInArrow(work, "id long, dim int, norm double, v binary")
+    return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).mapInArrow(bounded(work), "id long, dim int, norm double, v binary")
 
 
 def _pack(table: pa.Table) -> tuple[int, bytes, bytes]:
@@ -184,8 +184,8 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = K, id_col: str = "vec
             least, ratio = zip(*out, strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("dim", "qids", "queries")), pa.array(least, pa.binary()), pa.array(ratio, pa.float64())], ["dim", "qids", "queries", "least", "ratio"])
 
-    bounded = stage(packed.mapInArrow(bound, "dim int, qids binary, queries binary, least binary, ratio double"), "queries")
-    pairs = bounded.withColumn("cid", F.explode(F.sequence(F.lit(0), F.lit(len(upper) * chunks - 1))))
+    limited = stage(packed.mapInArrow(bounded(bound), "dim int, qids binary, queries binary, least binary, ratio double"), "queries")
+    pairs = limited.withColumn("cid", F.explode(F.sequence(F.lit(0), F.lit(len(upper) * chunks - 1))))
     reach = F.element_at(F.array(*[F.lit(float(u)) for u in upper]), F.floor(F.col("cid") / chunks).cast("int") + 1)
     pairs = pairs.where(F.col("ratio") * reach * (1 + SLACK) >= 1).join(stage(blocks, "blocks"), ["cid", "dim"])
 
@@ -195,7 +195,7 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = K, id_col: str = "vec
                 found = list(search_block(*_matrix(qids, queries, dim), np.frombuffer(least, np.float64), *_matrix(ids, matrix, dim), k))
                 yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], ["query_id", "vec_id", "score"])
 
-    found = pairs.select("dim", "qids", "queries", "least", "ids", "matrix").mapInArrow(verify, "query_id long, vec_id long, score long").distinct()
+    found = pairs.select("dim", "qids", "queries", "least", "ids", "matrix").mapInArrow(bounded(verify), "query_id long, vec_id long, score long").distinct()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     told = F.when(F.col("score").isNull(), F.raise_error(F.lit("a score is below 64 bits"))).otherwise(F.col("score"))
