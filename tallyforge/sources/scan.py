@@ -1,0 +1,141 @@
+"""A cursor over one line, and rules written with it: phrases, numbers, labels and signs are read one after the other."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import lru_cache
+
+from ..functions.text import CIRCLED_LOW, CIRCLED_NUMBER, CIRCLED_UP, HINDI, HINDI_ABSD, LETTERS
+
+OPEN, CLOSE = "([", ")]"
+CIRCLES = CIRCLED_UP + CIRCLED_LOW + CIRCLED_NUMBER
+SINGLE = frozenset(LETTERS + LETTERS.lower() + HINDI + HINDI_ABSD)
+MOST_LABEL = 12
+
+
+def joins(c: str) -> bool:
+    """Whether a character goes on a word: Latin letters, digits, Devanagari."""
+    return "0" <= c <= "9" or "a" <= c <= "z" or "A" <= c <= "Z" or "\u0900" <= c <= "\u097f"
+
+
+class Phrases:
+    """Phrases in any case of letters; a space in one stands for any white space, or none. The longest that fits counts."""
+
+    def __init__(self, *phrases: str):
+        self.by_first: dict[str, list[list[str]]] = {}
+        for p in sorted({p.lower() for p in phrases}, key=lambda p: (-len(p), p)):
+            self.by_first.setdefault(p[0], []).append(p.split(" "))
+
+    def end(self, low: str, at: int) -> int:
+        """Where a phrase that begins at a place of a lower-case text ends, or -1."""
+        for pieces in self.by_first.get(low[at : at + 1], ()):
+            p = at
+            for i, piece in enumerate(pieces):
+                while i and p < len(low) and low[p].isspace():
+                    p += 1
+                if not low.startswith(piece, p):
+                    break
+                p += len(piece)
+            else:
+                return p
+        return -1
+
+
+class Cursor:
+    __slots__ = ("at", "low", "text")
+
+    def __init__(self, text: str, at: int = 0):
+        low = text.lower()
+        self.text, self.at, self.low = text, at, low if len(low) == len(text) else text
+
+    def here(self) -> str:
+        return self.text[self.at : self.at + 1]
+
+    def gap(self) -> bool:
+        """Goes over white space; whether there was any."""
+        begin = self.at
+        while self.at < len(self.text) and self.text[self.at].isspace():
+            self.at += 1
+        return self.at > begin
+
+    def char(self, signs: str) -> str:
+        """Takes one of the signs, if it is next."""
+        c = self.here()
+        if c and c in signs:
+            self.at += 1
+            return c
+        return ""
+
+    def chars(self, signs: str) -> str:
+        begin = self.at
+        while self.char(signs):
+            pass
+        return self.text[begin : self.at]
+
+    def phrase(self, phrases: Phrases) -> bool:
+        end = phrases.end(self.low, self.at)
+        if end >= 0:
+            self.at = end
+        return end >= 0
+
+    def number(self, most: int = 4) -> int | None:
+        """A run of 1 to most digits."""
+        end = self.at
+        while end < len(self.text) and self.text[end].isdecimal():
+            end += 1
+        if not 0 < end - self.at <= most:
+            return None
+        found, self.at = int(self.text[self.at : end]), end
+        return found
+
+    def run(self) -> str:
+        """Letters and digits up to the next other character."""
+        begin = self.at
+        while self.at < len(self.text) and joins(self.text[self.at]):
+            self.at += 1
+        return self.text[begin : self.at]
+
+    def letter(self) -> str:
+        c = self.here()
+        if c and c in SINGLE:
+            self.at += 1
+            return c
+        return ""
+
+    def label(self, circles: bool = True) -> str:
+        """An option's label: a letter, 1 to 12, or one in a circle."""
+        found = self.letter() or (self.char(CIRCLES) if circles else "")
+        if found or not self.here().isdecimal():
+            return found
+        begin, n = self.at, self.number(2)
+        if n is None or not 1 <= n <= MOST_LABEL or self.text[begin] == "0" or not self.text[begin].isascii():
+            self.at = begin
+            return ""
+        return str(n)
+
+    def closed(self, follow: Callable[[str], bool]) -> bool:
+        """Takes a closing bracket, if one is there; whether what follows is allowed."""
+        begin = self.at
+        self.gap()
+        if self.char(CLOSE) and follow(self.here()):
+            return True
+        self.at = begin
+        return follow(self.here())
+
+    def done(self) -> bool:
+        return not self.text[self.at :].strip()
+
+    def rest(self) -> str:
+        return self.text[self.at :]
+
+
+class Rule:
+    """A rule for the beginning of a line: match gives what it found by name, or None. Lines come back often, so results are kept."""
+
+    def __init__(self, read: Callable[[Cursor], dict | None]):
+        self.read = read
+        self.match = lru_cache(maxsize=8192)(self._begins)
+
+    def _begins(self, line: str) -> dict | None:
+        found = self.read(Cursor(line))
+        return None if found is None else found | {"line": line}
