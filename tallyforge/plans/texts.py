@@ -40,17 +40,10 @@ def text_problems(t: Tables) -> DataFrame:
 
 
 @query("OP-193 OP-238 OP-162 OP-163", """
-    WITH l AS (SELECT page_id, string_split('[' || page_id || '/9] ' || url || chr(10) || chr(10) || '  by   @user' || page_id || ' ' || substr(html, 30, 40), chr(10)) AS lines FROM pages),
+    WITH l AS (SELECT page_id, string_split('[' || page_id || '/9] ' || url || chr(10) || chr(10) || '  by   @user' || page_id || ' ' || html, chr(10)) AS lines FROM pages),
     c AS (SELECT page_id, [trim(regexp_replace(regexp_replace(regexp_replace(x, '(?:https?://|t\\.me/)\\S+', '', 'gi'), '(^|\\W)@[A-Za-z0-9_]{3,32}\\b', '\\1', 'g'), '[ \\t]{2,}', ' ', 'g')) FOR x IN list_concat([regexp_replace(lines[1], '^\\[\\s*\\d+\\s*/\\s*\\d+\\s*\\]', '')], lines[2:])] AS lines FROM l)
     SELECT page_id, array_to_string([x FOR x IN lines IF x <> ''], chr(10)) AS text FROM c""")
 def smart_cleaned(t: Tables) -> DataFrame:
-    raw = F.concat(F.lit("["), F.col("page_id").cast("string"), F.lit("/9] "), F.col("url"), F.lit("\n\n  by   @user"), F.col("page_id").cast("string"), F.lit(" "), F.substring("html", 30, 40))
-    return t.pages.select("page_id", X.clean_text(raw, links=True, handles=True).alias("text"))
-
-
-@query("OP-193 OP-238 OP-162 OP-163")
-def smart_cleaned_pages(t: Tables) -> DataFrame:
-    """Whole pages; smart_cleaned and its twin read 40 characters of each. No twin: RE2 has no look-behind and no Unicode word edges."""
     raw = F.concat(F.lit("["), F.col("page_id").cast("string"), F.lit("/9] "), F.col("url"), F.lit("\n\n  by   @user"), F.col("page_id").cast("string"), F.lit(" "), F.col("html"))
     return t.pages.select("page_id", X.clean_text(raw, links=True, handles=True).alias("text"))
 
@@ -87,22 +80,12 @@ def _timers(lines: DataFrame) -> DataFrame:
     return lines.select("l_orderkey", "l_linenumber", q.alias("q"), X.parse_timer(told).alias("seconds"), S.timer_label(q).alias("label"))
 
 
-@query("OP-024 OP-156 OP-211", """
-    WITH s AS (SELECT l_orderkey, l_linenumber, l_quantity::INTEGER AS q, l_linenumber % 6 AS k FROM lineitem WHERE l_orderkey % 10 = 0),
-    v AS (SELECT *, CASE k WHEN 0 THEN q WHEN 1 THEN q * 60 WHEN 2 THEN q * 60 + 30 WHEN 3 THEN q * 60 + 5 WHEN 4 THEN 0 END AS raw FROM s)
-    SELECT l_orderkey, l_linenumber, q, CASE WHEN k = 5 THEN NULL WHEN raw = 0 THEN 0 WHEN raw BETWEEN 5 AND 3600 THEN raw END AS seconds,
-        CASE WHEN q < 60 OR q = 90 THEN q || ' sec' WHEN q % 60 = 0 THEN (q // 60) || ' min' ELSE (q // 60) || ' min ' || (q % 60) || ' sec' END AS label FROM v""")
-def timers(t: Tables) -> DataFrame:
-    return _timers(t.lineitem.where("l_orderkey % 10 = 0"))
-
-
 @query("OP-024 OP-156 OP-211", """
     WITH s AS (SELECT l_orderkey, l_linenumber, l_quantity::INTEGER AS q, l_linenumber % 6 AS k FROM lineitem),
     v AS (SELECT *, CASE k WHEN 0 THEN q WHEN 1 THEN q * 60 WHEN 2 THEN q * 60 + 30 WHEN 3 THEN q * 60 + 5 WHEN 4 THEN 0 END AS raw FROM s)
     SELECT l_orderkey, l_linenumber, q, CASE WHEN k = 5 THEN NULL WHEN raw = 0 THEN 0 WHEN raw BETWEEN 5 AND 3600 THEN raw END AS seconds,
         CASE WHEN q < 60 OR q = 90 THEN q || ' sec' WHEN q % 60 = 0 THEN (q // 60) || ' min' ELSE (q // 60) || ' min ' || (q % 60) || ' sec' END AS label FROM v""")
-def timers_of_all(t: Tables) -> DataFrame:
-    """Every row; timers and its twin read a tenth."""
+def timers(t: Tables) -> DataFrame:
     return _timers(t.lineitem)
 
 

@@ -166,7 +166,7 @@ def cleaned(text):
 def test_whole_pages_are_cleaned(spark):
     sf = "/root/testdata/sf0.001"
     pages = {r["page_id"]: f"[{r['page_id']}/9] {r['url']}\n\n  by   @user{r['page_id']} {r['html']}" for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
-    got = {r["page_id"]: r["text"] for r in plans.queries()["smart_cleaned_pages"](spark, sf).collect()}
+    got = {r["page_id"]: r["text"] for r in plans.queries()["smart_cleaned"](spark, sf).collect()}
     assert got == {k: cleaned(v) for k, v in pages.items()} and max(map(len, got.values())) > 200
 
 
@@ -178,4 +178,4 @@ def test_late_links_and_handles_go(spark):
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no driver tables here")
 def test_all_rows_have_timers(spark):
     sf = "/root/testdata/sf0.001"
-    assert plans.queries()["timers_of_all"](spark, sf).count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert plans.queries()["timers"](spark, sf).count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
