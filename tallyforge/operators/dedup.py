@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import numbered
+
 PER_PART = 500
 #: Words that say nothing of a topic.
 GENERIC = [
@@ -37,8 +39,8 @@ def distinct_files(files: DataFrame) -> DataFrame:
 
 def parts(questions: DataFrame, per_part: int = PER_PART) -> DataFrame:
     """questions (quiz_id, position, id, ..) with the part that each falls in."""
-    n = F.row_number().over(Window.partitionBy("quiz_id").orderBy("position", "id"))
-    return questions.withColumn("part", F.floor((n - 1) / per_part).cast("int") + 1)
+    placed = numbered(questions, ["quiz_id"], [("block", F.floor(F.col("position") / 1000), False)], [F.col("position"), F.col("id")], "_place")
+    return placed.withColumn("part", F.floor((F.col("_place") - 1) / per_part).cast("int") + 1).drop("_place")
 
 
 def part_ranges(planned: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import numbered
+
 PRIVATE = ("user_id", "chat_id", "owner_id", "started_by", "username", "first_name", "last_name")
 VOLATILE = ("generated_at", "generated_ts")
 
@@ -83,15 +85,14 @@ def redact(df: DataFrame, drop: bool = False) -> DataFrame:
     return df.select(*out, F.lit(True).alias("redacted"))
 
 
+#: Ids that are numbered together: so many of them are one task's.
+ID_BLOCK = 1 << 14
+
+
 def user_refs(users: DataFrame) -> DataFrame:
-    """users without people and with a surrogate, u0 on by order of id. Numbers come from range partitions and their sizes, so no task holds all users."""
-    ranged = users.repartitionByRange("user_id").sortWithinPartitions("user_id").select("*", F.spark_partition_id().alias("_p"))
-    from pyspark.sql import Window
-
-    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).withColumn("_from", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    inside = F.row_number().over(Window.partitionBy("_p").orderBy("user_id"))
-    numbered = ranged.withColumn("_i", inside).join(sizes, "_p").withColumn("user_ref", F.concat(F.lit("u"), (F.col("_from") + F.col("_i") - 1).cast("string")))
-    return numbered.select(*[c for c in users.columns if c not in PRIVATE], "user_ref")
+    """users without people and with a surrogate, u0 on by order of id. Blocks of ids are counted first, so no task holds all users, and what runs again numbers alike."""
+    placed = numbered(users, [], [("block", F.floor(F.col("user_id") / ID_BLOCK), False)], [F.col("user_id")], "_place")
+    return placed.select(*[c for c in users.columns if c not in PRIVATE], F.concat(F.lit("u"), (F.col("_place") - 1).cast("string")).alias("user_ref"))
 
 
 def row_digest(df: DataFrame) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from .ranking import numbered
 
 DONE = ("finished", "stopped")
 
@@ -52,8 +53,8 @@ def leaders(attempts: DataFrame, users: DataFrame, k: int = 10) -> DataFrame:
 def ranks(attempts: DataFrame) -> DataFrame:
     """Rank and number of participants, by best finished attempts only (stopped ones don't count)."""
     best = best_attempts(attempts.where(F.col("status") == "finished"))
-    order = Window.partitionBy("quiz_id").orderBy(F.desc("net"), "duration_sec", "id")
-    return best.select("quiz_id", "user_id", F.row_number().over(order).alias("rank"), F.count(F.lit(1)).over(Window.partitionBy("quiz_id")).alias("participants"))
+    placed = numbered(best, ["quiz_id"], [("net", F.col("net"), True), ("sec", F.floor("duration_sec"), False)], [F.col("duration_sec"), F.col("id")], "rank", "participants")
+    return placed.select("quiz_id", "user_id", F.col("rank").cast("int").alias("rank"), "participants")
 
 
 def user_totals(attempts: DataFrame) -> DataFrame:
@@ -104,25 +105,29 @@ def active_attempts(attempts: DataFrame) -> DataFrame:
     return attempts.where(F.col("status") == "active").groupBy("user_id").agg(F.max("id").alias("id"), _count().alias("running"))
 
 
+def _session_sums(group_answers: DataFrame) -> DataFrame:
+    return group_answers.groupBy("session_id", "user_id").agg(
+        F.sum("is_correct").alias("correct"), F.sum(1 - F.col("is_correct")).alias("wrong"), _count().alias("answered"), F.coalesce(F.sum(F.col("elapsed").cast("decimal(20,6)")), F.lit(0)).cast("double").alias("elapsed"))
+
+
 def group_leaderboard(group_answers: DataFrame, users: DataFrame) -> DataFrame:
     """Totals of each participant in each session, best first. Sums come before the join with users."""
-    sums = group_answers.groupBy("session_id", "user_id").agg(
-        F.sum("is_correct").alias("correct"), F.sum(1 - F.col("is_correct")).alias("wrong"), _count().alias("answered"), F.coalesce(F.sum(F.col("elapsed").cast("decimal(20,6)")), F.lit(0)).cast("double").alias("elapsed"))
-    order = Window.partitionBy("session_id").orderBy(F.desc("correct"), "elapsed", "user_id")
-    return sums.withColumn("place", F.row_number().over(order)).join(users.select("user_id", "username", "first_name"), "user_id", "left")
+    sums = _session_sums(group_answers)
+    placed = numbered(sums, ["session_id"], [("correct", F.col("correct"), True), ("sec", F.floor("elapsed"), False)], [F.col("elapsed"), F.col("user_id")])
+    return placed.withColumn("place", F.col("place").cast("int")).join(users.select("user_id", "username", "first_name"), "user_id", "left")
 
 
 def group_results(sessions: DataFrame, group_answers: DataFrame, users: DataFrame) -> DataFrame:
     """The final table of each session: by net score where marks are lost, else by correct answers; then time and id."""
-    board = group_leaderboard(group_answers, users).drop("place")
+    board = _session_sums(group_answers).join(users.select("user_id", "username", "first_name"), "user_id", "left")
     rows = board.join(sessions.select(F.col("id").alias("session_id"), "status", "asked", "total", "negative_mark"), "session_id")
     asked = F.when(F.col("status") == "stopped", F.coalesce("asked", F.lit(0))).otherwise(F.col("total"))
     neg = S.negative_of(F.col("negative_mark"))
     rows = rows.withColumn("denom", F.when(asked > 0, asked).otherwise(F.col("total"))).withColumn("net", S.net_score(F.col("correct"), F.col("wrong"), F.col("negative_mark")))
     first = F.when(neg > 0, F.col("net")).otherwise(F.col("correct").cast("double"))
-    order = Window.partitionBy("session_id").orderBy(first.desc(), F.desc("correct"), "elapsed", "user_id")
+    rows = numbered(rows, ["session_id"], [("first", first, True), ("correct", F.col("correct"), True), ("sec", F.floor("elapsed"), False)], [F.col("elapsed"), F.col("user_id")])
     return rows.select(
-        "session_id", F.row_number().over(order).alias("place"), "user_id", S.group_name(F.col("username"), F.col("first_name"), F.col("user_id")).alias("name"), "correct", "wrong",
+        "session_id", F.col("place").cast("int").alias("place"), "user_id", S.group_name(F.col("username"), F.col("first_name"), F.col("user_id")).alias("name"), "correct", "wrong",
         S.unanswered(F.col("denom"), F.col("answered")).alias("skipped"), "denom", F.when(neg > 0, F.col("net")).alias("net"), S.percentage(F.col("correct"), F.col("denom")).alias("pct"))
 
 
@@ -162,12 +167,11 @@ def series_parts(quizzes: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def next_parts(quizzes: DataFrame) -> DataFrame:
-    """The next ready part of each quiz in a series; null after the last."""
+    """The next ready part of each quiz in a series; null after the last, and for a quiz without a part number."""
     parts = quizzes.where(F.col("series_id").isNotNull())
-    ready = parts.where(F.col("status") == "ready").select("series_id", F.col("part_no").alias("p"), F.col("id").alias("next_id"))
-    after = parts.join(ready, "series_id", "left").where((F.col("p") > F.col("part_no")) | F.col("p").isNull())
-    found = after.groupBy("id").agg(F.min_by("next_id", "p").alias("next_id"))
-    return parts.select("id").join(found, "id", "left")
+    later = Window.partitionBy("series_id").orderBy("part_no").rangeBetween(1, Window.unboundedFollowing)
+    ready = F.when((F.col("status") == "ready") & F.col("part_no").isNotNull(), F.struct("part_no", "id"))
+    return parts.select("id", F.when(F.col("part_no").isNotNull(), F.min(ready).over(later)["id"]).alias("next_id"))
 
 
 def owner_quizzes(quizzes: DataFrame, questions: DataFrame, drafts: bool = True) -> DataFrame:

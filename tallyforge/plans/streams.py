@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,6 +48,20 @@ def export_schedule(t: Tables) -> DataFrame:
     return events.groupBy("user_id").applyInPandas(work, "user_id long, at double")
 
 
+@query("OP-028", """
+    SELECT 'current' AS version, n_nationkey, upper(n_name) AS n_name FROM nation WHERE n_nationkey <> 3 UNION ALL SELECT 'previous', n_nationkey, n_name FROM nation""")
+def versioned_copies(t: Tables) -> DataFrame:
+    """A table written three times: the last version and the one before it are there, the first is gone."""
+    folder = f"{Q.shared_dir(t.spark)}/tallyforge-versions-{uuid.uuid4().hex}"
+    plain = t.nation.select("n_nationkey", "n_name")
+    for version, df in enumerate((plain.limit(0), plain, plain.where("n_nationkey <> 3").withColumn("n_name", F.upper("n_name")))):
+        Q.publish(df, folder, version)
+    if Q.is_written(t.spark, f"{folder}/v0"):
+        raise ValueError("an old version was kept")
+    named = [t.spark.read.parquet(f"{folder}/v{v}").select(F.lit(name).alias("version"), "n_nationkey", "n_name") for name, v in (("current", 2), ("previous", 1))]
+    return named[0].unionByName(named[1])
+
+
 # ----------------------------------------------------------- extensions
 
 

@@ -51,7 +51,7 @@ def smart_cleaned(t: Tables) -> DataFrame:
 @query("OP-098", """
     WITH c AS (SELECT item_id, unnest(string_split(regexp_replace(text, '\\s+', '', 'g'), '')) AS ch FROM benchmark) SELECT item_id, ch, count(*)::INTEGER AS n FROM c GROUP BY ALL""")
 def character_bags(t: Tables) -> DataFrame:
-    return t.benchmark.select("item_id", F.explode(X.character_bag(F.col("text"))).alias("ch", "n"))
+    return X.character_bags(t.benchmark, "item_id", "text")
 
 
 @query("OP-101", """

@@ -143,13 +143,19 @@ def read_sqlite(spark: SparkSession, path: str, table: str) -> DataFrame:
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """name, text of each file in a folder, text null where the bytes aren't any."""
+    """name, text, error of each file in a folder: the text is null where the bytes aren't any, and the error says why."""
 
-    @F.udf("string")
-    def decoded(raw: bytes | None) -> str | None:
-        try:
-            return None if raw is None else decode_text(bytes(raw))
-        except ValueError:
-            return None
-
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("name"), decoded("content").alias("text"))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, errors = [], []
+            for raw in batch.column("content"):
+                text = error = None
+                try:
+                    text = decode_text(raw.as_py()) if raw.is_valid else None
+                except ValueError as e:
+                    error = str(e) or "no text"
+                texts.append(text)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["name", "text", "error"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(work, "name string, text string, error string")

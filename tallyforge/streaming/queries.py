@@ -31,10 +31,17 @@ def first_per_key(events: DataFrame, keys: list[str], time: str, delay: str = "1
     return events.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def accepted_group_answers(events: DataFrame) -> DataFrame:
-    """session_id, user_id, question_id, event_id, answered_ts of answers that are the first to their question: the state of a participant is the questions answered."""
+def accepted_group_answers(events: DataFrame, delay: str = "1 day", keep_ms: int = 48 * 3_600_000) -> DataFrame:
+    """session_id, user_id, question_id, event_id, answered_ts of answers that are the first to their question.
+
+    The state of a participant is the questions answered. It is dropped once the watermark (delay behind the latest
+    event) is keep_ms past the participant's last answer, when the session is long over, so it doesn't grow for ever.
+    """
 
     def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         done = set(state.get[0].split("\n")) if state.exists else set()
         rows = sorted((at, e, q) for b in batches for at, e, q in zip(b.answered_ts, b.event_id, b.question_id, strict=True))
         fresh = []
@@ -42,13 +49,15 @@ def accepted_group_answers(events: DataFrame) -> DataFrame:
             if q not in done:
                 done.add(q)
                 fresh.append((key[0], key[1], q, e, at))
-        state.update(("\n".join(sorted(done)),))
+        last = max([int(rows[-1][0].timestamp() * 1000), *([state.get[1]] if state.exists else [])])
+        state.update(("\n".join(sorted(done)), last))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, last + keep_ms))
         if fresh:
             yield pd.DataFrame(fresh, columns=["session_id", "user_id", "question_id", "event_id", "answered_ts"])
 
-    told = events.select("session_id", "user_id", "question_id", "event_id", "answered_ts")
+    told = events.select("session_id", "user_id", "question_id", "event_id", "answered_ts").withWatermark("answered_ts", delay)
     out = "session_id long, user_id long, question_id string, event_id long, answered_ts timestamp"
-    return told.groupBy("session_id", "user_id").applyInPandasWithState(work, out, "answered string", "append", GroupStateTimeout.NoTimeout)
+    return told.groupBy("session_id", "user_id").applyInPandasWithState(work, out, "answered string, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def late_filtered(answers: DataFrame, polls: DataFrame) -> DataFrame:
@@ -79,18 +88,44 @@ def run_attempts(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     return timed.groupBy("attempt_id").applyInPandasWithState(work, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def upsert_sink(spark: SparkSession, folder: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that merges each batch into a table of versions. A batch that runs again finds its version written and does nothing, so each counts once."""
+def _store(spark: SparkSession, path: str):
+    """A path and its file system, through Spark's own layer."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def is_written(spark: SparkSession, path: str) -> bool:
+    where, fs = _store(spark, f"{path}/_SUCCESS")
+    return fs.exists(where)
+
+
+def publish(df: DataFrame, folder: str, version: int, kept: int = 2) -> str:
+    """Writes a version of a table, whole or not at all (readers look for its mark), and removes versions before the last `kept`; returns its path."""
+    path = f"{folder}/v{version}"
+    df.write.mode("overwrite").parquet(path)
+    if version >= kept:
+        where, fs = _store(df.sparkSession, f"{folder}/v{version - kept}")
+        fs.delete(where, True)
+    return path
+
+
+def upsert_sink(spark: SparkSession, folder: str, keys: list[str], by: list[str] | None = None, kept: int = 2) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that merges each batch into a table of versions.
+
+    A batch that runs again finds its version written and does nothing, so each counts once. Of a batch's rows of one
+    key the last by `by` counts, or by all columns. A batch whose version before is missing fails, since its table
+    would lack what came before. The last `kept` versions stay.
+    """
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/v{batch_id}/_SUCCESS")
-        fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if fs.exists(fs_path):
+        if is_written(spark, f"{folder}/v{batch_id}"):
             return
-        before = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/v{batch_id - 1}/_SUCCESS")
-        rows = batch.dropDuplicates(keys)
-        merged = upsert(spark.read.parquet(f"{folder}/v{batch_id - 1}"), rows, keys) if batch_id and fs.exists(before) else rows
-        merged.write.mode("overwrite").parquet(f"{folder}/v{batch_id}")
+        before = f"{folder}/v{batch_id - 1}"
+        if batch_id and not is_written(spark, before):
+            raise FileNotFoundError(f"version {batch_id - 1} of {folder} is missing")
+        whole = F.struct(*batch.columns)
+        last = batch.groupBy(*keys).agg(F.max_by(whole, F.struct(*(by or batch.columns))).alias("_last")).select("_last.*")
+        publish(upsert(spark.read.parquet(before), last, keys) if batch_id else last, folder, batch_id, kept)
 
     return put
 

@@ -4,10 +4,11 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.operators import reports, sessions, snapshot, stats, tables
+from tallyforge.operators import ranking, reports, sessions, snapshot, stats, tables
 from tallyforge.streaming import queries as Q
 from tallyforge.streaming.machine import EXPIRY_US, Attempt, export_times
 
@@ -172,3 +173,28 @@ def test_upsert_sink_counts_once(spark, tmp_path):
     put(spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), 1)
     put(spark.createDataFrame([(2, "zzz")], "k int, v string"), 1)
     assert rows_of(spark.read.parquet(str(tmp_path / "t/v1"))) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_upsert_sink_keeps_the_last_row_and_two_versions(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    put = Q.upsert_sink(spark, folder, ["k"], ["at"])
+    shape = "k int, v string, at int"
+    put(spark.createDataFrame([(1, "old", 1), (1, "new", 3), (1, "mid", 2)], shape), 0)
+    assert rows_of(spark.read.parquet(f"{folder}/v0")) == [(1, "new", 3)]
+    put(spark.createDataFrame([(2, "x", 1)], shape), 1)
+    put(spark.createDataFrame([], shape), 2)
+    assert rows_of(spark.read.parquet(f"{folder}/v2")) == [(1, "new", 3), (2, "x", 1)]
+    assert not Q.is_written(spark, f"{folder}/v0") and Q.is_written(spark, f"{folder}/v1")
+    with pytest.raises(FileNotFoundError):
+        put(spark.createDataFrame([(9, "y", 1)], shape), 7)
+
+
+def test_numbered(spark):
+    """As one row number over the whole group, whatever the coarse groups are; nulls too."""
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, 1.0, 2.5, 2.5, 3.0]), rng.choice([None, *map(float, range(60))]), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, x double, s double, id int")
+    got = {r["id"]: (r["place"], r["n"]) for r in ranking.numbered(df, ["g"], [("x", F.col("x"), True), ("s", F.floor(F.col("s") / 10), False)], [F.col("s"), F.col("id")], total="n").collect()}
+    w = Window.partitionBy("g").orderBy(F.desc("x"), "s", "id")
+    want = {r["id"]: (r["p"], r["n"]) for r in df.select("id", F.row_number().over(w).alias("p"), F.count(F.lit(1)).over(Window.partitionBy("g")).alias("n")).collect()}
+    assert got == want

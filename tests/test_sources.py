@@ -192,4 +192,4 @@ def test_sqlite(spark, tmp_path):
 def test_read_texts(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("é".encode())
     (tmp_path / "b.txt").write_bytes(b"\xff\xe9\xe9")
-    assert sorted((r["name"][-5:], r["text"]) for r in files.read_texts(spark, str(tmp_path)).collect()) == [("a.txt", "é"), ("b.txt", None)]
+    assert sorted((r["name"][-5:], r["text"], r["error"] is None) for r in files.read_texts(spark, str(tmp_path)).collect()) == [("a.txt", "é", True), ("b.txt", None, False)]
