@@ -3,7 +3,8 @@
 The tree starts with one node that holds every document and owes n leaves. A node that owes k leaves is cut along its
 widest metadata dimension at the weighted quantile floor(k/2)/k, until every node owes one leaf, so that leaves get
 near equal bytes. Weighted quantiles are found by histograms: each pass counts the bytes of every open node in 1,024
-bins of its dimension and narrows the interval that holds the cut; only nodes x bins numbers reach the driver.
+bins of its dimension and narrows the interval that holds the cut. Histograms stay on the executors, where a window
+over a node's bins picks the one that holds the cut; a few numbers for each open node reach the driver.
 
 What is cut are units: all documents of equal text, or, where those weigh more than an eighth of a leaf, slices of
 them by id, so that no group of copies can unbalance a leaf. Equal texts below that bound share a shard.
@@ -53,35 +54,47 @@ def _keys(units: DataFrame, dims: tuple[str, ...]) -> DataFrame:
     return out.select("g", "slice", "weight", *[f"k{i}" for i in range(len(dims))], F.lit(0).alias("node"))
 
 
+def _cuts(units: DataFrame, plan: DataFrame, dims: int) -> DataFrame:
+    """For each open node of plan (node, dim, lo, hi, step, below, want): the first of its bins whose end reaches the wanted weight, at (the weight before it) and w (its own).
+
+    A node has PASS_BINS bins at most, counted by an aggregate; a window over a node's bins finds the one, so a row for
+    each node is all that leaves.
+    """
+    key = F.element_at(F.array(*[f"k{i}" for i in range(dims)]), F.col("dim") + 1)
+    inside = units.join(F.broadcast(plan), "node").withColumn("key", key).where((F.col("key") >= F.col("lo")) & (F.col("key") < F.col("hi")))
+    bins = inside.groupBy("node", F.expr("(key - lo) div step").alias("bin")).agg(F.sum("weight").alias("w"), F.first("below").alias("below"), F.first("want").alias("want"))
+    so_far = Window.partitionBy("node").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    placed = bins.withColumn("at", F.col("below") + F.coalesce(F.sum("w").over(so_far), F.lit(0)))
+    reached = F.when(F.col("at") + F.col("w") >= F.col("want"), F.struct("bin", "at", F.col("w").cast("double").alias("w")))
+    last = F.max(F.struct("bin", (F.col("at") + F.col("w")).alias("at"), F.lit(0.0).alias("w")))  # rounding may leave the last bin a hair short
+    return placed.groupBy("node").agg(F.coalesce(F.min(reached), last).alias("x")).select("node", "x.*")
+
+
 def kd_assign(units: DataFrame, leaves: int, dims: int) -> DataFrame:
-    """units (weight, k0.., node) with their final node, 0 to leaves - 1, as column shard."""
+    """units (weight, k0.., node) with their final node, 0 to leaves - 1, as column shard.
+
+    All open nodes of a level are cut in the same passes. The driver holds a few numbers for each node, and broadcasts
+    the plan of a level: a row for each open node, of which there are fewer than leaves.
+    """
     spark = units.sparkSession
     total = units.agg(F.sum("weight")).first()[0] or 0
     owed, base, fresh = {0: leaves}, {0: 0}, 1
     enough = TOLERANCE * total / max(1, leaves)
-    while any(k > 1 for k in owed.values()):
-        spans = units.where(F.col("node").isin([n for n, k in owed.items() if k > 1])).groupBy("node").agg(F.sum("weight").alias("w"), *[f(f"k{i}").alias(f"{f.__name__}{i}") for i in range(dims) for f in (F.min, F.max)]).collect()
+    while open_nodes := [n for n, k in owed.items() if k > 1]:
+        wanted = spark.createDataFrame([(n,) for n in open_nodes], "node int")
+        spans = units.join(F.broadcast(wanted), "node").groupBy("node").agg(F.sum("weight").alias("w"), *[f(f"k{i}").alias(f"{f.__name__}{i}") for i in range(dims) for f in (F.min, F.max)]).collect()
         cuts = {}
         for r in spans:
             dim = max(range(dims), key=lambda i: (r[f"max{i}"] - r[f"min{i}"], -i))
             left = owed[r["node"]] // 2
             cuts[r["node"]] = {"dim": dim, "lo": r[f"min{dim}"], "hi": r[f"max{dim}"] + 1, "want": r["w"] * left / owed[r["node"]], "below": 0.0, "open": True}
         while still := {n: c for n, c in cuts.items() if c["open"]}:
-            for n, c in still.items():
+            for c in still.values():
                 c["step"] = max(1, -(-(c["hi"] - c["lo"]) // PASS_BINS))
-            plan = spark.createDataFrame([(n, c["dim"], c["lo"], c["hi"], c["step"]) for n, c in still.items()], "node int, dim int, lo long, hi long, step long")
-            key = F.element_at(F.array(*[f"k{i}" for i in range(dims)]), F.col("dim") + 1)
-            hist = units.join(F.broadcast(plan), "node").withColumn("key", key).where((F.col("key") >= F.col("lo")) & (F.col("key") < F.col("hi")))
-            bins = hist.groupBy("node", F.expr("(key - lo) div step").alias("bin")).agg(F.sum("weight").alias("w")).collect()
-            for n, c in still.items():
-                at, mine = c["below"], sorted((b["bin"], b["w"]) for b in bins if b["node"] == n)
-                for b, w in mine:  # the first bin whose end passes the wanted weight
-                    if at + w >= c["want"]:
-                        break
-                    at += w
-                else:
-                    b, w = (mine[-1][0], 0) if mine else (0, 0)
-                lo = c["lo"] + b * c["step"]
+            plan = spark.createDataFrame([(n, c["dim"], c["lo"], c["hi"], c["step"], c["below"], c["want"]) for n, c in still.items()], "node int, dim int, lo long, hi long, step long, below double, want double")
+            for r in _cuts(units, plan, dims).collect():
+                c, at, w = still[r["node"]], r["at"], r["w"]
+                lo = c["lo"] + r["bin"] * c["step"]
                 over, under = at + w - c["want"], c["want"] - at
                 if c["step"] == 1 or min(over, under) <= enough:
                     c |= {"cut": lo + c["step"] if over < under else lo, "open": False}

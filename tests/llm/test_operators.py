@@ -91,6 +91,39 @@ def test_sharding_balance(spark):
     assert len(sizes) == 24 and max(sizes) < 1.02 * min(sizes)
 
 
+def kd_brute(units, leaves, dims, node=0):
+    """Shard of each unit, by recursive cuts at the weighted quantile of the widest dimension; units: id -> (weight, keys)."""
+    if leaves == 1 or not units:
+        return dict.fromkeys(units, node)
+    dim = max(range(dims), key=lambda i: (max(k[i] for _, k in units.values()) - min(k[i] for _, k in units.values()), -i))
+    left = leaves // 2
+    want, at, low = sum(w for w, _ in units.values()) * left / leaves, 0, []
+    for u in sorted(units, key=lambda u: units[u][1][dim]):
+        w = units[u][0]
+        if at + w >= want:
+            low += [u] if at + w - want < want - at else []
+            break
+        at, low = at + w, [*low, u]
+    rest = {u: x for u, x in units.items() if u not in set(low)}
+    return kd_brute({u: units[u] for u in low}, left, dims, node) | kd_brute(rest, leaves - left, dims, node + left)
+
+
+@pytest.mark.parametrize("leaves", [2, 7, 16])
+def test_kd_tree_is_the_brute_one(spark, monkeypatch, leaves):
+    monkeypatch.setattr(sharding, "TOLERANCE", 0.0)
+    monkeypatch.setattr(sharding, "PASS_BINS", 16)
+    rng = random.Random(leaves)
+    units = {i: (rng.randint(1, 50), tuple(rng.sample(range(10**6), 3))) for i in range(300)}
+    df = spark.createDataFrame([(i, 0, w, *k, 0) for i, (w, k) in units.items()], "g long, slice int, weight long, k0 long, k1 long, k2 long, node int")
+    assert {r["g"]: r["shard"] for r in sharding.kd_assign(df, leaves, 3).collect()} == kd_brute(units, leaves, 3)
+
+
+def test_sharding_many_leaves(spark):
+    rows = spark.range(40_000).selectExpr("id AS doc_id", "repeat(cast(id AS string), 1 + id % 7) AS text", "'x' AS lang", "cast(id % 11 AS string) AS source", "0L AS n_chars")
+    sizes = [r["b"] for r in sharding.shard(rows, 2000).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(sizes) == 2000 and max(sizes) < 1.6 * sum(sizes) / 2000
+
+
 def test_sharding_keeps_copies_and_meets_bytes(spark):
     rows = [[i, f"text {i % 500} " * 5, "x", "s", 0] for i in range(2000)]
     got = sharding.shard(spark.createDataFrame(rows, DOCS), target_bytes=20_000).collect()
