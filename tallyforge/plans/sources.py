@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..adapters import Tables
-from ..sources import files
+from ..sources import boxes, files
 from .registry import query
 
 _TEN = """SELECT p_partkey // 10 AS doc_id, (p_partkey % 10 + 1)::INTEGER AS number, 'Which is ' || p_name || ' ' || p_partkey || '?' AS question,
@@ -145,3 +145,28 @@ def page_texts(t: Tables) -> DataFrame:
 def source_kinds(t: Tables) -> DataFrame:
     url, none = F.col("url"), F.lit(None).cast("string")
     return t.pages.select("page_id", files.looks_like_html(url, none).alias("html"), files.is_text(url, none).alias("txt"), files.is_import(url, none).alias("importable"))
+
+
+def _boxed(t: Tables) -> DataFrame:
+    """Ten parts a document: five on each of two pages, under a title and over a page number, and an empty third page."""
+    p = _parts()
+    place = F.col("p_partkey") % 10
+    doc, page = F.expr("p_partkey div 10").alias("doc_id"), (F.floor(place / 5) + 1).cast("int").alias("page")
+    told = F.array(F.concat(p["n"], F.lit(". "), p["q"]), *[F.concat(F.lit(f"({'ABCD'[i]}) "), p["o"][i]) for i in range(4)], F.concat(F.lit("Answer: "), _letter(p["k"])))
+    box = lambda x, y, text: F.struct(x.alias("x0"), y.alias("y0"), (x + F.length(text) * 5.0).alias("x1"), (y + 10.0).alias("y1"), text.alias("text"), F.lit(10.0).alias("size"))
+    lines = t.part.select(doc, page, place.alias("i"), F.posexplode(told).alias("j", "text"))
+    body = lines.select("doc_id", "page", box(F.lit(40.0), 60.0 + (F.col("i") % 5 * 6 + F.col("j")) * 20.0, F.col("text")).alias("b"))
+    edges = t.part.select(doc, page).distinct().select("doc_id", "page", F.explode(F.array(box(F.lit(40.0), F.lit(5.0), F.lit("Model paper")), box(F.lit(280.0), F.lit(780.0), F.concat(F.lit("Page "), F.col("page").cast("string"))))).alias("b"))
+    full = body.unionByName(edges).groupBy("doc_id", "page").agg(F.collect_list("b").alias("pieces"))
+    empty = t.part.select(doc).distinct().select("doc_id", F.lit(3).alias("page"), F.array().cast(boxes.PIECES.split(" ", 1)[1]).alias("pieces"))
+    return full.unionByName(empty).select("doc_id", "page", F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), "pieces")
+
+
+@query("OP-019 OP-221 OP-255 OP-384", _READ.format(", page", _TEN.replace(" FROM part", ", ((p_partkey % 10) // 5 + 1)::INTEGER AS page FROM part")))
+def papers_of_boxes(t: Tables) -> DataFrame:
+    return _read(boxes.parse_pages(_boxed(t)), "page")
+
+
+@query("OP-255", "SELECT DISTINCT p_partkey // 10 AS doc_id, 3::INTEGER AS page, 'the page has no text' AS message FROM part")
+def page_problems(t: Tables) -> DataFrame:
+    return files.error_rows(boxes.parse_pages(_boxed(t))).where("page = 3").select("doc_id", "page", "message")

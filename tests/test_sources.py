@@ -7,7 +7,7 @@ import sqlite3
 import pytest
 
 from tallyforge.sources import dialects as D
-from tallyforge.sources import files, items, marks, pages, papers
+from tallyforge.sources import boxes, files, items, layout, marks, pages, papers
 
 
 def read(text):
@@ -193,3 +193,54 @@ def test_read_texts(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("é".encode())
     (tmp_path / "b.txt").write_bytes(b"\xff\xe9\xe9")
     assert sorted((r["name"][-5:], r["text"], r["error"] is None) for r in files.read_texts(spark, str(tmp_path)).collect()) == [("a.txt", "é", True), ("b.txt", None, False)]
+
+
+def boxed(lines, page, x=40.0, top=60.0):
+    return (page, 600.0, 800.0, [layout.Piece(x, top + 20 * i, x + 5 * len(t), top + 20 * i + 10, t) for i, t in enumerate(lines)], None)
+
+
+def test_questions_of_pages():
+    """Page numbers of questions and errors; a question that goes on over the page's end; repeated edges go."""
+    edge = [layout.Piece(40, 5, 100, 15, "My paper")]
+    one = boxed(["1. first?", "(A) a", "(B) b", "Answer: A", "2. second?", "(A) c"], 1)
+    two = boxed(["(B) d", "Answer: B", "3. third?", "(A) e", "(B) f"], 2)
+    pages = [(n, w, h, edge + p, e) for n, w, h, p, e in (two, one)] + [(3, 600.0, 800.0, [], None), (4, 0.0, 0.0, [], "broken")]
+    got = boxes.parse(pages)
+    assert [(q.number, q.page, q.options) for q in got.questions] == [(1, 1, ["a", "b"]), (2, 1, ["c", "d"])]
+    assert [(e.number, e.page, e.message) for e in got.errors] == [(None, 3, "the page has no text"), (None, 4, "broken"), (3, 2, "no answer")]
+    assert ("header/footer", "My paper") in got.removed and boxes.parse([]).errors[0].message == "no pages"
+
+
+def test_two_columns_of_a_page():
+    left = ["1. first?", "(A) a", "(B) b", "Answer: A"]
+    right = ["2. second?", "(A) c", "(B) d", "Answer: B"]
+    page = (1, 600.0, 800.0, boxed(left, 1)[3] + boxed(right, 1, x=340.0)[3], None)
+    assert [(q.number, q.correct_index) for q in boxes.parse([page]).questions] == [(1, 0), (2, 1)]
+
+
+def test_read_pages(spark, tmp_path):
+    """A reader's pages, and why a file has none."""
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-x")
+    (tmp_path / "b.pdf").write_bytes(b"plain")
+
+    def reader(raw):
+        if raw[:5] != b"%PDF-":
+            raise ValueError("no PDF file")
+        return [(1, 600.0, 800.0, [layout.Piece(1, 2, 3, 4, "x")], None)]
+
+    got = sorted((r["name"][-5:], r["page"], [p["text"] for p in r["pieces"]], r["error"]) for r in boxes.read_pages(spark, str(tmp_path), reader).collect())
+    assert got == [("a.pdf", 1, ["x"], None), ("b.pdf", None, [], "no PDF file")]
+    for raw, message in ((b"", "empty"), (b"plain", "no PDF")):
+        with pytest.raises(ValueError, match=message):
+            boxes.read_pdf(raw)
+
+
+def test_long_text_after_an_input_is_whole():
+    long = "word " * 200
+    html = f"<div class='question'><p>1. Which?</p><input type='radio' name='a' checked>{long}<br><input type='radio' name='a'>short</div>"
+    assert pages.extract(html).questions[0].options == [long.strip(), "short"]
+
+
+def test_pages_with_too_many_elements(monkeypatch):
+    monkeypatch.setattr(pages.Builder, "__init__", lambda self, real=pages.Builder.__init__: real(self, 3))
+    assert [e.message for e in pages.extract("<p>1</p>" * 9).errors] == ["too many elements"]
