@@ -30,7 +30,7 @@ from .common import bounded
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words and tested pairs kept from batch to batch, and characters of text worked on at once; both only bound memory.
-KEPT_WORDS, KEPT_PAIRS, SLICE = 250_000, 300_000, 2_000_000
+KEPT_WORDS, KEPT_PAIRS, SLICE = 600_000, 2_000_000, 4_000_000
 
 
 class Pieces:
