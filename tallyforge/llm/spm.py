@@ -30,7 +30,7 @@ from .common import bounded
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words and tested pairs kept from batch to batch, and characters of text worked on at once; both only bound memory.
-KEPT_WORDS, KEPT_PAIRS, SLICE = 100_000, 2_000_000, 1_500_000
+KEPT_WORDS, KEPT_PAIRS, SLICE = 250_000, 300_000, 2_000_000
 
 
 class Pieces:
@@ -62,9 +62,7 @@ class Pieces:
         for piece in self.id:  # lengths of the pieces that end in a character, likely ones first
             self.tails.setdefault(piece[-1], set()).add(len(piece))
         self.tails = {c: tuple(sorted(n, key=lambda x: abs(x - 2.6))) for c, n in self.tails.items()}
-        #: Words searched lately, and those before: a word that comes back moves up, the others go when the first are KEPT_WORDS.
         self.words: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
 
     def merged(self, text: str) -> list[str]:
         """What merging by rank makes of a short text: the best pair first, the leftmost of equals."""
@@ -122,29 +120,20 @@ class Pieces:
 
     def learn(self, words: set[str]) -> None:
         """Adds new words to self.words; stems and what follows them are searched apart where no piece spans their border."""
-        known = words & self.old.keys()
-        self.words.update({w: self.old[w] for w in known})
-        words = words - known
         cut = {w: (m[1], m[2]) for w in words if (m := self.tail(w)) and m[1][-1] + m[2][0] not in self.inner}
         whole = words.difference(cut)
-        fresh = [w for w in whole.union(*cut.values()) if w not in self.words]
-        self.words.update({w: self.old[w] for w in fresh if w in self.old})
-        self.search([w for w in fresh if w not in self.old])
+        self.search([w for w in whole.union(*cut.values()) if w not in self.words])
         for w, (stem, rest) in cut.items():
             self.words[w] = self.words[stem] + self.words[rest]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         split = [None if t is None else self.split(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.words) > KEPT_WORDS:
-            self.old, self.words = self.words, {}
+            self.words.clear()
         self.learn({w for ws in split if ws for w in ws if w not in self.words})
         get = self.words.__getitem__
         return [None if ws is None else np.fromiter(chain.from_iterable(map(get, ws)), np.int32) for ws in split]
 
-    def forget(self) -> None:
-        """Drops all words; the vocabulary stays."""
-        self.words, self.old = {}, {}
-
     def decode(self, ids: np.ndarray | None) -> str | None:
         if ids is None:
             return None
@@ -188,7 +177,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.array([r is None for r in rows] + [False])), flat)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[cut], pa.array(sizes, pa.int64()), lists], ["doc_id", "n_tokens", "ids"])
-        m.forget()  # the worker lives on
+        m.words.clear()  # the worker lives on
 
     return docs.select("doc_id", "text").mapInArrow(bounded(work), f"doc_id {key.dataType.simpleString()}, n_tokens long, ids array<int>")
 
@@ -224,6 +213,6 @@ def encode_digests(docs: DataFrame, model: str = MODEL) -> DataFrame:
                         out.append((len(ids), zlib.crc32(ids.tobytes()), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == text.replace(MARK, " ")))
                 columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[cut], *columns], ["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip"])
-        m.forget()
+        m.words.clear()
 
     return docs.select("doc_id", "text").mapInArrow(bounded(work), f"doc_id {key.dataType.simpleString()}, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
