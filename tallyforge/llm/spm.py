@@ -29,8 +29,17 @@ from .common import bounded
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Words and tested pairs kept from batch to batch, and characters of text worked on at once; both only bound memory.
-KEPT_WORDS, KEPT_PAIRS, SLICE = 250_000, 300_000, 2_000_000
+#: Words and tested pairs kept from batch to batch, and characters of text worked on at once; all only bound memory.
+KEPT_WORDS, KEPT_PAIRS, SLICE = 400_000, 300_000, 2_000_000
+
+
+class State(dict):
+    """A piece as the end of a path: which pieces may follow it (their states, or False for those that may not)."""
+
+    __slots__ = ("code", "text")
+
+    def __init__(self, text: str, code: bytes):
+        self.text, self.code = text, code
 
 
 class Pieces:
@@ -40,7 +49,9 @@ class Pieces:
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.score, self.id, self.bytes, self.out = {}, {}, {}, []
+        #: Ids are kept as bytes of this width.
+        self.type = np.dtype("<u2" if m.get_piece_size() <= 1 << 16 else "<u4")
+        self.score, self.states, self.bytes, self.out = {}, {}, {}, []
         for i in range(m.get_piece_size()):
             piece = m.id_to_piece(i)
             if m.is_byte(i):
@@ -49,20 +60,30 @@ class Pieces:
             elif m.is_control(i) or m.is_unknown(i):
                 self.out.append(b"" if m.is_control(i) else " ⁇ ".encode())
             else:
-                self.score[piece], self.id[piece] = m.get_score(i), i
+                self.score[piece], self.states[piece] = m.get_score(i), State(piece, i.to_bytes(self.type.itemsize, "little"))
                 self.out.append(piece.replace(MARK, " ").encode())
-        #: A line end that is part of no longer piece never merges, so words may end there.
-        alone = all("\n" not in p for p in self.id if len(p) > 1) and not any(MARK in p.lstrip(MARK) for p in self.id)
-        self.split = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if alone else "(?s).+").findall
-        #: Neighbours inside some piece; between two others no piece can lie, so a word may be cut there.
-        self.inner = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
-        self.tail = re.compile(rf"({MARK}*\w+)([^\w{MARK}].*)", re.DOTALL).fullmatch
-        self.apart: dict[tuple[str, str], bool] = {}
+        #: The begin of a word, and characters that are no pieces but lie in some.
+        self.start = State("", b"")
+        self.parts = {c: State(c, self._spelled(c)) for c in {c for p in self.score for c in p} if c not in self.score}
+        self.split = re.compile(self._words()).findall
+        self.pairs = 0
         self.tails: dict[str, tuple[int, ...]] = {}
-        for piece in self.id:  # lengths of the pieces that end in a character, likely ones first
+        for piece in self.score:  # lengths of the pieces that end in a character, likely ones first
             self.tails.setdefault(piece[-1], set()).add(len(piece))
         self.tails = {c: tuple(sorted(n, key=lambda x: abs(x - 2.6))) for c, n in self.tails.items()}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _words(self) -> str:
+        """The pattern of words: between two of them no piece can lie, so each is encoded by itself."""
+        if any("\n" in p for p in self.score if len(p) > 1) or any(MARK in p.lstrip(MARK) for p in self.score):
+            return "(?s).+"
+        inner = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
+        if any(a.isalnum() != b.isalnum() for a, b in inner if a != MARK):
+            return f"{MARK}*[^{MARK}\n]+|{MARK}+|\n"
+        return rf"{MARK}*(?:[^\W_]+|(?:_|[^\w{MARK}\n])+)|{MARK}+|\n"  # letters and signs share no piece
+
+    def _spelled(self, char: str) -> bytes:
+        return b"".join(self.bytes.get(b, 0).to_bytes(self.type.itemsize, "little") for b in char.encode("utf-8", "surrogatepass"))
 
     def merged(self, text: str) -> list[str]:
         """What merging by rank makes of a short text: the best pair first, the leftmost of equals."""
@@ -78,61 +99,71 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def stays(self, left: str, right: str) -> bool:
-        found = self.apart.get((left, right))
-        if found is None:
-            if len(self.apart) > KEPT_PAIRS:
-                self.apart.clear()
-            found = self.apart[left, right] = self.merged(left + right) == ([left, right] if left else [right])
-        return found
-
-    def search(self, words: list[str]) -> None:
-        """Adds the ids of new words to self.words."""
-        ids, tails, known = self.words, self.tails, self.id
-        last, begin, before = [""], [0], ""
+    def follow(self, left: State, piece: str) -> State | bool:
+        """The state of a piece after left, False if they don't stay apart; left keeps it."""
+        if self.pairs >= KEPT_PAIRS:
+            self.forget_pairs()
+        self.pairs += 1
+        apart = self.merged(left.text + piece) == ([left.text, piece] if left.text else [piece])
+        left[piece] = self.states[piece] if apart else False
+        return left[piece]
+
+    def forget_pairs(self) -> None:
+        for known in ([self.start], self.states.values(), self.parts.values()):
+            for state in known:
+                state.clear()
+        self.pairs = 0
+
+    def learn(self, words: set[str]) -> None:
+        """Adds the ids of new words to self.words, by depth-first search of their trie.
+
+        ends[p] is the state that survives at position p, begin[p] where its piece begins, and code[p] its ids.
+        """
+        ids, tails, states, start = self.words, self.tails.get, self.states, self.start
+        ends, begin, code, before = [start], [0], [b""], ""
         for word in sorted(words):
             n, keep = len(word), 0
             most = min(n, len(before))
             while keep < most and word[keep] == before[keep]:
                 keep += 1
-            del last[keep + 1 :], begin[keep + 1 :]
+            del ends[keep + 1 :], begin[keep + 1 :], code[keep + 1 :]
             for p in range(keep + 1, n + 1):
-                for size in tails.get(word[p - 1], ()):
+                for size in tails(word[p - 1], ()):
                     if size <= p:
-                        piece = word[p - size : p]
-                        if piece in known and self.stays(last[p - size], piece):
-                            last.append(piece)
-                            begin.append(p - size)
+                        q = p - size
+                        left, piece = ends[q], word[q:p]
+                        state = left.get(piece)
+                        if state is None:
+                            if piece not in states:
+                                continue
+                            state = self.follow(left, piece)
+                        if state is not False:
+                            ends.append(state)
+                            begin.append(q)
+                            code.append(state.code)
                             break
-                else:  # a character that no piece ends in
-                    last.append(word[p - 1])
+                else:  # a character that no piece ends in here
+                    char = word[p - 1]
+                    ends.append(self.parts.get(char, start))
                     begin.append(p - 1)
+                    code.append(self._spelled(char))
             before, path, p = word, [], n
             while p:
-                piece = last[p]
-                found = known.get(piece)
-                if found is None:
-                    path.extend(self.bytes.get(b, 0) for b in reversed(piece.encode("utf-8", "surrogatepass")))
-                else:
-                    path.append(found)
+                path.append(code[p])
                 p = begin[p]
-            ids[word] = tuple(reversed(path))
-
-    def learn(self, words: set[str]) -> None:
-        """Adds new words to self.words; stems and what follows them are searched apart where no piece spans their border."""
-        cut = {w: (m[1], m[2]) for w in words if (m := self.tail(w)) and m[1][-1] + m[2][0] not in self.inner}
-        whole = words.difference(cut)
-        self.search([w for w in whole.union(*cut.values()) if w not in self.words])
-        for w, (stem, rest) in cut.items():
-            self.words[w] = self.words[stem] + self.words[rest]
+            path.reverse()
+            ids[word] = b"".join(path)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         split = [None if t is None else self.split(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.words) > KEPT_WORDS:
             self.words.clear()
-        self.learn({w for ws in split if ws for w in ws if w not in self.words})
+        new: set[str] = set()
+        for words in split:
+            new.update(words or ())
+        self.learn(new.difference(self.words))
         get = self.words.__getitem__
-        return [None if ws is None else np.fromiter(chain.from_iterable(map(get, ws)), np.int32) for ws in split]
+        return [None if ws is None else np.frombuffer(b"".join(map(get, ws)), self.type).astype(np.int32) for ws in split]
 
     def decode(self, ids: np.ndarray | None) -> str | None:
         if ids is None:
