@@ -18,13 +18,12 @@ _CLAUSE = (
     r"(?:(?:holders?|owners?|ownership|notices?|laws?|licen[sc]es?|licen[sc]ing|permissions?|interests?|disclaimers?|treaty|treaties|doctrines?|statements?|claims?|rights?|"
     r"protection|infringement|material|status|information|and|or|on|in|of|for|to|as|is|are|under|that|which|if|with)(?![0-9a-z])|the[ \t]+(?:software|program|library|work)(?![0-9a-z]))"
 )
-_ITEM = r"(?:you|your|the|this|that|if|any|all|an?|each|no|in|to|for|as|or|and|neither|convey|accompany|prohibiting)(?![0-9a-z])"
+_ITEM = r"(?:you|your|under|the|this|that|if|any|all|an?|each|no|in|to|for|as|or|and|neither|convey|accompany|prohibiting)(?![0-9a-z])"
+_LEAD, _NAME = r"[ \t*#/]*", r"[^\t-\r .,;:()/'\x22-]"
 #: A line that is a notice: "copyright" before (c), ©, a year, "by" or a name; "(c)" that numbers no clause; ©.
 COPYRIGHT_LINE = (
-    r"(^|\n)[ \t*#/]*(?:copyright[ \t:]*(?:\(c\)|©)|copyright[ \t:]+(?!" + _CLAUSE + r")[^\s.,;:()/'\x22-]|\(c\)(?![ \t]*" + _ITEM + r")|©|all rights reserved(?![0-9a-z]))[^\n]*"
+    rf"(^|\n){_LEAD}(?:copyright[ \t:]*(?:\(c\)|©)|copyright[ \t:]+(?!{_CLAUSE}){_NAME}|\(c\)(?![ \t]*{_ITEM})|©|all rights reserved(?![0-9a-z]))[^\n]*"
 )
-#: The twin's pattern, which takes any line that begins so; the driver's tables have only "All rights reserved." lines.
-SQL_COPYRIGHT_LINE = r"(^|\n)[ \t*#/]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 NOT_WORD = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
 NOTICE_HINT = "(?i)licen[sc]e|public domain"
 
@@ -111,6 +110,18 @@ KNOWN = [
 ]
 
 
+#: Digests of the canonical forms of whole licences that are too long to be spelled out here.
+KNOWN_DIGESTS = [
+    ("Apache-2.0", "45c5565dedc03ff2a570c67c5af611f8a3d0a0227c6e81d9fb11fbf0c004b959"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GPL-2.0-only", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0-only", "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68"),
+    ("LGPL-2.1-only", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-2.0", "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d"),
+]
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of a licence text; null stays null."""
     out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "\n")
@@ -125,10 +136,11 @@ def digest(text: Column) -> Column:
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
-    """canon_sha256, license_id: one row for each known digest. Its size is that of KNOWN, so it may be broadcast."""
+    """canon_sha256, license_id: one row for each known digest. Its size is that of the two lists, so it may be broadcast."""
     rows = F.array(*[F.struct(F.lit(name).alias("license_id"), F.lit(text).alias("text")) for name, text in KNOWN])
-    flat = spark.range(1).select(F.inline(rows))
-    return flat.groupBy(digest(F.col("text")).alias("canon_sha256")).agg(F.min("license_id").alias("license_id"))
+    flat = spark.range(1).select(F.inline(rows)).select("license_id", digest(F.col("text")).alias("canon_sha256"))
+    listed = F.array(*[F.struct(F.lit(name).alias("license_id"), F.lit(found).alias("canon_sha256")) for name, found in KNOWN_DIGESTS])
+    return flat.unionByName(spark.range(1).select(F.inline(listed))).groupBy("canon_sha256").agg(F.min("license_id").alias("license_id"))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,8 +163,18 @@ def _sql_text(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _sql_is_notice(line: str) -> str:
+    """COPYRIGHT_LINE for one line, without looking ahead, which DuckDB's patterns can't."""
+    begins = lambda rest: f"regexp_matches({line}, {_sql_text('^' + _LEAD + rest)})"
+    clause, item = (x.replace("(?![0-9a-z])", "(?:[^0-9a-z]|$)") for x in (_CLAUSE, _ITEM))
+    plain = begins(r"(?:copyright[ \t:]*(?:\(c\)|©)|©|all rights reserved(?:[^0-9a-z]|$))")
+    named = begins(r"copyright[ \t:]+" + _NAME) + " AND NOT " + begins(r"copyright[ \t:]+" + clause)
+    return f"({plain} OR ({named}) OR ({begins('[(]c[)]')} AND NOT {begins('[(]c[)][ ' + chr(92) + 't]*' + item)}))"
+
+
 def _sql_canonical(x: str) -> str:
-    out = f"trim(regexp_replace(regexp_replace(lower({x}), '{SQL_COPYRIGHT_LINE}', chr(10), 'g'), '{NOT_WORD}', ' ', 'g'))"
+    lines = f"list_transform(string_split(lower({x}), chr(10)), lambda l: CASE WHEN {_sql_is_notice('l')} THEN '' ELSE l END)"
+    out = f"trim(regexp_replace(array_to_string({lines}, chr(10)), '{NOT_WORD}', ' ', 'g'))"
     for found, put in SPELLINGS:
         out = f"replace({out}, '{found}', '{put}')"
     return out
@@ -160,8 +182,11 @@ def _sql_canonical(x: str) -> str:
 
 def oracle() -> str:
     values = ", ".join(f"({_sql_text(name)}, {_sql_text(text)})" for name, text in KNOWN)
+    digests = ", ".join(f"('{name}', '{found}')" for name, found in KNOWN_DIGESTS)
     return f"""
-    WITH known AS (SELECT sha256({_sql_canonical('t')}) AS canon_sha256, min(license_id) AS license_id FROM (VALUES {values}) v(license_id, t) GROUP BY 1),
+    WITH listed AS (SELECT license_id, sha256({_sql_canonical('t')}) AS canon_sha256 FROM (VALUES {values}) v(license_id, t)
+                    UNION ALL SELECT license_id, canon_sha256 FROM (VALUES {digests}) w(license_id, canon_sha256)),
+    known AS (SELECT canon_sha256, min(license_id) AS license_id FROM listed GROUP BY 1),
     doc_lines AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
     named AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices FROM doc_lines
               JOIN known ON canon_sha256 = sha256({_sql_canonical('line')}) WHERE regexp_matches(line, '{NOTICE_HINT}') GROUP BY doc_id)

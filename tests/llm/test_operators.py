@@ -2,12 +2,14 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import textwrap
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from pyspark.sql import types as T
 from tallyforge.llm import jaccard, langid, licenses, lm, media, mixing, quality, sharding, spm, topk
 from tallyforge.llm.textvec import word_hashes
 
+LICENSES = "/usr/share/common-licenses"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SYLLABLES = {"aa": ["the", "ing", "er", "on", "st"], "bb": ["ção", "que", "ão", "os", "le"], "cc": ["sch", "ung", "ei", "ß", "tz"]}
 
@@ -547,6 +550,24 @@ def test_license_notices(spark, line, notice):
     assert (row[0] == "one two") == notice
 
 
+@pytest.mark.skipif(not os.path.isdir(LICENSES), reason="no licence texts here")
+def test_license_texts(spark):
+    """Whole texts as they lie on this machine, and in capitals or with words added."""
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = {spdx: open(f"{LICENSES}/{file}", encoding="utf-8").read() for file, spdx in names.items() if os.path.exists(f"{LICENSES}/{file}")}
+    rows = [(spdx, text) for spdx, text in texts.items()] + [(spdx, text.upper()) for spdx, text in texts.items()] + [(None, text + "More") for text in texts.values()]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert len(got) == len(rows) and all(r["license_id"] == r["doc_id"] for r in got)
+
+
+@pytest.mark.parametrize("lines", [["Copyright (c) 2020 Someone", "copyright holders be liable", "COPYRIGHT\tby A", "copyright: x", "(c) you must", "(C) 2001", "(c)", "copyright"], ["All rights reserved.", "all rights reserveds", "# © B", "/* copyright 1999", "copyright the software", "copyright the Foo", "copyright\x0bx", "copyright -x", ""]])
+def test_license_twin(spark, lines):
+    """The twin's rule for notices is the operator's."""
+    con, texts = duckdb.connect(), [*lines, *[f"one\n{x}\ntwo" for x in lines]]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in texts], "text string").select(licenses.canonical(F.col("text"))).collect()]
+    assert got == [con.execute(f"SELECT {licenses._sql_canonical('x')} FROM (SELECT ?::VARCHAR AS x)", [x]).fetchone()[0] for x in texts]
+
+
 def test_license_lines(spark):
     got = licenses.scan_licenses(spark.createDataFrame([(1, "Text.\nLicensed under CC BY-NC 4.0.\nReleased under the MIT License.\nReleased under the MIT licence"), (1, "x")], "doc_id long, text string")).collect()
     assert sorted(r["notices"] for r in got) == ["", "CC-BY-NC-4.0,MIT"]
