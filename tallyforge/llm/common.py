@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +49,11 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{home}/{uuid.uuid4().hex}/{name}"
 
 
+def open_store(folder: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a folder and its path there, for tasks that write files of their own."""
+    return pa.fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pa.fs.LocalFileSystem(), folder)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there and a lost executor costs nothing.
 

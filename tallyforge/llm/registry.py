@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, licenses, lm, media, mixing, quality, sharding, spm, topk
+from . import hardneg, jaccard, langid, licenses, lm, media, mixing, quality, runs, sharding, spm, tokenfiles, topk
 from .common import table
 
 
@@ -51,7 +51,19 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_sharding, op2_language_id, op3_quality_classifier, op4_sentencepiece, op5_media_columns, op6_lm_scoring, op7_top_k, op8_jaccard_join, op9_mixing, op10_license_scans)
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.token_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.mined(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = (op1_sharding, op2_language_id, op3_quality_classifier, op4_sentencepiece, op5_media_columns, op6_lm_scoring, op7_top_k, op8_jaccard_join, op9_mixing, op10_license_scans, op11_periodic_runs, op12_token_files, op13_hard_negatives)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -59,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_lm_scoring": lm.oracle(), "op7_top_k": topk.oracle(), "op8_jaccard_join": jaccard.oracle(), "op9_mixing": mixing.oracle(), "op10_license_scans": licenses.oracle()}
+    return {"op6_lm_scoring": lm.oracle(), "op7_top_k": topk.oracle(), "op8_jaccard_join": jaccard.oracle(), "op9_mixing": mixing.oracle(), "op10_license_scans": licenses.oracle(), "op13_hard_negatives": hardneg.oracle()}
