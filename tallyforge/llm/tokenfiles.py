@@ -51,7 +51,7 @@ PLACE = np.dtype([("at", "<u8"), ("crc", "<u4")])
 BLOCK = 1 << 16
 #: A file ends with the document that reaches one of these.
 FILE_IDS, FILE_DOCS = 1 << 25, 1 << 19
-MOST_CHUNKS = 500_000
+MOST_CHUNKS = 1_000_000
 OUT_BYTES = 4 << 20
 _SPACE = r"[ \t\n\r\x0b\x0c]"
 _WORD = r"[^ \t\n\r\x0b\x0c]"
