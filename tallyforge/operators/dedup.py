@@ -39,7 +39,7 @@ def distinct_files(files: DataFrame) -> DataFrame:
 
 def parts(questions: DataFrame, per_part: int = PER_PART) -> DataFrame:
     """questions (quiz_id, position, id, ..) with the part that each falls in."""
-    placed = numbered(questions, ["quiz_id"], [("block", F.floor(F.col("position") / 1000), False)], [F.col("position"), F.col("id")], "_place")
+    placed = numbered(questions, ["quiz_id"], [F.asc("position"), F.asc("id")], "_place")
     return placed.withColumn("part", F.floor((F.col("_place") - 1) / per_part).cast("int") + 1).drop("_place")
 
 

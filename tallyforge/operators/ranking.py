@@ -1,31 +1,35 @@
-"""Row numbers whose tasks don't hold a hot group: coarse groups are counted first, rows are numbered inside them."""
+"""Row numbers of groups of any size: rows are dealt by ranges of the whole order, numbered in each range, and ranges are counted on."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import stage
 
-def numbered(rows: DataFrame, by: list[str], coarse: list[tuple[str, Column, bool]], fine: list[Column], name: str = "place", total: str | None = None) -> DataFrame:
-    """rows with their number (from 1) among those of equal `by`, and how many those are.
 
-    coarse: name, value and whether descending of what comes first in the order, rounded so that few rows share it (a
-    score, a time's whole seconds); fine: the order inside. A task numbers the rows of one coarse group; a window over
-    the groups' counts, one row for each, gives where each begins. Nulls come as Spark orders them: first ascending,
-    last descending. by may be empty: then coarse groups must be few.
+def numbered(rows: DataFrame, by: list[str], order: list[Column], name: str = "place", total: str | None = None, parts: int | None = None) -> DataFrame:
+    """rows with their number (from 1) among those of equal `by`, and how many those are. It runs a job: the dealt rows are staged.
+
+    order: sort columns that together tell the rows of a group apart. Splitters are sampled once from the rows
+    themselves, over `by` and the whole order, so neither a hot group, nor equal scores, nor sparse ids fill a task;
+    what is staged fixes them. A group that spans ranges goes on from the counts of those before: such (group, range)
+    pairs are two for each range at most, whatever the table, and are broadcast. by may be empty, nulls are a group,
+    and come in the order as Spark sorts them. parts: the number of ranges, else as Spark's shuffle partitions.
     """
-    keys = [f"_c_{n}" for n, _, _ in coarse]
-    rows = rows.withColumns({k: value for k, (_, value, _) in zip(keys, coarse, strict=True)})
-    order = [F.col(k).desc() if down else F.col(k).asc() for k, (_, _, down) in zip(keys, coarse, strict=True)]
-    counts = rows.groupBy(*by, *keys).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_from", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    starts = starts.withColumn("_all", F.sum("_n").over(Window.partitionBy(*by))) if total else starts
-    starts = starts.drop("_n").withColumnsRenamed({c: f"_s{c}" for c in (*by, *keys)})
-    same = F.lit(True)
-    for c in (*by, *keys):
-        same = same & F.col(c).eqNullSafe(F.col(f"_s{c}"))
-    inside = F.row_number().over(Window.partitionBy(*by, *keys).orderBy(*fine))
-    out = rows.withColumn("_i", inside).join(starts, same).withColumn(name, F.col("_from") + F.col("_i"))
-    out = out.withColumn(total, F.col("_all")) if total else out
-    return out.drop("_i", "_from", "_all", *keys, *(f"_s{c}" for c in (*by, *keys)))
+    keys = [*map(F.col, by), *order]
+    dealt = rows.repartitionByRange(*([parts] if parts else []), *keys).sortWithinPartitions(*keys)
+    placed = stage(dealt.withColumn("_at", F.monotonically_increasing_id()), "numbered").withColumn("_part", F.shiftright("_at", 33))
+    group = Window.partitionBy(*by)
+    counts = placed.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = counts.select(*[F.col(b).alias(f"_s{b}") for b in by], F.col("_part").alias("_s_part"), "_n", before.alias("_from"), F.sum("_n").over(group).alias("_all")).where("_all > _n")
+    same = F.col("_part") == F.col("_s_part")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_s{b}"))
+    inside = Window.partitionBy(*by, "_part")
+    out = placed.withColumn("_i", F.row_number().over(inside.orderBy("_at")))
+    out = out.withColumn("_here", F.count(F.lit(1)).over(inside)) if total else out
+    out = out.join(F.broadcast(spans), same, "left").withColumn(name, F.coalesce("_from", F.lit(0)) + F.col("_i"))
+    out = out.withColumn(total, F.coalesce("_all", "_here")) if total else out
+    return out.select(*rows.columns, name, *([total] if total else []))

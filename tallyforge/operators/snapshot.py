@@ -85,13 +85,9 @@ def redact(df: DataFrame, drop: bool = False) -> DataFrame:
     return df.select(*out, F.lit(True).alias("redacted"))
 
 
-#: Ids that are numbered together: so many of them are one task's.
-ID_BLOCK = 1 << 14
-
-
 def user_refs(users: DataFrame) -> DataFrame:
-    """users without people and with a surrogate, u0 on by order of id. Blocks of ids are counted first, so no task holds all users, and what runs again numbers alike."""
-    placed = numbered(users, [], [("block", F.floor(F.col("user_id") / ID_BLOCK), False)], [F.col("user_id")], "_place")
+    """users without people and with a surrogate, u0 on by order of id; what runs again numbers alike."""
+    placed = numbered(users, [], [F.asc("user_id")], "_place")
     return placed.select(*[c for c in users.columns if c not in PRIVATE], F.concat(F.lit("u"), (F.col("_place") - 1).cast("string")).alias("user_ref"))
 
 

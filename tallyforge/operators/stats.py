@@ -53,7 +53,7 @@ def leaders(attempts: DataFrame, users: DataFrame, k: int = 10) -> DataFrame:
 def ranks(attempts: DataFrame) -> DataFrame:
     """Rank and number of participants, by best finished attempts only (stopped ones don't count)."""
     best = best_attempts(attempts.where(F.col("status") == "finished"))
-    placed = numbered(best, ["quiz_id"], [("net", F.col("net"), True), ("sec", F.floor("duration_sec"), False)], [F.col("duration_sec"), F.col("id")], "rank", "participants")
+    placed = numbered(best, ["quiz_id"], [F.desc("net"), F.asc("duration_sec"), F.asc("id")], "rank", "participants")
     return placed.select("quiz_id", "user_id", F.col("rank").cast("int").alias("rank"), "participants")
 
 
@@ -113,7 +113,7 @@ def _session_sums(group_answers: DataFrame) -> DataFrame:
 def group_leaderboard(group_answers: DataFrame, users: DataFrame) -> DataFrame:
     """Totals of each participant in each session, best first. Sums come before the join with users."""
     sums = _session_sums(group_answers)
-    placed = numbered(sums, ["session_id"], [("correct", F.col("correct"), True), ("sec", F.floor("elapsed"), False)], [F.col("elapsed"), F.col("user_id")])
+    placed = numbered(sums, ["session_id"], [F.desc("correct"), F.asc("elapsed"), F.asc("user_id")])
     return placed.withColumn("place", F.col("place").cast("int")).join(users.select("user_id", "username", "first_name"), "user_id", "left")
 
 
@@ -125,7 +125,7 @@ def group_results(sessions: DataFrame, group_answers: DataFrame, users: DataFram
     neg = S.negative_of(F.col("negative_mark"))
     rows = rows.withColumn("denom", F.when(asked > 0, asked).otherwise(F.col("total"))).withColumn("net", S.net_score(F.col("correct"), F.col("wrong"), F.col("negative_mark")))
     first = F.when(neg > 0, F.col("net")).otherwise(F.col("correct").cast("double"))
-    rows = numbered(rows, ["session_id"], [("first", first, True), ("correct", F.col("correct"), True), ("sec", F.floor("elapsed"), False)], [F.col("elapsed"), F.col("user_id")])
+    rows = numbered(rows.withColumn("_first", first), ["session_id"], [F.desc("_first"), F.desc("correct"), F.asc("elapsed"), F.asc("user_id")])
     return rows.select(
         "session_id", F.col("place").cast("int").alias("place"), "user_id", S.group_name(F.col("username"), F.col("first_name"), F.col("user_id")).alias("name"), "correct", "wrong",
         S.unanswered(F.col("denom"), F.col("answered")).alias("skipped"), "denom", F.when(neg > 0, F.col("net")).alias("net"), S.percentage(F.col("correct"), F.col("denom")).alias("pct"))

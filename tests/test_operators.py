@@ -190,11 +190,28 @@ def test_upsert_sink_keeps_the_last_row_and_two_versions(spark, tmp_path):
 
 
 def test_numbered(spark):
-    """As one row number over the whole group, whatever the coarse groups are; nulls too."""
-    rng = random.Random(3)
-    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, 1.0, 2.5, 2.5, 3.0]), rng.choice([None, *map(float, range(60))]), i) for i in range(400)]
-    df = spark.createDataFrame(rows, "g string, x double, s double, id int")
-    got = {r["id"]: (r["place"], r["n"]) for r in ranking.numbered(df, ["g"], [("x", F.col("x"), True), ("s", F.floor(F.col("s") / 10), False)], [F.col("s"), F.col("id")], total="n").collect()}
-    w = Window.partitionBy("g").orderBy(F.desc("x"), "s", "id")
-    want = {r["id"]: (r["p"], r["n"]) for r in df.select("id", F.row_number().over(w).alias("p"), F.count(F.lit(1)).over(Window.partitionBy("g")).alias("n")).collect()}
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["hot", "hot", "a", None]), rng.choice([None, 1.0, 2.0]), rng.choice([None, 5.0, 5.25, 30.0])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, g string, x double, s double").repartition(5)
+    order = [F.desc("x"), F.asc("s"), F.asc("id")]
+    got = {r["id"]: (r["place"], r["n"]) for r in ranking.numbered(df, ["g"], order, total="n", parts=7).collect()}
+    w = Window.partitionBy("g")
+    want = {r["id"]: (r["p"], r["n"]) for r in df.withColumn("p", F.row_number().over(w.orderBy(*order))).withColumn("n", F.count(F.lit(1)).over(w)).collect()}
     assert got == want
+    assert not ranking.numbered(df.limit(0), ["g"], order, total="n").collect()
+
+
+@pytest.mark.parametrize("by", [["g"], []])
+@pytest.mark.parametrize("case", ["equal scores", "sparse ids", "clusters"])
+def test_numbered_evenly(spark, case, by):
+    """All scores equal in one group, or ids far apart: no range has more than a twentieth of the rows, and numbers have no gap."""
+    n = 40_000
+    ids = {"equal scores": F.col("id"), "sparse ids": F.xxhash64("id"), "clusters": F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(F.col("id") + 2**60)}[case]
+    df = spark.range(0, n, 1, 8).select(F.lit("g").alias("g"), F.lit(1.0).alias("score"), ids.alias("id"))
+    placed = ranking.numbered(df, by, [F.desc("score"), F.asc("id")], parts=40)
+    assert rows_of(placed.agg(F.min("place"), F.max("place"), F.countDistinct("place"), F.count(F.lit(1)))) == [(1, n, n, n)]
+    assert placed.withColumn("before", F.lag("id").over(Window.orderBy("place"))).where("id <= before").isEmpty()
+    dealt = [p for p in placed.inputFiles()]
+    sizes = [spark.read.parquet(p).count() for p in dealt]
+    assert sum(sizes) == n and max(sizes) <= n / 20
+
