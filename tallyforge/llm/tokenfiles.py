@@ -53,6 +53,8 @@ BLOCK = 1 << 16
 FILE_IDS, FILE_DOCS = 1 << 25, 1 << 19
 MOST_CHUNKS = 1_000_000
 OUT_BYTES = 4 << 20
+#: Tasks that read files, one for each or more.
+MOST_TASKS = 4096
 _SPACE = r"[ \t\n\r\x0b\x0c]"
 _WORD = r"[^ \t\n\r\x0b\x0c]"
 #: A word with one space before it; white space up to the last of a run before a word; a run at the end; a break before a word.
@@ -299,8 +301,9 @@ def read_tokens(files: DataFrame, folder: str, key: str = "bigint") -> DataFrame
                 with store.open_input_file(path) as source:
                     yield from _batches(documents_in(source, start), _key_type(source))
 
-    # A file is a unit of work; there are as many tasks as files, up to the shuffle partitions.
-    return files.select("path", "start").repartition("path").mapInArrow(bounded(work), f"doc_id {key}, start long, n_tokens long, ids binary")
+    # A file is a unit of work. The number is named, or Spark would put the short list into one task.
+    tasks = max(1, min(MOST_TASKS, files.count()))
+    return files.select("path", "start").repartition(tasks, "path").mapInArrow(bounded(work), f"doc_id {key}, start long, n_tokens long, ids binary")
 
 
 def _key_type(source) -> pa.DataType:
