@@ -52,11 +52,13 @@ def targets(sources: DataFrame, most: int = MOST_EPOCHS) -> DataFrame:
     return w.select("source_key", "source_size", F.when(F.col("source_size") == 0, 0.0).otherwise(F.coalesce(F.least("cap", F.col("final") * F.col("w")), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, weight: Column | None = None, bins: int = BINS) -> DataFrame:
-    """doc_id, size, source_size, target, taken: how many words of each document the mix takes."""
-    base = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), sample_key(F.col("doc_id"), quality_weight(F.col("text")) if weight is None else weight).alias("k"))
+def mix(docs: DataFrame, weight: Column | None = None, bins: int = BINS, also: tuple[Column, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken: how many words of each document the mix takes. also: named columns of docs that come along."""
+    also = [c.alias(f"_also{i}") for i, c in enumerate(also)]
+    more = [f"_also{i}" for i in range(len(also))]
+    base = docs.select("doc_id", *also, "source", n_words(F.col("text")).alias("size"), sample_key(F.col("doc_id"), quality_weight(F.col("text")) if weight is None else weight).alias("k"))
     base = base.withColumn("source_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
-    meta = stage(base.select("doc_id", "source_key", "size", "k", F.floor(F.col("k") / (F.col("k") + 1) * bins).cast("int").alias("bin")), "mix")
+    meta = stage(base.select("doc_id", *more, "source_key", "size", "k", F.floor(F.col("k") / (F.col("k") + 1) * bins).cast("int").alias("bin")), "mix")
     by_bin = meta.groupBy("source_key", "bin").agg(F.sum("size").alias("bin_size"))
     sums = stage(by_bin, "bins")
     totals = sums.groupBy("source_key").agg(F.sum("bin_size").alias("source_size")).withColumn("is_null", F.col("source_key") == "n").withColumn("source", F.expr("substring(source_key, 2)"))
@@ -73,7 +75,7 @@ def mix(docs: DataFrame, weight: Column | None = None, bins: int = BINS) -> Data
     edge = rows.where(here).withColumn("p", F.col("end.before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     edge = edge.withColumn("picked", 2 * F.col("p") + F.col("size") <= 2 * F.col("rest"))
     clear = rows.where(~F.coalesce(here, F.lit(False))).withColumn("picked", F.coalesce(F.col("bin") < F.col("end.bin"), F.lit(False)))
-    out = ["doc_id", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.col("picked").cast("long"))).alias("taken")]
+    out = ["doc_id", *more, "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.col("picked").cast("long"))).alias("taken")]
     return clear.select(*out).unionByName(edge.select(*out))
 
 
