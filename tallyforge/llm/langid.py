@@ -35,6 +35,8 @@ from .textvec import mix
 UND = "und"
 BUCKETS, DIM = 4096, 16
 SAMPLE, SAMPLE_EACH = 6000, 600
+#: Languages that are learned: those of most rows.
+MOST_LANGS = 1000
 EPOCHS, RATE, MINIBATCH, SEED = 30, 4.0, 32, 7
 #: The largest step of one embedding component, so that no minibatch throws the training off.
 STEP = 1.0
@@ -164,12 +166,15 @@ def fit(counts: np.ndarray, labels: list[str | None]) -> Model:
 def train(docs: DataFrame) -> Model:
     """A model of the languages of docs (doc_id, text, lang), from rows that are not held out."""
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in known.where(F.col("text").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = known.where(F.col("text").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)
+    sizes = {r["lang"]: r["n"] for r in sizes.collect()}
     if not sizes:
         return fit(np.zeros((0, BUCKETS)), [])
     each = min(SAMPLE_EACH, max(1, SAMPLE // len(sizes)))
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, each / n)))])
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 24)) < F.element_at(share, F.col("lang")) * F.lit(float(1 << 24)))
+    # An id that many rows share is drawn with all of them: one of them learns, so the sample stays as large as it is said to be.
+    drawn = drawn.groupBy("doc_id").agg(F.min(F.struct("lang", F.xxhash64("text").alias("h"), "text")).alias("x")).select("doc_id", "x.text", "x.lang")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
