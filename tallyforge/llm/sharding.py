@@ -7,7 +7,8 @@ bins of its dimension and narrows the interval that holds the cut. Histograms st
 over a node's bins picks the one that holds the cut; a few numbers for each open node reach the driver.
 
 What is cut are units: all documents of equal text, or, where those weigh more than an eighth of a leaf, slices of
-them by id, so that no group of copies can unbalance a leaf. Equal texts below that bound share a shard.
+them by id, so that no group of copies can unbalance a leaf. Equal texts below that bound share a shard; those of
+many rows (a third of all may be null, at 8 bytes each) meet their shard by broadcast, not in one task.
 
 Defined cases: a null text has 8 bytes of size and the checksum of no bytes; null metadata sorts first; rows with
 equal ids and texts get slots of their own; an empty table gives no rows; other columns are ignored.
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import join_unevenly, stage
 
 ROW_BYTES = 8
 PASS_BINS = 1024
@@ -38,7 +39,7 @@ def _kd_units(rows: DataFrame, leaf_bytes: float, dims: dict[str, Column]) -> tu
     # At most leaves / GROUP_SHARE groups can be this heavy, so the side is small by construction.
     heavy = groups.where(F.col("weight") > leaf_bytes * GROUP_SHARE).select("g", F.ceil(F.col("weight") / (leaf_bytes * SLICE_SHARE)).cast("int").alias("n"))
     rows = rows.join(F.broadcast(heavy), "g", "left").withColumn("slice", F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("n"))).cast("int")).drop("n")
-    units = rows.groupBy("g", "slice").agg(F.sum("size").alias("weight"), *[F.min(c).alias(f"v_{name}") for name, c in dims.items()])
+    units = rows.groupBy("g", "slice").agg(F.sum("size").alias("weight"), F.count(F.lit(1)).alias("c"), *[F.min(c).alias(f"v_{name}") for name, c in dims.items()])
     return rows, units
 
 
@@ -51,7 +52,7 @@ def _keys(units: DataFrame, dims: tuple[str, ...]) -> DataFrame:
         lo, hi = ranges[f"min_{d}"] or 0, ranges[f"max_{d}"] or 0
         scaled = F.floor((F.coalesce(F.col(f"v_{d}"), F.lit(lo)) - F.lit(lo)) * F.lit(float((1 << VALUE_BITS) - 1) / max(1, hi - lo))).cast("long")
         out = out.withColumn(f"k{i}", F.shiftleft(scaled, TIE_BITS) + tie)
-    return out.select("g", "slice", "weight", *[f"k{i}" for i in range(len(dims))], F.lit(0).alias("node"))
+    return out.select("g", "slice", "weight", "c", *[f"k{i}" for i in range(len(dims))], F.lit(0).alias("node"))
 
 
 def _cuts(units: DataFrame, plan: DataFrame, dims: int) -> DataFrame:
@@ -71,7 +72,7 @@ def _cuts(units: DataFrame, plan: DataFrame, dims: int) -> DataFrame:
 
 
 def kd_assign(units: DataFrame, leaves: int, dims: int) -> DataFrame:
-    """units (weight, k0.., node) with their final node, 0 to leaves - 1, as column shard.
+    """units (weight, c rows, k0.., node) with their final node, 0 to leaves - 1, as column shard.
 
     All open nodes of a level are cut in the same passes. The driver holds a few numbers for each node, and broadcasts
     the plan of a level: a row for each open node, of which there are fewer than leaves.
@@ -116,9 +117,9 @@ def kd_assign(units: DataFrame, leaves: int, dims: int) -> DataFrame:
         step = spark.createDataFrame(moves, "node int, dim int, cut long, child int")
         key = F.element_at(F.array(*[f"k{i}" for i in range(dims)]), F.col("dim") + 1)
         moved = F.when(F.col("child").isNull(), F.col("node")).when(key < F.col("cut"), F.col("child")).otherwise(F.col("child") + 1)
-        units = stage(units.join(F.broadcast(step), "node", "left").select("g", "slice", "weight", *[f"k{i}" for i in range(dims)], moved.alias("node")), "kd")
+        units = stage(units.join(F.broadcast(step), "node", "left").select("g", "slice", "weight", "c", *[f"k{i}" for i in range(dims)], moved.alias("node")), "kd")
     final = spark.createDataFrame([(n, b) for n, b in base.items()], "node int, shard int")
-    return units.join(F.broadcast(final), "node").select("g", "slice", "shard")
+    return units.join(F.broadcast(final), "node").select("g", "slice", "c", "shard")
 
 
 def shard(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
@@ -135,7 +136,7 @@ def shard(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None
     dims = {"size": F.col("size"), "source": F.col("d_source"), "lang": F.col("d_lang"), "text": F.col("text_crc32")}
     rows, units = _kd_units(rows, max(1.0, total / leaves), dims)
     placed = kd_assign(stage(_keys(stage(units, "units"), tuple(dims)), "keys"), leaves, len(dims))
-    rows = stage(rows.join(placed, ["g", "slice"]).select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(max(1, -(-n // (leaves * SLOT_ROWS))))).alias("part")), "placed")
+    rows = stage(join_unevenly(rows, placed, ["g", "slice"]).select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(max(1, -(-n // (leaves * SLOT_ROWS))))).alias("part")), "placed")
     # Slots: rows of a shard are numbered in parts, each from where the parts before it end.
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("c")).select("shard", "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
