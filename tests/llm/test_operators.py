@@ -582,3 +582,32 @@ def test_empty_table(none, run):
 
 def test_empty_vectors(spark):
     assert topk.top_k(spark.createDataFrame([], T.StructType.fromDDL("vec_id long, embedding array<float>")), F.col("id") % 50 == 0).collect() == []
+
+
+def test_sample_of_one_id(spark):
+    """An id that thousands of rows share gives one row of the sample."""
+    rng = random.Random(8)
+    hot = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = [[hot if i % 2 else 10_000 + i, " ".join(rng.choice(SYLLABLES["aa" if i % 3 else "cc"]) for _ in range(6)), "aa" if i % 3 else "cc", "s", 0] for i in range(6000)]
+    seen = []
+    was = langid.fit
+    langid.fit = lambda counts, labels: seen.append(len(labels)) or was(counts, labels)
+    try:
+        model = langid.train(spark.createDataFrame(rows, DOCS))
+    finally:
+        langid.fit = was
+    assert seen[0] <= 2.2 * 2 * langid.SAMPLE_EACH and set(model.langs) == {"aa", "cc"}
+
+
+def test_most_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGS", 2)
+    rows = [[i, "ab cd ef", f"l{i % 5 if i < 20 else i % 2}", "s", 0] for i in range(60)]
+    assert langid.train(spark.createDataFrame(rows, DOCS)).langs == ["l0", "l1"]
+
+
+def test_sharding_of_many_nulls(spark):
+    """A third of all rows are null: their text stays one group, and every row gets its shard."""
+    rows = [[i, None if i % 3 == 0 else f"text {i} " + "w " * (i % 50), "en", "s", 0] for i in range(6000)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, DOCS), 6)
+    assert got.count() == 6000 and got.where("size = 8").select("shard").distinct().count() == 1
+    assert got.groupBy("shard").agg((F.max("slot") + 1 - F.count(F.lit(1))).alias("gap")).where("gap <> 0").isEmpty()

@@ -123,3 +123,21 @@ def test_one_of_each_with_equal_ids(spark):
     rows = [(1, far), (1, near), (1, near), (2, near + " end"), (3, None), (3, " "), (3, " "), (None, far + " end"), (None, "only here now and then"), (None, "only here now and then")]
     got = p.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert Counter(tuple(r) for r in got) == Counter([(1, far), (1, near), (3, None), (3, " "), (3, " "), (None, "only here now and then")])
+
+
+def test_mixed_rows_of_one_id(spark):
+    """Rows of one id and equal word counts get their own counts: source s1 is far above its target, s2 and s3 below."""
+    rows = [(1, "two words", "s1"), (1, "two others", "s2"), (1, "two more", "s3"), (2, "w " * 2000, "s1"), (2, "w " * 2000, "s1"), (3, "one two", "s2"), (4, "one two", "s3"), (1, "two words", None), (5, None, "s2"), (6, " ", "s3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    seen = Counter(tuple(r) for r in p.mixed(spark, docs, "").collect())
+    want = Counter()
+    for r in mixing.mix(docs, also=(F.col("source"), F.col("text"))).where("size > 0").collect():
+        want[r["doc_id"], r["_also1"], r["_also0"]] += r["taken"] / r["size"]
+    counts = Counter(rows)
+    assert seen == Counter({k: counts[k] * round(n / counts[k] + 1e-9) for k, n in want.items() if round(n / counts[k] + 1e-9)})
+    assert seen[1, "two words", "s1"] <= 1 and seen[1, "two others", "s2"] == 3
+
+
+def test_mixed_with_a_map(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", {"k": 1})], "doc_id long, text string, source string, more map<string, int>")
+    assert p.mixed(spark, docs, "").first()["more"] == {"k": 1}
