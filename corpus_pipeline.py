@@ -66,12 +66,15 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them.
 
     Null and empty texts have no words and are never taken; a null source is a source; very long texts count whole; of
-    rows with one id each counts by its own text, and repeated rows are taken alike; equal keys go by id; an empty
+    rows with one id each counts by its own source and text, which a 64-bit hash tells apart; rows equal in id, source
+    and text are taken alike, each as often as the mix takes them on average, rounded; equal keys go by id; an empty
     table gives no rows; other columns pass through, whatever their names.
     """
-    key, size, times, turn = _hidden(docs, "id", "size", "times", "turn")
-    taken = mixing.mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias(key), F.col("size").alias(size)).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias(times))
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(key)) & (n_words(F.col("text")) == F.col(size)))
+    key, source, digest, times, turn = _hidden(docs, "id", "source", "hash", "times", "turn")
+    taken = mixing.mix(docs, also=(F.col("source"), F.xxhash64("text"))).where("size > 0")
+    taken = taken.groupBy(F.col("doc_id").alias(key), F.col("_also0").alias(source), F.col("_also1").alias(digest)).agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias(times)).where(F.col(times) > 0)
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(digest + "2") == F.col(digest))
+    rows = docs.where(F.col("text").isNotNull()).withColumn(digest + "2", F.xxhash64("text")).join(taken, same)
     return rows.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
