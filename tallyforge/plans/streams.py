@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..adapters import Tables
+from ..shared import fresh_dir
 from ..streaming import queries as Q
-from ..streaming.machine import export_times
+from ..streaming import stateful as S
 from .registry import query
 
 
-@query("OP-311 OP-309 OP-310", "SELECT session_id, user_id, question_id, event_id, answered_ts FROM group_answers")
+@query("OP-311 OP-309", "SELECT session_id, user_id, question_id, event_id, answered_ts FROM group_answers")
 def stream_group_answers(t: Tables) -> DataFrame:
     e = Q.stream_table(t.spark, t.sf_dir, "events")
     day = (F.year("ts") * 10000 + F.month("ts") * 100 + F.dayofmonth("ts")).cast("long")
     events = e.select(day.alias("session_id"), "user_id", F.col("event_type").alias("question_id"), "event_id", F.col("ts").cast("timestamp").alias("answered_ts"))
-    return Q.drained(Q.accepted_group_answers(events), "answers")
+    return Q.drained(S.accepted_group_answers(events), "answers")
 
 
 @query("OP-308 OP-312 OP-315 OP-316 OP-319 OP-320 OP-321 OP-322 OP-323 OP-326 OP-328 OP-314", None)
@@ -28,7 +26,7 @@ def stream_attempts(t: Tables) -> DataFrame:
     e = Q.stream_table(t.spark, t.sf_dir, "events")
     kind = F.when(F.col("event_type") == "view", "sent").when(F.col("event_type").isin("click", "purchase"), "answer").when(F.col("event_type") == "signup", "skip").otherwise("restart")
     events = e.select(F.col("user_id").alias("attempt_id"), F.col("ts").cast("timestamp").alias("at"), kind.alias("kind"), F.lit("p").alias("poll"), (F.col("event_type") == "purchase").alias("correct"), "event_id")
-    return Q.drained(Q.run_attempts(events), "attempts")
+    return Q.drained(S.run_attempts(events), "attempts")
 
 
 @query("OP-307 OP-333 OP-334", "SELECT DISTINCT event_id, event_type FROM events")
@@ -37,22 +35,43 @@ def stream_distinct(t: Tables) -> DataFrame:
     return Q.drained(Q.first_per_key(e, ["event_id"], "ts"), "distinct").select("event_id", "event_type")
 
 
-@query("OP-332 OP-374 OP-375 OP-027", None)
-def export_schedule(t: Tables) -> DataFrame:
-    """When each user's changes would be written out, of seconds since the epoch."""
+@query("OP-310", """
+    SELECT event_id, poll_id, ts FROM (SELECT event_id, strftime(ts, '%Y-%m-%d ') || event_type AS poll_id, ts FROM events) a
+    WHERE NOT EXISTS (SELECT 1 FROM events c WHERE c.event_id % 97 = 0 AND strftime(c.ts, '%Y-%m-%d ') || c.event_type = a.poll_id AND c.ts <= a.ts)""")
+def stream_answers_in_time(t: Tables) -> DataFrame:
+    """Answers to each day's poll of a kind; every 97th event shuts its poll, itself included."""
+    beats = Q.beat(t.events, "ts", "ts").withColumn("poll_id", F.lit(""))  # a poll of its own: rows without a poll would be left out before they count as time
+    e = Q.stream_table(t.spark, t.sf_dir, "events").select("event_id", F.concat(F.date_format("ts", "yyyy-MM-dd "), "event_type").alias("poll_id"), F.col("ts").cast("timestamp").alias("ts"))
+    shut = Q.with_beat(e, beats).where("event_id IS NULL OR event_id % 97 = 0").select("poll_id", F.col("ts").alias("closed_at"))
+    kept = Q.drained(Q.answers_in_time(Q.with_beat(e, beats), shut), "in_time")
+    return kept.where("event_id IS NOT NULL").select("event_id", "poll_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
 
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"user_id": rows.user_id.iloc[0], "at": export_times(rows.s.tolist())})
+_HOUR = 3_600_000_000
+_DUE = f"greatest(least(r.last + {6 * _HOUR}, r.first + {72 * _HOUR}), coalesce(r.before + {24 * _HOUR}, 0))"
 
-    events = t.events.select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("s"))
-    return events.groupBy("user_id").applyInPandas(work, "user_id long, at double")
+
+@query("OP-332 OP-374 OP-375 OP-027", f"""
+    WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n, count(*) OVER (PARTITION BY user_id) AS c FROM events),
+    r AS (
+        SELECT user_id, n, c, t AS first, t AS last, NULL::BIGINT AS before, NULL::BIGINT AS told FROM e WHERE n = 1
+        UNION ALL
+        SELECT user_id, n, c, CASE WHEN due <= t THEN t ELSE first END, t, CASE WHEN due <= t THEN due ELSE before END, CASE WHEN due <= t THEN due END
+        FROM (SELECT e.user_id, e.n, e.c, e.t, r.first, r.before, {_DUE} AS due FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1) x
+    )
+    SELECT user_id, told / 1e6 AS at FROM r WHERE told IS NOT NULL UNION ALL SELECT user_id, {_DUE} / 1e6 FROM r WHERE n = c""")
+def export_schedule(t: Tables) -> DataFrame:
+    """When each user's changes would be written out, in seconds since the epoch: six hours after the last, a day after the time before, three days after the first at the latest."""
+    e = Q.stream_table(t.spark, t.sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("at"))
+    times = Q.drained(S.export_times(Q.with_beat(e, Q.beat(t.events, "ts", "at")), 6 * 3600, 24 * 3600, 72 * 3600), "exports")
+    return times.where("key IS NOT NULL").select(F.col("key").alias("user_id"), (F.col("at_us") / 1e6).alias("at"))
 
 
 @query("OP-028", """
     SELECT 'current' AS version, n_nationkey, upper(n_name) AS n_name FROM nation WHERE n_nationkey <> 3 UNION ALL SELECT 'previous', n_nationkey, n_name FROM nation""")
 def versioned_copies(t: Tables) -> DataFrame:
     """A table written three times: the last version and the one before it are there, the first is gone."""
-    folder = f"{Q.shared_dir(t.spark)}/tallyforge-versions-{uuid.uuid4().hex}"
+    folder = fresh_dir(t.spark, "versions")
     plain = t.nation.select("n_nationkey", "n_name")
     for version, df in enumerate((plain.limit(0), plain, plain.where("n_nationkey <> 3").withColumn("n_name", F.upper("n_name")))):
         Q.publish(df, folder, version)

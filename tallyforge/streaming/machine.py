@@ -117,18 +117,37 @@ OUTPUT = "attempt_id long, ts long, kind string, index long, run long, status st
 FIELDS = [f.split()[0] for f in STATE.split(", ")]
 
 
+@dataclass
+class Schedule:
+    """When changes are written out: after a quiet spell, never sooner than `least` after the last time, never later than `latest` after the first change. Times are microseconds."""
+
+    debounce: int
+    least: int
+    latest: int
+    first: int | None = None
+    last: int | None = None
+    before: int | None = None
+
+    def due(self) -> int:
+        free = self.before + self.least if self.before is not None else 0
+        return max(min(self.last + self.debounce, self.first + self.latest), free)
+
+    def until(self, now: int) -> list[int]:
+        """The time that has come by now, if changes are open."""
+        if self.first is None or self.due() > now:
+            return []
+        self.before, self.first, self.last = self.due(), None, None
+        return [self.before]
+
+    def change(self, at: int) -> list[int]:
+        """Takes a change, the next in order; what has come before it."""
+        out = self.until(at)
+        self.first, self.last = at if self.first is None else self.first, at
+        return out
+
+
 def export_times(changes: list[float], debounce: float = 5.0, least: float = 30.0, latest: float = 120.0) -> list[float]:
-    """When a change log is written out: after a quiet spell, never sooner than `least` after the last time, never later than `latest` after the first change."""
-    out: list[float] = []
-    first = last = None
-    for t in [*sorted(changes), float("inf")]:
-        while first is not None:
-            due = min(max(last + debounce, (out[-1] + least) if out else float("-inf")), max(first + latest, (out[-1] + least) if out else float("-inf")))
-            if due > t:
-                break
-            out.append(due)
-            first = None
-        if first is None:
-            first = t
-        last = t
-    return out
+    """All times of a change log, in seconds."""
+    plan = Schedule(*(round(x * 1e6) for x in (debounce, least, latest)))
+    out = [due for at in sorted(changes) for due in plan.change(round(at * 1e6))]
+    return [x / 1e6 for x in out + (plan.until(plan.due()) if changes else [])]

@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Iterator
-from dataclasses import asdict
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.tables import upsert
-from .machine import ACTIVE, EXPIRY_US, FIELDS, OUTPUT, STATE, Attempt
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Where driver and executors both write: spark.checkpoint.dir, or the warehouse where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+from ..shared import fresh_dir, located
+from .stateful import STORE
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,71 +23,36 @@ def first_per_key(events: DataFrame, keys: list[str], time: str, delay: str = "1
     return events.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def accepted_group_answers(events: DataFrame, delay: str = "1 day", keep_ms: int = 48 * 3_600_000) -> DataFrame:
-    """session_id, user_id, question_id, event_id, answered_ts of answers that are the first to their question.
+def answers_in_time(answers: DataFrame, closings: DataFrame, delay: str = "10 minutes", reach: str = "1 day", lanes: int = 16) -> DataFrame:
+    """answers (a stream: poll_id, ts, ..) that came before their poll closed (a stream: poll_id, closed_at).
 
-    The state of a participant is the questions answered. It is dropped once the watermark (delay behind the latest
-    event) is keep_ms past the participant's last answer, when the session is long over, so it doesn't grow for ever.
+    A left outer join under two watermarks: an answer waits until no closing at or before it can come any more, and
+    passes if there was none. A poll's closing lies within reach before the answers that it shuts out; answers are
+    spread over lanes and closings are sent to all of them, so a hot poll is no task of its own. An answer without a
+    time or poll never passes.
     """
+    told = answers.where("poll_id IS NOT NULL").withWatermark("ts", delay).withColumn("_lane", F.pmod(F.xxhash64("ts"), F.lit(lanes)))
+    shut = closings.select(F.col("poll_id").alias("_poll"), "closed_at").withWatermark("closed_at", delay).withColumn("_at_lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)).cast("array<long>")))
+    same = (F.col("poll_id") == F.col("_poll")) & (F.col("_lane") == F.col("_at_lane"))
+    before = (F.col("closed_at") <= F.col("ts")) & (F.col("closed_at") >= F.col("ts") - F.expr(f"INTERVAL {reach}"))
+    return told.join(shut, same & before, "left_outer").where("closed_at IS NULL").select(*answers.columns)
 
-    def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        done = set(state.get[0].split("\n")) if state.exists else set()
-        rows = sorted((at, e, q) for b in batches for at, e, q in zip(b.answered_ts, b.event_id, b.question_id, strict=True))
-        fresh = []
-        for at, e, q in rows:
-            if q not in done:
-                done.add(q)
-                fresh.append((key[0], key[1], q, e, at))
-        last = max([int(rows[-1][0].timestamp() * 1000), *([state.get[1]] if state.exists else [])])
-        state.update(("\n".join(sorted(done)), last))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, last + keep_ms))
-        if fresh:
-            yield pd.DataFrame(fresh, columns=["session_id", "user_id", "question_id", "event_id", "answered_ts"])
-
-    told = events.select("session_id", "user_id", "question_id", "event_id", "answered_ts").withWatermark("answered_ts", delay)
-    out = "session_id long, user_id long, question_id string, event_id long, answered_ts timestamp"
-    return told.groupBy("session_id", "user_id").applyInPandasWithState(work, out, "answered string, last long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def late_filtered(answers: DataFrame, polls: DataFrame) -> DataFrame:
-    """Answers (a stream) to polls (a table: poll_id, closed_at) that were still open."""
-    return answers.join(polls, "poll_id").where(F.col("closed_at").isNull() | (F.col("ts") < F.col("closed_at"))).drop("closed_at")
-
-
-def run_attempts(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """What the attempt machine tells of a stream of events (attempt_id, at, kind, poll, correct, event_id). An attempt whose time runs out by the watermark expires; a clock timer would never let a drained stream end."""
-
-    def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        a = Attempt(**dict(zip(FIELDS, state.get, strict=True))) if state.exists else Attempt()
-        if state.hasTimedOut:
-            a.apply("expire", a.started + EXPIRY_US + a.paused_total + 1)
-            state.remove()
-        else:
-            rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-            for r in rows.itertuples():
-                a.apply(r.kind, int(r.ts), r.poll or "", bool(r.correct))
-            values = asdict(a)
-            state.update(tuple(values[f] for f in FIELDS))
-            if a.status == ACTIVE and a.started:
-                state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (a.started + EXPIRY_US + a.paused_total) // 1000 + 1))
-        told = pd.DataFrame(a.out, columns=["ts", "kind", "index", "run", "status", "elapsed_us"])
-        yield told.assign(attempt_id=key[0])[[f.split()[0] for f in OUTPUT.split(", ")]]
-
-    timed = events.withWatermark("at", delay).withColumn("ts", F.unix_micros("at"))
-    return timed.groupBy("attempt_id").applyInPandasWithState(work, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def _store(spark: SparkSession, path: str):
-    """A path and its file system, through Spark's own layer."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+def with_beat(stream: DataFrame, beats: DataFrame) -> DataFrame:
+    """A stream with marks of time (beats, a stream) that hold none of its other columns; they move the watermark on, so that a stream which has no more rows gives what waits. Where rows without a key are left out, as before a join, the marks need a key of their own."""
+    return stream.unionByName(beats, allowMissingColumns=True)
+
+
+def beat(table: DataFrame, time: str, name: str, after: str = "30 days") -> DataFrame:
+    """A stream of one mark of time, that long after the last row of a table."""
+    end = table.agg((F.max(time).cast("timestamp") + F.expr(f"INTERVAL {after}")).alias(name))
+    spark, folder = table.sparkSession, fresh_dir(table.sparkSession, "beat")
+    end.write.parquet(folder)
+    return spark.readStream.schema(end.schema).parquet(folder)
 
 
 def is_written(spark: SparkSession, path: str) -> bool:
-    where, fs = _store(spark, f"{path}/_SUCCESS")
+    where, fs = located(spark, f"{path}/_SUCCESS")
     return fs.exists(where)
 
 
@@ -104,7 +61,7 @@ def publish(df: DataFrame, folder: str, version: int, kept: int = 2) -> str:
     path = f"{folder}/v{version}"
     df.write.mode("overwrite").parquet(path)
     if version >= kept:
-        where, fs = _store(df.sparkSession, f"{folder}/v{version - kept}")
+        where, fs = located(df.sparkSession, f"{folder}/v{version - kept}")
         fs.delete(where, True)
     return path
 
@@ -130,10 +87,15 @@ def upsert_sink(spark: SparkSession, folder: str, keys: list[str], by: list[str]
     return put
 
 
-def drained(stream: DataFrame, name: str) -> DataFrame:
-    """Runs a stream over all that is there now into files of the shared folder, and reads them."""
+def drained(stream: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Runs a stream over all that is there now into files of the shared folder, and reads them. A folder that is named goes on from where its last run stopped."""
     spark = stream.sparkSession
-    folder = f"{shared_dir(spark)}/tallyforge-stream-{uuid.uuid4().hex}/{name}"
-    query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
+    folder = folder or fresh_dir(spark, name)
+    was = spark.conf.get(STORE[0])
+    spark.conf.set(*STORE)
+    try:
+        query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(STORE[0], was)
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")

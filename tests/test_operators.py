@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tallyforge.operators import ranking, reports, sessions, snapshot, stats, tables
 from tallyforge.streaming import queries as Q
+from tallyforge.streaming import stateful as S
 from tallyforge.streaming.machine import EXPIRY_US, Attempt, export_times
 
 
@@ -156,7 +157,7 @@ def test_stream_equals_batch(spark, tmp_path):
     for i in range(3):  # files arrive one after the other
         spark.createDataFrame(rows[100 * i : 100 * i + 100], schema).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
-    got = rows_of(Q.drained(Q.run_attempts(stream), "t"))
+    got = rows_of(Q.drained(S.run_attempts(stream), "t"))
     want = []
     for attempt in {r[0] for r in rows}:
         a = Attempt()
