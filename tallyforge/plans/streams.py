@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..adapters import Tables
+from ..operators import buckets
 from ..shared import fresh_dir
 from ..streaming import queries as Q
 from ..streaming import stateful as S
@@ -81,6 +82,26 @@ def versioned_copies(t: Tables) -> DataFrame:
     return named[0].unionByName(named[1])
 
 
+@query("OP-307 OP-334 OP-034", "SELECT user_id, max_by(event_type, (ts, event_id)) AS event_type, max_by(event_id, (ts, event_id)) AS event_id, max(ts) AS ts FROM events GROUP BY user_id")
+def stream_upserted(t: Tables) -> DataFrame:
+    """The last event of each user, merged batch by batch into a table of buckets."""
+    e = Q.stream_table(t.spark, t.sf_dir, "events").select("user_id", "event_type", "event_id", "ts")
+    return Q.merged_into(e, fresh_dir(t.spark, "upserted"), ["user_id"], ["ts", "event_id"])
+
+
+@query("OP-028 OP-334", """
+    SELECT 'current' AS version, o_orderkey, CASE WHEN o_custkey = 7 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders
+    UNION ALL SELECT 'current', -1, 'N' UNION ALL SELECT 'previous', o_orderkey, o_orderstatus FROM orders""")
+def bucketed_versions(t: Tables) -> DataFrame:
+    """A table of orders, and one merge of some changed rows and a new one: the last version and the one before it."""
+    folder, plain = fresh_dir(t.spark, "orders"), t.orders.select("o_orderkey", "o_orderstatus")
+    buckets.merge(plain, folder, 0, ["o_orderkey"])
+    changed = t.orders.where("o_custkey = 7").select("o_orderkey", F.lit("X").alias("o_orderstatus"))
+    buckets.merge(changed.unionByName(t.spark.range(1).select(F.lit(-1).cast("long").alias("o_orderkey"), F.lit("N").alias("o_orderstatus"))), folder, 1, ["o_orderkey"])
+    named = [buckets.read(t.spark, folder, v).select(F.lit(name).alias("version"), "o_orderkey", "o_orderstatus") for name, v in (("current", 1), ("previous", 0))]
+    return named[0].unionByName(named[1])
+
+
 # ----------------------------------------------------------- extensions
 
 

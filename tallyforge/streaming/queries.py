@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.tables import upsert
+from ..operators import buckets
 from ..shared import fresh_dir, located
 from .stateful import STORE
 
@@ -66,25 +64,11 @@ def publish(df: DataFrame, folder: str, version: int, kept: int = 2) -> str:
     return path
 
 
-def upsert_sink(spark: SparkSession, folder: str, keys: list[str], by: list[str] | None = None, kept: int = 2) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that merges each batch into a table of versions.
-
-    A batch that runs again finds its version written and does nothing, so each counts once. Of a batch's rows of one
-    key the last by `by` counts, or by all columns. A batch whose version before is missing fails, since its table
-    would lack what came before. The last `kept` versions stay.
-    """
-
-    def put(batch: DataFrame, batch_id: int) -> None:
-        if is_written(spark, f"{folder}/v{batch_id}"):
-            return
-        before = f"{folder}/v{batch_id - 1}"
-        if batch_id and not is_written(spark, before):
-            raise FileNotFoundError(f"version {batch_id - 1} of {folder} is missing")
-        whole = F.struct(*batch.columns)
-        last = batch.groupBy(*keys).agg(F.max_by(whole, F.struct(*(by or batch.columns))).alias("_last")).select("_last.*")
-        publish(upsert(spark.read.parquet(before), last, keys) if batch_id else last, folder, batch_id, kept)
-
-    return put
+def merged_into(stream: DataFrame, folder: str, keys: list[str], by: list[str] | None = None) -> DataFrame:
+    """Runs a stream over all that is there now into a keyed table in versions (one for each batch), and reads its last one."""
+    query = stream.writeStream.foreachBatch(buckets.upsert_sink(f"{folder}/table", keys, by)).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return buckets.read(stream.sparkSession, f"{folder}/table")
 
 
 def drained(stream: DataFrame, name: str, folder: str | None = None) -> DataFrame:

@@ -168,28 +168,6 @@ def test_stream_equals_batch(spark, tmp_path):
     assert want_set <= got_set and all(g[2] == "expired" for g in got_set - want_set)
 
 
-def test_upsert_sink_counts_once(spark, tmp_path):
-    put = Q.upsert_sink(spark, str(tmp_path / "t"), ["k"])
-    put(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), 0)
-    put(spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), 1)
-    put(spark.createDataFrame([(2, "zzz")], "k int, v string"), 1)
-    assert rows_of(spark.read.parquet(str(tmp_path / "t/v1"))) == [(1, "a"), (2, "c"), (3, "d")]
-
-
-def test_upsert_sink_keeps_the_last_row_and_two_versions(spark, tmp_path):
-    folder = str(tmp_path / "t")
-    put = Q.upsert_sink(spark, folder, ["k"], ["at"])
-    shape = "k int, v string, at int"
-    put(spark.createDataFrame([(1, "old", 1), (1, "new", 3), (1, "mid", 2)], shape), 0)
-    assert rows_of(spark.read.parquet(f"{folder}/v0")) == [(1, "new", 3)]
-    put(spark.createDataFrame([(2, "x", 1)], shape), 1)
-    put(spark.createDataFrame([], shape), 2)
-    assert rows_of(spark.read.parquet(f"{folder}/v2")) == [(1, "new", 3), (2, "x", 1)]
-    assert not Q.is_written(spark, f"{folder}/v0") and Q.is_written(spark, f"{folder}/v1")
-    with pytest.raises(FileNotFoundError):
-        put(spark.createDataFrame([(9, "y", 1)], shape), 7)
-
-
 def test_numbered(spark):
     rng = random.Random(4)
     rows = [(i, rng.choice(["hot", "hot", "a", None]), rng.choice([None, 1.0, 2.0]), rng.choice([None, 5.0, 5.25, 30.0])) for i in range(400)]
