@@ -1,4 +1,4 @@
-"""Snapshots: nesting children, counts, orphans, rules as tables of violations, redaction, content hash."""
+"""Snapshots: nesting children in chunks, counts, orphans, rules as tables of violations, redaction, content hash."""
 
 from __future__ import annotations
 
@@ -11,15 +11,32 @@ PRIVATE = ("user_id", "chat_id", "owner_id", "started_by", "username", "first_na
 VOLATILE = ("generated_at", "generated_ts")
 
 
-def nest(parents: DataFrame, children: DataFrame, key: str, ref: str, name: str, *order: str) -> DataFrame:
-    """parents with an array column of their children, in order; none is an empty array."""
-    row = F.struct(*[c for c in [*order, *[c for c in children.columns if c not in order]]])
-    grouped = children.groupBy(F.col(ref).alias(key)).agg(F.array_sort(F.collect_list(row)).alias(name))
-    return parents.join(grouped, key, "left").withColumn(name, F.coalesce(name, F.array().cast(grouped.schema[name].dataType)))
+#: Children that one array holds at most.
+CHUNK = 10_000
 
 
-def unnest(nested: DataFrame, name: str) -> DataFrame:
-    return nested.select(F.explode(name).alias("r")).select("r.*")
+def chunked(rows: DataFrame, by: list[str], order: list[str], name: str, size: int = CHUNK) -> DataFrame:
+    """by, chunk (from 0), name: the other columns of rows as structs in order, `size` of them in an array, the last one shorter.
+
+    Rows are numbered over ranges of the whole order first (`ranking.numbered`, which stages them), so a group of any
+    size is as many rows as it has chunks, and no task gathers more than a chunk at a time.
+    """
+    rest = [c for c in rows.columns if c not in by]
+    placed = numbered(rows, by, [F.asc(c) for c in order], "_place").withColumn("chunk", F.expr(f"(_place - 1) div {size}").cast("int"))
+    grouped = placed.groupBy(*by, "chunk").agg(F.array_sort(F.collect_list(F.struct("_place", F.struct(*rest).alias("row")))).alias(name))
+    return grouped.withColumn(name, F.transform(name, lambda x: x["row"]))
+
+
+def nest(parents: DataFrame, children: DataFrame, key: str, ref: str, name: str, *order: str, size: int = CHUNK) -> DataFrame:
+    """parents with chunk and an array column of so many of their children, in order: a row for each chunk, at least one; no children are an empty array."""
+    grouped = chunked(children, [ref], list(order), name, size).withColumnRenamed(ref, "_ref")
+    nested = parents.join(grouped, F.col(key) == F.col("_ref"), "left").drop("_ref")
+    return nested.withColumn("chunk", F.coalesce("chunk", F.lit(0))).withColumn(name, F.coalesce(name, F.array().cast(grouped.schema[name].dataType)))
+
+
+def unnest(nested: DataFrame, name: str, *keys: str) -> DataFrame:
+    """The children of all chunks as rows, with the named columns of their parents."""
+    return nested.select(*keys, F.explode(name).alias("_row")).select(*keys, "_row.*")
 
 
 def orphans(children: DataFrame, parents: DataFrame, ref: str, key: str = "id") -> DataFrame:
@@ -27,12 +44,11 @@ def orphans(children: DataFrame, parents: DataFrame, ref: str, key: str = "id")
     return children.join(parents.select(F.col(key).alias(ref)).distinct(), ref, "left_anti")
 
 
-def missing_inventory(quizzes: DataFrame, attempts: DataFrame, sessions: DataFrame) -> DataFrame:
-    """quiz_id, attempts, group_sessions: ids of the records of each quiz that is gone."""
+def missing_inventory(quizzes: DataFrame, attempts: DataFrame, sessions: DataFrame, size: int = CHUNK) -> DataFrame:
+    """quiz_id, kind (attempt or session), chunk, ids: the records of each quiz that is gone, in order, so many in a row."""
     lost = lambda df, kind: orphans(df, quizzes, "quiz_id").select("quiz_id", F.lit(kind).alias("kind"), F.col("id").cast("long").alias("id"))
-    rows = lost(attempts, "attempt").unionByName(lost(sessions, "session"))
-    ids = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("id"))))
-    return rows.groupBy("quiz_id").agg(ids("attempt").alias("attempts"), ids("session").alias("group_sessions"))
+    rows = chunked(lost(attempts, "attempt").unionByName(lost(sessions, "session")), ["quiz_id", "kind"], ["id"], "ids", size)
+    return rows.withColumn("ids", F.transform("ids", lambda x: x["id"]))
 
 
 def violations(checks: list[tuple[str, DataFrame, str]]) -> DataFrame:

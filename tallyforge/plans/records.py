@@ -328,9 +328,26 @@ def answer_times(t: Tables) -> DataFrame:
 @query("OP-085 OP-264", """
     SELECT q.id AS quiz_id, count(x.id) AS questions, min(x.position) AS first_position, max(x.position) AS last_position, sum(x.id)::BIGINT AS ids FROM quizzes q LEFT JOIN questions x ON x.quiz_id = q.id GROUP BY q.id""")
 def nested_quizzes(t: Tables) -> DataFrame:
-    nested = snapshot.nest(t.quizzes.select("id"), t.questions.select("quiz_id", "position", "id"), "id", "quiz_id", "questions", "position", "id")
+    """In chunks of a thousand questions, counted over them."""
+    nested = snapshot.nest(t.quizzes.select("id"), t.questions.select("quiz_id", "position", "id"), "id", "quiz_id", "questions", "position", "id", size=1000)
     c = F.col("questions")
-    return nested.select(F.col("id").alias("quiz_id"), F.size(c).cast("long").alias("questions"), F.get(c, F.lit(0))["position"].alias("first_position"), F.try_element_at(c, F.lit(-1))["position"].alias("last_position"), F.when(F.size(c) > 0, F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x["id"])).alias("ids"))
+    return nested.groupBy(F.col("id").alias("quiz_id")).agg(
+        F.sum(F.size(c)).alias("questions"), F.min(F.get(c, F.lit(0))["position"]).alias("first_position"), F.max(F.try_element_at(c, F.lit(-1))["position"]).alias("last_position"),
+        F.sum(F.when(F.size(c) > 0, F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x["id"]))).alias("ids"))
+
+
+@query("OP-085 OP-264", "SELECT quiz_id, ((position - 1) // 100)::INTEGER AS chunk, list(id ORDER BY position, id) AS ids FROM questions GROUP BY ALL")
+def nested_chunks(t: Tables) -> DataFrame:
+    """Questions are numbered without a gap, so every hundred positions are a chunk."""
+    nested = snapshot.nest(t.quizzes.select("id"), t.questions.select("quiz_id", "position", "id"), "id", "quiz_id", "questions", "position", "id", size=100)
+    return nested.where(F.size("questions") > 0).select(F.col("id").alias("quiz_id"), "chunk", F.transform("questions", lambda x: x["id"]).alias("ids"))
+
+
+@query("OP-085 OP-264", "SELECT id, quiz_id, position, question FROM questions")
+def nested_and_back(t: Tables) -> DataFrame:
+    children = t.questions.select("quiz_id", "position", "id", "question")
+    nested = snapshot.nest(t.quizzes.select(F.col("id").alias("quiz")), children, "quiz", "quiz_id", "questions", "position", "id", size=100)
+    return snapshot.unnest(nested, "questions", "quiz").select("id", F.col("quiz").alias("quiz_id"), "position", "question")
 
 
 @query("OP-084 OP-272 OP-141", """
@@ -338,7 +355,9 @@ def nested_quizzes(t: Tables) -> DataFrame:
     SELECT quiz_id, count(*) FILTER (k = 'a') AS attempts, count(*) FILTER (k = 's') AS group_sessions, min(id) FILTER (k = 'a') AS first_attempt FROM l WHERE quiz_id NOT IN (SELECT id FROM g) GROUP BY quiz_id""")
 def missing_quizzes(t: Tables) -> DataFrame:
     found = snapshot.missing_inventory(t.quizzes.where("part_no < 4"), t.attempts, t.group_sessions)
-    return found.select("quiz_id", F.size("attempts").cast("long").alias("attempts"), F.size("group_sessions").cast("long").alias("group_sessions"), F.get("attempts", F.lit(0)).alias("first_attempt"))
+    of = lambda kind, value: F.when(F.col("kind") == kind, value)
+    count = lambda kind: F.coalesce(F.sum(of(kind, F.size("ids"))), F.lit(0))
+    return found.groupBy("quiz_id").agg(count("attempt").alias("attempts"), count("session").alias("group_sessions"), F.min(of("attempt", F.get("ids", F.lit(0)))).alias("first_attempt"))
 
 
 @query("OP-086 OP-265 OP-266", """

@@ -118,6 +118,12 @@ def test_snapshots(spark):
     assert rows_of(snapshot.unnest(nested, "questions").select("id")) == [(10,), (20,)] and rows_of(snapshot.orphans(children, parents, "quiz_id").select("id")) == [(30,)]
     kept = snapshot.redact(spark.createDataFrame([(1, "n", 2)], "user_id int, username string, x int"))
     assert kept.first()[:] == (None, None, 2, True) and snapshot.redact(kept.drop("redacted"), drop=True).columns == ["x", "redacted"]
+    many = spark.range(25).select(F.lit("a").alias("quiz_id"), (24 - F.col("id")).alias("position"), F.col("id").alias("id"))
+    nested = snapshot.nest(parents, many, "id", "quiz_id", "questions", "position", size=10)
+    assert rows_of(nested.select("id", "chunk", F.transform("questions", lambda x: x["id"]))) == [("a", 0, list(range(24, 14, -1))), ("a", 1, list(range(14, 4, -1))), ("a", 2, [4, 3, 2, 1, 0]), ("b", 0, [])]
+    assert rows_of(snapshot.unnest(nested, "questions", "id").toDF("quiz_id", "position", "id")) == rows_of(many)
+    none = spark.createDataFrame([], "quiz_id string, id long")
+    assert rows_of(snapshot.missing_inventory(parents.where("id = 'a'"), spark.range(5).select(F.lit("b").alias("quiz_id"), "id"), none, 3)) == [("b", "attempt", 0, [0, 1, 2]), ("b", "attempt", 1, [3, 4])]
     users = spark.range(50).select(F.col("id").alias("user_id"), (F.col("id") * 2).alias("x"))
     assert {r["user_ref"]: r["x"] for r in snapshot.user_refs(users).collect()} == {f"u{i}": 2 * i for i in range(50)}
     assert snapshot.content_hash(parents.limit(0)).first()[:] == (0, "0")
