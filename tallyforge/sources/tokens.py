@@ -39,6 +39,8 @@ WORDS: dict[str, tuple[str, ...]] = {
     "section": ("भाग", "खण्ड", "खंड", "अनुभाग", "Section", "Part", "शिफ्ट", "Shift", "पाली", "सत्र", "Session", "Set", "सेट", "Paper", "पेपर", "प्रश्न पत्र", "प्रश्न - पत्र"),
     "page": ("Page", "पृष्ठ"),
     "of": ("of", "का"),
+    "page edge": ("Page", "पृष्ठ", "पेज"),
+    "of edge": ("of", "का", "में से"),
     "call": ("join", "follow", "subscribe", "download", "visit", "contact", "जुड़ें", "जुड़े", "जुड़िए", "ज्वाइन", "जॉइन", "फॉलो", "सब्सक्राइब", "डाउनलोड", "संपर्क"),
     "passage": ("Direction", "Directions", "Passage", "Comprehension", "Case Study"),
     "read": ("Read", "Study", "Refer to", "Consider", "Examine", "Go through"),
