@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import os
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,8 +14,10 @@ from ..functions import payloads as P
 from ..functions import render as R
 from ..functions import scores as S
 from ..functions import text as X
+from ..operators import lexicon as L2
 from ..operators import settings, stats, tables
-from ..sources import dialects, files, papers
+from ..shared import fresh_dir
+from ..sources import charsets, dialects, files, papers, sqlite
 from ..sources import layout as L
 from ..sources import marks as M
 from .registry import query
@@ -52,14 +54,37 @@ def text_keys(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", X.repair_vowel_signs(F.concat(F.lit("िकताब "), name)).alias("repaired"), X.compared(F.concat(F.upper(name), F.lit(" ; X."))).alias("compared"), X.label_key(F.concat(F.upper(name), F.lit(" - (II)"))).alias("key"))
 
 
-@query("OP-014", "SELECT doc_id, text FROM documents")
+@query("OP-014", "SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN 'utf-16' ELSE 'utf-8' END AS charset FROM documents")
 def decoded_texts(t: Tables) -> DataFrame:
-    @F.pandas_udf("string")
-    def back(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda b: None if b is None else files.decode_text(bytes(b)))
-
     wide = F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE"))
-    return t.documents.select("doc_id", back(F.when(F.col("doc_id") % 2 == 0, wide).otherwise(F.encode("text", "UTF-8"))).alias("text"))
+    files_of = t.documents.select("doc_id", F.when(F.col("doc_id") % 2 == 0, wide).otherwise(F.encode("text", "UTF-8")).alias("content"))
+    return charsets.decoded(files_of, "doc_id", how=charsets.plain_text).select("doc_id", "text", "charset")
+
+
+@query("OP-015", """
+    SELECT page_id, CASE page_id % 6 WHEN 2 THEN '<meta charset="iso-8859-1">' || regexp_replace(html, '[^\x00-\xFF]', '?', 'g') WHEN 3 THEN '<p>“' || regexp_replace(html, '[^\x00-\x7E]', '?', 'g') WHEN 5 THEN NULL ELSE html END AS text,
+           CASE page_id % 6 WHEN 0 THEN 'utf-8-sig' WHEN 1 THEN 'utf-16' WHEN 2 THEN 'iso8859-1' WHEN 3 THEN 'cp1252' WHEN 4 THEN 'utf-8' END AS charset,
+           CASE WHEN page_id % 6 = 5 THEN CASE WHEN page_id % 12 = 5 THEN 'a ZIP file' ELSE 'a PDF file' END END AS error
+    FROM pages""")
+def page_bytes(t: Tables) -> DataFrame:
+    """Pages as bytes: with marks of UTF-8 and UTF-16, with a declared set, in a set of Windows that nothing tells, plain, and behind the heads of other formats."""
+    mark = lambda x: F.unhex(F.lit(x))
+    latin = F.concat(F.encode(F.lit('<meta charset="iso-8859-1">'), "ISO-8859-1"), F.encode(F.regexp_replace("html", "[^\\x00-\\xFF]", "?"), "ISO-8859-1"))
+    windows = F.concat(F.encode(F.lit("<p>"), "UTF-8"), mark("93"), F.encode(F.regexp_replace("html", "[^\\x00-\\x7E]", "?"), "UTF-8"))
+    plain, rest = F.encode("html", "UTF-8"), F.col("page_id") % 6
+    other = F.concat(F.when(F.col("page_id") % 12 == 5, mark("504B0304")).otherwise(F.encode(F.lit("%PDF-"), "UTF-8")), plain)
+    content = F.when(rest == 0, F.concat(mark("EFBBBF"), plain)).when(rest == 1, F.concat(mark("FFFE"), F.encode("html", "UTF-16LE"))).when(rest == 2, latin).when(rest == 3, windows).when(rest == 4, plain).otherwise(other)
+    return charsets.decoded(t.pages.select("page_id", content.alias("content")), "page_id")
+
+
+@query("OP-001", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2 AND n_nationkey > 8 AND n_name LIKE '%I%'")
+def sqlite_filtered(t: Tables) -> DataFrame:
+    """Nations as a database; it answers the comparisons, Spark the pattern. The plan shows what was pushed."""
+    folder = fresh_dir(t.spark, "sqlite").removeprefix("file://")
+    os.makedirs(folder, exist_ok=True)
+    sqlite.write_sqlite(t.nation.select(*[F.col(c).cast("long" if c.endswith("key") else "string") for c in t.nation.columns]), f"{folder}/nation.db", "nation", ["n_nationkey"])
+    found = sqlite.read_sqlite(t.spark, f"{folder}/nation.db", "nation", ["n_nationkey", "n_name", "n_regionkey"])
+    return found.where("n_regionkey = 2 AND n_nationkey > 8 AND n_name LIKE '%I%'").select(F.col("n_nationkey").cast("int"), "n_name")
 
 
 # ----------------------------------------------------- grammars, round trips
@@ -185,20 +210,38 @@ def page_columns(t: Tables) -> DataFrame:
     return t.part.select(F.expr("p_partkey div 8").alias("page"), "p_partkey", "p_name").groupBy("page").applyInPandas(work, "page long, text string, columns boolean")
 
 
-@query("OP-260 OP-394 OP-190", "SELECT p_partkey, 'Answer: ' || CASE p_partkey % 3 WHEN 0 THEN 'B' WHEN 1 THEN '?' ELSE 'A' END AS text, 'राजस्थान ' || p_name AS joined FROM part")
+@query("OP-260 OP-394", "SELECT p_partkey, 'Answer: ' || CASE p_partkey % 3 WHEN 0 THEN 'B' WHEN 1 THEN '?' ELSE 'A' END AS text FROM part")
 def readings(t: Tables) -> DataFrame:
-    """Two readings of an answer: a digit against a letter, two letters, the same letter; and a word torn apart."""
+    """Two readings of an answer: a digit against a letter, two letters, the same letter."""
 
-    @F.pandas_udf("text string, joined string")
-    def work(key: pd.Series, name: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("string")
+    def work(key: pd.Series) -> pd.Series:
         out = []
-        for k, n in zip(key, name, strict=True):
+        for k in key:
             main, other = ("8", "B") if k % 3 == 0 else ("A", "B") if k % 3 == 1 else ("A", "A")
             got, _ = L.reconciled([L.Piece(0, 0, 90, 10, f"Answer: {main}")], [L.Piece(0, 1, 90, 11, f"Answer: {other}")])
-            out.append((got[0].text, L.respaced(f"रा जस्था न {n}", Counter({"राजस्थान": 2}))[0]))
-        return pd.DataFrame(out, columns=["text", "joined"])
+            out.append(got[0].text)
+        return pd.Series(out)
+
+    return t.part.select("p_partkey", work("p_partkey").alias("text"))
+
+
+_WORDS = {0: ("राजस्थान", "रा जस्था न"), 1: ("कर्नाटक", "कर्ना टक"), 2: ("झारखंड", "झार खं ड")}
+_SPELLED = ["CASE doc_id % 3 " + " ".join(f"WHEN {k} THEN '{w[i]}'" for k, w in _WORDS.items()) + " END || ' ' || p_name" for i in (0, 1)]
+
 
-    return t.part.select("p_partkey", work("p_partkey", "p_name").alias("r")).select("p_partkey", "r.text", "r.joined")
+@query("OP-190 OP-138", f"""
+    WITH p AS (SELECT p_partkey // 10 AS doc_id, p_partkey % 10 AS line, p_name FROM part), w AS (SELECT *, line = 1 OR (line = 2 AND doc_id % 2 = 0) AS whole FROM p),
+    c AS (SELECT doc_id, count(*) AS n FROM w WHERE whole GROUP BY doc_id)
+    SELECT doc_id, line, CASE WHEN whole OR (line = 5 AND n >= 2) THEN {_SPELLED[0]} WHEN line = 5 THEN {_SPELLED[1]} ELSE p_name END AS text FROM w LEFT JOIN c USING (doc_id)""")
+def torn_words(t: Tables) -> DataFrame:
+    """Ten lines a document. A word that two lines spell whole is put together in a third; where one line does, it stays torn."""
+    d, line = F.expr("p_partkey div 10"), F.col("p_partkey") % 10
+    said = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, w in _WORDS.items() for x in (k, w[i])]), (d % 3).cast("int"))
+    whole = (line == 1) | ((line == 2) & (d % 2 == 0))
+    text = F.when(whole, F.concat(said(0), F.lit(" "), "p_name")).when(line == 5, F.concat(said(1), F.lit(" "), "p_name")).otherwise(F.col("p_name"))
+    lines = t.part.select(d.alias("doc_id"), line.alias("line"), text.alias("text"))
+    return L2.rejoined(lines, L2.lexicon(lines, "doc_id"), "doc_id").select("doc_id", "line", "text")
 
 
 # ------------------------------------------------------- templates and text

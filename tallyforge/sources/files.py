@@ -1,28 +1,19 @@
-"""Files as tables: bytes to text, documents to question, error and removed rows, and SQLite databases as a data source."""
+"""Files as tables: texts of a folder, and documents to question, error and removed rows."""
 
 from __future__ import annotations
 
-import sqlite3
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from . import dialects, items, marks, pages, papers
+from . import charsets, dialects, items, marks, pages, papers
 
 IMPORT_NAMES = r"(?i)\.(?:txt|html?|xhtml|json|pdf)$"
 
 
-def decode_text(raw: bytes) -> str:
-    """Bytes as text: UTF-8 with or without a mark, or UTF-16 with one; ValueError otherwise."""
-    if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        return raw.decode("utf-16")
-    return raw.decode("utf-8-sig")
-
-
 def looks_like_html(name: Column, mime: Column) -> Column:
     return F.coalesce(F.lower(name).rlike(r"\.(html|htm|xhtml)$"), F.lit(False)) | F.coalesce(F.lower(mime).isin("text/html", "application/xhtml+xml"), F.lit(False))
 
@@ -56,8 +47,8 @@ def parse_documents(docs: DataFrame, grammar: str | Callable[[str | None], marks
             for i, text in enumerate(batch.column("text").to_pylist()):
                 try:
                     found = how(text)
-                except (ValueError, IndexError, KeyError, RecursionError) as e:
-                    found = marks.Parsed(errors=[marks.Problem(None, f"the parser failed: {e}")])
+                except Exception as e:  # whatever a parser trips over is told as a row; the job goes on
+                    found = marks.Parsed(errors=[marks.Problem(None, f"the parser failed: {type(e).__name__}: {e}")])
                 rows.append({k: batch.column(k)[i].as_py() for k in keys} | found.rows())
             yield from pa.Table.from_pylist(rows, schema=schema).to_batches()
 
@@ -90,72 +81,7 @@ def import_report(parsed: DataFrame, *by: str) -> DataFrame:
     return sums.withColumn("total_detected", F.col("parsed") + F.col("failed")).withColumn("answer_inline", F.col("parsed") - F.col("answer_key"))
 
 
-class SqliteRange(InputPartition):
-    def __init__(self, low: int | None, high: int | None):
-        self.low, self.high = low, high
-
-
-class SqliteReader(DataSourceReader):
-    """Reads a table in ranges of its row ids, each on a connection of its own."""
-
-    def __init__(self, path: str, table: str, parts: int):
-        self.path, self.table, self.parts = path, table.replace('"', '""'), parts
-
-    def _connect(self) -> sqlite3.Connection:
-        return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
-
-    def partitions(self) -> list[SqliteRange]:
-        with self._connect() as con:
-            low, high = con.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
-        if low is None:
-            return [SqliteRange(None, None)]
-        step = -(-(high - low + 1) // self.parts)
-        return [SqliteRange(a, a + step) for a in range(low, high + 1, step)]
-
-    def read(self, partition: SqliteRange) -> Iterator[tuple]:
-        if partition.low is None:
-            return
-        with self._connect() as con:
-            yield from con.execute(f'SELECT * FROM "{self.table}" WHERE rowid >= ? AND rowid < ? ORDER BY rowid', (partition.low, partition.high))
-
-
-class SqliteSource(DataSource):
-    """spark.read.format("tallyforge_sqlite").option("path", ..).option("table", ..); INTEGER is long, REAL is double, the rest is string."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "tallyforge_sqlite"
-
-    def schema(self) -> T.StructType:
-        name = self.options["table"].replace('"', '""')
-        with sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True) as con:
-            columns = con.execute(f'PRAGMA table_info("{name}")').fetchall()
-        kind = lambda t: T.LongType() if "INT" in t.upper() else T.DoubleType() if any(x in t.upper() for x in ("REAL", "FLOA", "DOUB")) else T.StringType()
-        return T.StructType([T.StructField(c[1], kind(c[2] or "")) for c in columns])
-
-    def reader(self, schema: T.StructType) -> SqliteReader:
-        return SqliteReader(self.options["path"], self.options["table"], int(self.options.get("partitions", 4)))
-
-
-def read_sqlite(spark: SparkSession, path: str, table: str) -> DataFrame:
-    spark.dataSource.register(SqliteSource)
-    return spark.read.format(SqliteSource.name()).option("path", path).option("table", table).load()
-
-
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """name, text, error of each file in a folder: the text is null where the bytes aren't any, and the error says why."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, errors = [], []
-            for raw in batch.column("content"):
-                text = error = None
-                try:
-                    text = decode_text(raw.as_py()) if raw.is_valid else None
-                except ValueError as e:
-                    error = str(e) or "no text"
-                texts.append(text)
-                errors.append(error)
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["name", "text", "error"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(work, "name string, text string, error string")
+    found = spark.read.format("binaryFile").load(path).select(F.col("path").alias("name"), "content")
+    return charsets.decoded(found, "name", how=charsets.plain_text).select("name", "text", "error")

@@ -2,12 +2,19 @@
 
 import json
 import random
+import re
 import sqlite3
+from collections import Counter
 
 import pytest
 
-from tallyforge.sources import dialects as D
-from tallyforge.sources import boxes, files, items, layout, marks, pages, papers
+from pyspark.sql import datasource as D
+from pyspark.sql import functions as F
+
+from tallyforge.operators import lexicon
+from tallyforge.sources import boxes, charsets, files, items, layout, marks, pages, papers
+from tallyforge.sources import dialects
+from tallyforge.sources import sqlite as lite
 
 
 def read(text):
@@ -97,39 +104,39 @@ def test_conservation_and_empty():
 def test_options_of_text():
     assert marks.options_at_end("Why?\nA-III, B-II\n(A) one\n(B) two") == ("Why?\nA-III, B-II", ["one", "two"])
     assert marks.options_only("(A) one (B) two (C) three") == ["one", "two", "three"] and marks.options_only("one") is None
-    assert D.typed_options("A) one\nB) two") == ["one", "two"] and D.typed_options("A-III\nB-I") == ["A-III", "B-I"]
+    assert dialects.typed_options("A) one\nB) two") == ["one", "two"] and dialects.typed_options("A-III\nB-I") == ["A-III", "B-I"]
     with pytest.raises(marks.Unreadable):
-        D.typed_options("one")
+        dialects.typed_options("one")
 
 
 def test_dialects():
     cards = "Why so?\nA) one\nB) two ✅\nC) three\nD) four\nEx: because\n\nAnd then?\nA) x\nB) y\nC) z ✅\nD) w\nEx:"
-    assert [(q.question, q.correct_index, q.explanation) for q in D.parse(cards).questions] == [("Why so?", 1, "because"), ("And then?", 2, "")]
+    assert [(q.question, q.correct_index, q.explanation) for q in dialects.parse(cards).questions] == [("Why so?", 1, "because"), ("And then?", 2, "")]
     ticked = "1. Why?\nA) one\nB) ✅ two\nC) three\nD) four\n2. How?\n✅ A) x\nB) y\nC) z\nD) w"
-    assert [(q.number, q.correct_index, q.options[0]) for q in D.parse(ticked).questions] == [(1, 1, "one"), (2, 0, "x")]
+    assert [(q.number, q.correct_index, q.options[0]) for q in dialects.parse(ticked).questions] == [(1, 1, "one"), (2, 0, "x")]
     topics = "1. First\n-----\nQ1. a?\n(1) x\n(2) y\nAnswer: (2)\n2. Second\n-----\nQ1. b?\n(a) x\n(b) y\nउत्तर: (a)"
-    assert [(q.section_label, q.number, q.correct_index) for q in D.parse(topics).questions] == [("1. First", 1, 1), ("2. Second", 1, 0)]
+    assert [(q.section_label, q.number, q.correct_index) for q in dialects.parse(topics).questions] == [("1. First", 1, 1), ("2. Second", 1, 0)]
     plain = "What?\nA. one\nB. two ✅\nC. three\nD. four\nNext?\nA. x\nB. y\nC. z\nD. w"
-    got = D.plain_cards(plain)
+    got = dialects.plain_cards(plain)
     assert [q.correct_index for q in got.questions] == [1] and [e.number for e in got.errors] == [2]
     sheet = "=====\nTopic 1: Law\n=====\n[Case 1: a story]\nThe story.\nप्रश्न 1. Who?\n(A) he\n(B) she\nउत्तर: (B)\n-----\nप्रश्न 2. What?\n(A) it\n(B) that\nउत्तर: (A)"
-    got = D.parse(sheet)
+    got = dialects.parse(sheet)
     assert [(q.number, q.correct_index, q.section_label) for q in got.questions] == [(1, 1, "Topic 1: Law"), (2, 0, "Topic 1: Law")] and "The story." in got.questions[0].pre_text
 
 
 def test_custom_grammar():
-    got = D.custom("Q: Why?\nA) one\nB) two ✅\nC) three\nD) four\nEx: so\nmore\nQ: How?\nA) a\nB) b\nC) c\nD) d\nAnswer: 3\nQ: Bad?\nA) a\nC) c", {})
+    got = dialects.custom("Q: Why?\nA) one\nB) two ✅\nC) three\nD) four\nEx: so\nmore\nQ: How?\nA) a\nB) b\nC) c\nD) d\nAnswer: 3\nQ: Bad?\nA) a\nC) c", {})
     assert [(q.number, q.correct_index, q.explanation) for q in got.questions] == [(1, 1, "so\nmore"), (2, 2, "")] and [e.number for e in got.errors] == [3]
     with pytest.raises(ValueError):
-        D.custom("x", {"option_labels": ["A", "A"]})
+        dialects.custom("x", {"option_labels": ["A", "A"]})
 
 
 def test_typed_and_forwarded():
-    q = D.typed("What is it?\n(A) one\n(B) two\nAnswer: (B) since\nExplanation: yes")
-    assert (q.correct_index, q.explanation) == (1, "since\nyes") and D.typed("What?\n(A) one\n(B) two").correct_index == -1 and D.typed("no options") is None
+    q = dialects.typed("What is it?\n(A) one\n(B) two\nAnswer: (B) since\nExplanation: yes")
+    assert (q.correct_index, q.explanation) == (1, "since\nyes") and dialects.typed("What?\n(A) one\n(B) two").correct_index == -1 and dialects.typed("no options") is None
     with pytest.raises(marks.Unreadable):
-        D.typed("What?\n(A) one\n(B) two\nAnswer: D")
-    assert [x.number for x in D.forwarded("1. a?\n(A) x\n(B) y\nAnswer: A\n2. b?\n(A) x\n(B) y\nAnswer: B")] == [1, 2] and D.forwarded("5. a?\n(A) x\n(B) y")[0].correct_index == -1
+        dialects.typed("What?\n(A) one\n(B) two\nAnswer: D")
+    assert [x.number for x in dialects.forwarded("1. a?\n(A) x\n(B) y\nAnswer: A\n2. b?\n(A) x\n(B) y\nAnswer: B")] == [1, 2] and dialects.forwarded("5. a?\n(A) x\n(B) y")[0].correct_index == -1
 
 
 def test_items():
@@ -159,15 +166,42 @@ def test_pages():
     assert [(n, o, i) for n, _, o, i in q(f"<div>{radios}</div>")[0]] == [(1, ["x", "y"], 1), (2, ["z", "w"], 0)]
     assert [n for n, *_ in q("<p>1. One?<br>(A) x<br>(B) y<br>Answer: A</p>")[0]] == [1]
     assert pages.extract("<div><<<p class='question'>").errors and pages.extract(None).errors
-    assert pages.decode("﻿é".encode()) == "é" and pages.decode(b'<meta charset="latin-1">\xe9').endswith("é")
-    with pytest.raises(ValueError):
-        pages.decode(b"%PDF-1.4")
+
+
+@pytest.mark.parametrize(("raw", "want"), [
+    ("\ufeffé".encode(), ("é", "utf-8-sig")), ("é".encode("utf-16"), ("é", "utf-16")), (b"\xfe\xff\x00\xe9", ("é", "utf-16")), ("é".encode(), ("é", "utf-8")), (b'<meta charset="latin-1">\xe9', ('<meta charset="latin-1">é', "iso8859-1")),
+    (b"<meta charset=nonsense>\xe9", ("<meta charset=nonsense>é", "cp1252")), (b"<meta charset=hex>ab", ("<meta charset=hex>ab", "utf-8")), (b"\x81", ("\x81", "latin-1")), (b"\xff\xfea", ("ÿþa", "cp1252")),
+    ("<meta charset='koi8-r'>".encode() + "да".encode("koi8-r"), ("<meta charset='koi8-r'>да", "koi8-r")),
+])
+def test_page_bytes(raw, want):
+    assert charsets.page_text(raw) == want
+
+
+@pytest.mark.parametrize(("raw", "why"), [(b"", "empty"), (b"%PDF-1.4", "PDF"), (b"PK\x03\x04x", "ZIP")])
+def test_page_bytes_refused(raw, why):
+    with pytest.raises(ValueError, match=why):
+        charsets.page_text(raw)
 
 
 def test_text_bytes():
-    assert files.decode_text("﻿é".encode()) == files.decode_text("é".encode("utf-16")) == "é"
+    assert charsets.plain_text("\ufeffé".encode()) == ("é", "utf-8-sig") and charsets.plain_text("é".encode("utf-16")) == ("é", "utf-16")
     with pytest.raises(ValueError):
-        files.decode_text(b"\xff\xff\xe9")
+        charsets.plain_text(b"\xff\xff\xe9")
+
+
+def test_decoded(spark, monkeypatch):
+    files_of = spark.createDataFrame([(1, bytearray("é".encode())), (2, None), (3, bytearray(b"%PDF-"))], "id long, content binary")
+    assert sorted(tuple(r) for r in charsets.decoded(files_of, "id").collect()) == [(1, "é", "utf-8", None), (2, None, None, "empty"), (3, None, None, "a PDF file")]
+    assert charsets.decoded(files_of.limit(0), "id").count() == 0
+
+
+def test_any_parser_error_is_a_row(spark):
+    def broken(text):
+        raise {"t": TypeError, "a": AttributeError, "o": OverflowError, "r": RecursionError}[text](text)
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate("taor")], "doc_id long, text string")
+    told = sorted(r["message"] for r in files.error_rows(files.parse_documents(docs, broken)).collect())
+    assert told == [f"the parser failed: {e}" for e in ("AttributeError: a", "OverflowError: o", "RecursionError: r", "TypeError: t")]
 
 
 def test_documents_as_tables(spark):
@@ -184,9 +218,37 @@ def test_sqlite(spark, tmp_path):
         con.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, x REAL, y TEXT)")
         con.executemany("INSERT INTO t VALUES (?, ?, ?)", [(i, i / 2, None if i % 3 else str(i)) for i in range(1, 101)])
         con.execute("CREATE TABLE none (id INTEGER)")
-    df = files.read_sqlite(spark, str(tmp_path / "a.db"), "t")
+        con.execute("CREATE TABLE keyed (k TEXT, n INTEGER, x REAL, PRIMARY KEY (k, n)) WITHOUT ROWID")
+        con.executemany("INSERT INTO keyed VALUES (?, ?, ?)", [(f"k{i % 7}'", i, None if i % 5 == 0 else i / 4) for i in range(200)])
+    db = str(tmp_path / "a.db")
+    df = lite.read_sqlite(spark, db, "t")
     assert df.dtypes == [("id", "bigint"), ("x", "double"), ("y", "string")] and df.count() == 100 and df.selectExpr("sum(x)", "count(y)").first()[:] == (2525.0, 33)
-    assert files.read_sqlite(spark, str(tmp_path / "a.db"), "none").count() == 0
+    assert lite.read_sqlite(spark, db, "none").count() == 0
+    keyed = lite.read_sqlite(spark, db, "keyed", parts=3)
+    want = spark.createDataFrame([(f"k{i % 7}'", i, None if i % 5 == 0 else i / 4) for i in range(200)], "k string, n long, x double")
+    for where in ("true", "n > 17 AND n <= 60", "k = 'k3\\''", "x IS NULL", "x IS NOT NULL AND NOT (n = 3)", "n IN (1, 2, 500)", "k LIKE 'k1%'", "k LIKE '%1%'", "x >= 10.5 OR n = 2", "n % 2 = 0", "x < 3", "k > 'k4'", "n <=> 4"):
+        assert sorted(map(str, keyed.where(where).collect())) == sorted(map(str, want.where(where).collect())), where
+    some = lite.read_sqlite(spark, db, "keyed", ["x", "n"])
+    assert some.columns == ["x", "n"] and some.agg({"n": "sum"}).first()[0] == sum(range(200))
+    with pytest.raises(Exception, match="no table"):
+        lite.read_sqlite(spark, db, "absent").count()
+
+
+def test_sqlite_filters_are_pushed(spark, tmp_path):
+    """The plan leaves to Spark what the database can't answer, the reader asks it the rest, and each task reads its range of keys."""
+    rows = spark.range(100).select(F.col("id"), (F.col("id") * 2).cast("string").alias("s"))
+    lite.write_sqlite(rows, str(tmp_path / "b.db"), "t", ["id"], rowid=False)
+    df = lite.read_sqlite(spark, str(tmp_path / "b.db"), "t").where("id > 40 AND id < 45 AND s LIKE '%2'")
+    assert [r["id"] for r in df.collect()] == [41]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "EndsWith" in plan and "40" not in plan and "45" not in plan  # what is left to Spark
+    reader = lite.SqliteReader(str(tmp_path / "b.db"), "t", 4, df.schema)
+    left = list(reader.pushFilters([D.GreaterThan(("id",), 40), D.StringContains(("s",), "2"), D.EqualTo(("s",), 5), D.Not(D.In(("id",), (41, 42)))]))
+    assert len(left) == 2
+    ranges = reader.partitions()
+    assert [(r.low, r.high) for r in ranges] == [(None, 25), (25, 50), (50, 75), (75, None)]
+    assert [len(list(reader.read(r))) for r in ranges] == [0, 7, 25, 25]
+    assert reader.sql("k", ranges[1])[0].count("?") == 5
 
 
 def test_read_texts(spark, tmp_path):
@@ -244,3 +306,20 @@ def test_long_text_after_an_input_is_whole():
 def test_pages_with_too_many_elements(monkeypatch):
     monkeypatch.setattr(pages.Builder, "__init__", lambda self, real=pages.Builder.__init__: real(self, 3))
     assert [e.message for e in pages.extract("<p>1</p>" * 9).errors] == ["too many elements"]
+
+
+def test_lexicon(spark):
+    """As one document at a time by plain counts; words of other documents don't count."""
+    words, torn = ["राजस्थान", "कर्नाटक", "है"], ["रा जस्था न", "कर्ना टक", "है"]
+    rng, rows = random.Random(6), []
+    for doc in (1, 2, None):
+        for line in range(12):
+            rows.append((doc, line, " ".join(rng.choice(rng.choice([words, torn])) for _ in range(rng.randint(0, 6)))))
+    rows += [(3, 0, "रा जस्था न"), (3, 1, None), (3, 2, ""), (4, 0, "abc  कि ताब ि")]
+    lines = spark.createDataFrame(rows, "doc long, line int, text string")
+    got = {(r["doc"], r["line"]): (r["text"], [tuple(f) for f in r["fixes"]]) for r in lexicon.rejoined(lines, lexicon.lexicon(lines, "doc"), "doc").collect()}
+    for doc, line, text in rows:
+        counts = Counter(w for d, _, t in rows if d == doc and d is not None for w in (t or "").split() if re.fullmatch("[ऀ-ॿ]+", w))
+        fixed, fixes = layout.respaced(text, counts) if text is not None else (None, [])
+        assert got[doc, line] == (fixed, fixes)
+    assert len(got) == len(rows) and any(f for _, f in got.values())
