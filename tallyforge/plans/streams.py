@@ -21,9 +21,36 @@ def stream_group_answers(t: Tables) -> DataFrame:
     return Q.drained(S.accepted_group_answers(events), "answers")
 
 
-@query("OP-308 OP-312 OP-315 OP-316 OP-319 OP-320 OP-321 OP-322 OP-323 OP-326 OP-328 OP-314", None)
+_EXPIRY = 24 * 3_600_000_000
+_ROW = lambda kind, index, run, status="''", elapsed="0": f"{{'kind': {kind}, 'index': {index}::BIGINT, 'run': {run}::BIGINT, 'status': {status}, 'elapsed_us': {elapsed}::BIGINT}}"
+
+
+@query("OP-308 OP-312 OP-315 OP-316 OP-319 OP-320 OP-321 OP-322 OP-323 OP-326 OP-328 OP-314", f"""
+    WITH RECURSIVE e AS (
+        SELECT user_id, epoch_us(ts) AS ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n,
+               CASE event_type WHEN 'view' THEN 'sent' WHEN 'click' THEN 'wrong' WHEN 'purchase' THEN 'correct' WHEN 'signup' THEN 'skipped' ELSE 'restart' END AS k FROM events),
+    r AS (
+        SELECT DISTINCT user_id, 0::BIGINT AS n, 0::BIGINT AS ts, 'active' AS state, false AS live, 0::BIGINT AS sent, 0::BIGINT AS place, 0::BIGINT AS streak, 0::BIGINT AS started, 0::BIGINT AS paused_at, 0::BIGINT AS run,
+               [{_ROW("'none'", 0, 0)}] AS told FROM events
+        UNION ALL
+        SELECT user_id, n, ts, CASE WHEN again THEN 'active' WHEN late THEN 'expired' WHEN recorded AND missed >= 5 THEN 'paused' ELSE state END,
+               CASE WHEN again OR recorded THEN false WHEN asked THEN true ELSE live END, CASE WHEN again OR recorded THEN 0 WHEN asked THEN ts ELSE sent END, CASE WHEN again THEN 0 WHEN recorded THEN place + 1 ELSE place END,
+               CASE WHEN again OR (recorded AND missed >= 5) THEN 0 WHEN recorded THEN missed ELSE streak END, CASE WHEN again THEN 0 WHEN asked AND started = 0 THEN ts ELSE started END,
+               CASE WHEN again THEN 0 WHEN recorded AND missed >= 5 THEN ts ELSE paused_at END, CASE WHEN again THEN run + 1 ELSE run END,
+               CASE WHEN again AND state <> 'expired' THEN [{_ROW("'finished'", "place", "run", elapsed="CASE WHEN started > 0 THEN greatest(0, ts - started - paused) ELSE 0 END")}, {_ROW("'restart'", 0, "run + 1")}]
+                    WHEN again THEN [{_ROW("'restart'", 0, "run + 1")}] WHEN late THEN [{_ROW("'expired'", "place", "run")}]
+                    WHEN recorded AND missed >= 5 THEN [{_ROW("'answer'", "place", "run", "k", "took")}, {_ROW("'pause'", "place + 1", "run")}] WHEN recorded THEN [{_ROW("'answer'", "place", "run", "k", "took")}] ELSE [] END
+        FROM (SELECT *, state = 'active' AND NOT late AND k = 'sent' AS asked, state = 'active' AND NOT late AND ((k IN ('correct', 'wrong') AND live) OR k = 'skipped') AS recorded,
+                     CASE WHEN k <> 'skipped' THEN 0 ELSE streak + live::INT END AS missed, CASE WHEN live THEN greatest(0, ts - sent) ELSE 0 END AS took
+              FROM (SELECT *, k = 'restart' AS again, k <> 'restart' AND state <> 'expired' AND started > 0 AND ts - started - paused > {_EXPIRY} AS late
+                    FROM (SELECT r.* EXCLUDE (n, ts, told), e.n, e.ts, e.k, CASE WHEN state = 'paused' THEN greatest(0, e.ts - paused_at) ELSE 0 END AS paused FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1) x) y) z
+    ),
+    t AS (SELECT user_id, ts, unnest(told) AS x FROM r WHERE n > 0)
+    SELECT user_id AS attempt_id, ts, x.kind, x.index, x.run, x.status, x.elapsed_us FROM t
+    UNION ALL SELECT user_id, started + {_EXPIRY} + 1, 'expired', place, run, '', 0 FROM r
+        WHERE state = 'active' AND started > 0 AND n = (SELECT max(n) FROM e WHERE e.user_id = r.user_id) AND (started + {_EXPIRY}) // 1000 + 1 <= (SELECT max(ts) FROM e) // 1000 - 3600000""")
 def stream_attempts(t: Tables) -> DataFrame:
-    """Each user's events as one attempt; the tests hold the machine against event-by-event cases and batch order."""
+    """Each user's events as one attempt: asked, answered, skipped and begun anew, paused after five misses, expired after a day."""
     e = Q.stream_table(t.spark, t.sf_dir, "events")
     kind = F.when(F.col("event_type") == "view", "sent").when(F.col("event_type").isin("click", "purchase"), "answer").when(F.col("event_type") == "signup", "skip").otherwise("restart")
     events = e.select(F.col("user_id").alias("attempt_id"), F.col("ts").cast("timestamp").alias("at"), kind.alias("kind"), F.lit("p").alias("poll"), (F.col("event_type") == "purchase").alias("correct"), "event_id")
