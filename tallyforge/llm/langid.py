@@ -122,16 +122,27 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(counts: np.ndarray, labels: list[str | None]) -> Model:
-    """counts: rows x BUCKETS; the label of a negative is None."""
+#: A text's n-grams: which buckets they fall in, and how many in each.
+Counts = tuple[np.ndarray, np.ndarray]
+
+
+def _dense(rows: list[Counts]) -> np.ndarray:
+    """Shares of the buckets in each row."""
+    out = np.zeros((len(rows), BUCKETS), np.float32)
+    for x, (at, n) in zip(out, rows, strict=True):
+        x[at] = n
+    return out / out.sum(axis=1, keepdims=True)
+
+
+def fit(counts: list[Counts], labels: list[str | None]) -> Model:
+    """counts of each row; the label of a negative is None. Rows are made dense a minibatch at a time, so the sample takes little of the driver's memory."""
     langs = sorted({x for x in labels if x is not None})
     if not langs:
         return Model([], np.zeros((BUCKETS, 1)), np.zeros(1), 1.0)
     y = np.array([len(langs) if x is None else langs.index(x) for x in labels])
-    x = (counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
     rng = np.random.default_rng(SEED)
     calibrate = rng.random(len(y)) < 0.2 if len(y) >= 20 else np.zeros(len(y), bool)
-    xt, yt = x[~calibrate], y[~calibrate]
+    xt, yt = [c for c, out in zip(counts, calibrate, strict=True) if not out], y[~calibrate]
     embed = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     layer, bias = np.zeros((DIM, len(langs) + 1), np.float32), np.zeros(len(langs) + 1, np.float32)
     steps, step = EPOCHS * (-(-len(yt) // MINIBATCH)), 0
@@ -140,17 +151,18 @@ def fit(counts: np.ndarray, labels: list[str | None]) -> Model:
         for start in range(0, len(order), MINIBATCH):
             at = order[start : start + MINIBATCH]
             rate = RATE * (1 - step / steps)
-            hidden = xt[at] @ embed
+            xb = _dense([xt[i] for i in at])
+            hidden = xb @ embed
             g = _softmax(hidden @ layer + bias)
             g[np.arange(len(at)), yt[at]] -= 1
             g /= len(at)
-            back = rate * 20 * (xt[at].T @ (g @ layer.T))
+            back = rate * 20 * (xb.T @ (g @ layer.T))
             layer -= rate * (hidden.T @ g)
             bias -= 0.1 * g.sum(axis=0)
             embed -= back * min(1.0, STEP / max(1e-9, float(np.abs(back).max())))
             step += 1
-    xc, yc = (x[calibrate], y[calibrate]) if calibrate.any() else (xt, yt)
-    z = (xc @ embed @ layer + bias).astype(np.float64)
+    checked, yc = ([c for c, out in zip(counts, calibrate, strict=True) if out], y[calibrate]) if calibrate.any() else (xt, yt)
+    z = (_dense(checked) @ embed @ layer + bias).astype(np.float64)
     loss = lambda t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(yc)), yc], 1e-12)).mean()
     heat = min(np.geomspace(0.25, 4, 33), key=loss)
     p = _softmax(z / heat)[:, : len(langs)]
@@ -169,7 +181,7 @@ def train(docs: DataFrame) -> Model:
     sizes = known.where(F.col("text").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)
     sizes = {r["lang"]: r["n"] for r in sizes.collect()}
     if not sizes:
-        return fit(np.zeros((0, BUCKETS)), [])
+        return fit([], [])
     each = min(SAMPLE_EACH, max(1, SAMPLE // len(sizes)))
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, each / n)))])
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 24)) < F.element_at(share, F.col("lang")) * F.lit(float(1 << 24)))
@@ -194,10 +206,7 @@ def train(docs: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(langs, pa.string()), pa.array(at, pa.binary()), pa.array(counts, pa.binary())], ["k", "lang", "at", "n"])
 
     rows = sorted(drawn.mapInArrow(bounded(work), "k string, lang string, at binary, n binary").collect(), key=lambda r: (r["k"], r["lang"] or "", bytes(r["n"])))
-    x = np.zeros((len(rows), BUCKETS), np.float32)
-    for i, r in enumerate(rows):
-        x[i, np.frombuffer(r["at"], np.int16)] = np.frombuffer(r["n"], np.int32)
-    return fit(x, [r["lang"] for r in rows])
+    return fit([(np.frombuffer(r["at"], np.int16), np.frombuffer(r["n"], np.int32)) for r in rows], [r["lang"] for r in rows])
 
 
 def identify(docs: DataFrame, model: Model, *passed: str) -> DataFrame:
