@@ -9,10 +9,10 @@ coordinates at its FOCUS largest ones lie where that cosine allows; below, those
 by exact integer products.
 
 Quantised components are 32-bit integers where they fit, else whole doubles, and products are computed in doubles, in
-64 bits or in Python's integers, whichever holds them. A score beyond 64 bits fails, if it is among the results.
+64 bits or in Python's integers, whichever holds them. A score beyond 64 bits counts as the nearest number of 64 bits.
 
-Defined cases: vectors that are null, or hold null or non-finite components, take no part; a component of 2**500 or
-more in size after scaling fails; only vectors of one dimension are compared; rows of the query's own id are no candidates; ties go to the smaller id;
+Defined cases: vectors that are null, or hold null or non-finite components, take no part; a component that scaling
+takes beyond the doubles counts as the largest of them; only vectors of one dimension are compared; rows of the query's own id are no candidates; ties go to the smaller id;
 repeated rows count once; fewer candidates than k give fewer rows; an empty table gives none.
 """
 
@@ -31,7 +31,8 @@ K, SCALE = 5, 256
 BLOCK_ROWS, QUERY_ROWS, BANDS, PROBES = 4096, 512, 32, 1024
 COORDINATE, FOCUS = 0.6, 3
 SLACK = 1e-9
-LARGEST = 2.0**500
+LARGEST = np.finfo(np.float64).max
+LEAST, MOST = -(2**63), 2**63 - 1
 PACKED = "dim int, ids binary, matrix binary"
 
 
@@ -47,18 +48,27 @@ def _quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> Dat
                 x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
                 if not np.isfinite(x).all():
                     continue
-                x = np.floor(x * scale)
-                if (np.abs(x) >= LARGEST).any():
-                    raise OverflowError(f"vector {key} has a component beyond {LARGEST:g}")
+                with np.errstate(over="ignore"):
+                    x = np.nan_to_num(np.floor(x * scale))
                 ids.append(key)
                 dims.append(len(x))
-                norms.append(float(np.sqrt((x * x).sum())))
+                norms.append(float(lengths(x[None, :])[0]))
                 packed.append((x if (np.abs(x) >= 2**31).any() else x.astype(np.int32)).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(norms, pa.float64()), pa.array(packed, pa.binary())], ["id", "dim", "norm", "v"])
 
     return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).mapInArrow(bounded(work), "id long, dim int, norm double, v binary")
 
 
+def lengths(x: np.ndarray) -> np.ndarray:
+    """The length of each row, or the largest double where it is beyond."""
+    most = np.abs(x).max(axis=1, initial=0.0)
+    if not len(x) or most.max() < 2.0**500:
+        return np.sqrt((x * x).sum(axis=1))
+    part = x / np.maximum(most, 1.0)[:, None]
+    with np.errstate(over="ignore"):
+        return np.minimum(most.clip(1.0) * np.sqrt((part * part).sum(axis=1)), LARGEST)
+
+
 def _pack(table: pa.Table) -> tuple[int, bytes, bytes]:
     """Dimension, ids and matrix of a group, longest first."""
     order = np.lexsort((table.column("id").to_numpy(), -table.column("norm").to_numpy()))
@@ -79,16 +89,16 @@ def _matrix(ids: bytes, matrix: bytes, dim: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact inner products: in floats while every sum stays under 2**53, in integers of 64 bits while it stays under 2**63, else in Python's."""
+    """Exact inner products: in floats while every sum stays under 2**53, in integers of 64 bits while it stays under 2**63, else in Python's; beyond 64 bits the nearest number."""
     if not q.size or not c.size:
         return np.zeros((len(q), len(c)), np.int64)
-    most = float(np.abs(q).max()) * float(np.abs(c).max()) * q.shape[1]
+    most = float(np.abs(q).max()) * float(np.abs(c).max()) * q.shape[1]  # infinite at worst
     if most < 2**53:
         return (q @ c.T).astype(np.int64)
     if most < 2**62 and max(np.abs(q).max(), np.abs(c).max()) < 2**62:
         return q.astype(np.int64) @ c.astype(np.int64).T
     whole = np.frompyfunc(int, 1, 1)
-    return np.dot(whole(q), whole(c).T)
+    return np.clip(np.dot(whole(q), whole(c).T), LEAST, MOST).astype(np.int64)
 
 
 def _floor(score) -> float:
@@ -97,31 +107,20 @@ def _floor(score) -> float:
     return x if abs(x) < 2**53 else float(np.nextafter(x, -np.inf))
 
 
-def _long(score: int) -> int | None:
-    """A score for a column of 64 bits; one below them has none, one above them can't be told."""
-    if score >= 2**63:
-        raise OverflowError("a score is beyond 64 bits")
-    return score if score >= -(2**63) else None
-
-
 def _best(ids: np.ndarray, scores: np.ndarray, own: int, least: float, k: int) -> Iterator[tuple[int, int]]:
     """The k best of scores that reach least, ties to the smaller id, without the query's own."""
-    at = np.flatnonzero((scores >= least).astype(bool) & (ids != own))
-    if scores.dtype == object:
-        for i in sorted(at.tolist(), key=lambda i: (-scores[i], ids[i]))[:k]:
-            yield int(ids[i]), _long(scores[i])
-        return
+    at = np.flatnonzero((scores >= least) & (ids != own))
     if len(at) > 8 * k:  # those at or above the k-th score
-        at = at[scores[at] >= -np.partition(-scores[at], k - 1)[k - 1]]
-    for i in at[np.lexsort((ids[at], -scores[at]))][:k]:
+        at = at[scores[at] >= np.partition(scores[at], len(at) - k)[len(at) - k]]
+    for i in at[np.lexsort((ids[at], ~scores[at]))][:k]:
         yield int(ids[i]), int(scores[i])
 
 
 def search_block(qid: np.ndarray, q: np.ndarray, least: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
     """(query, vector, score) of each query's best in one block, whose rows are sorted by length, longest first."""
-    qn, cn = np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)
+    qn, cn = lengths(q), lengths(c)
     unit = c / np.maximum(cn, 1e-300)[:, None]
-    with np.errstate(divide="ignore", invalid="ignore"):
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
         local = np.where(least > 0, least / (qn * cn[0]), -1.0) * (1 - SLACK)
     local = np.where(np.isnan(local), 2.0, local)
     by_length = np.flatnonzero(local < COORDINATE)
@@ -176,10 +175,10 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = K, id_col: str = "vec
                 mine = list({p[1]: p for p in probes if p[0] == dim}.values())
                 pid, p = _matrix(np.array([x[1] for x in mine], np.int64).tobytes(), _joined([x[2] for x in mine], dim), dim) if mine else (np.zeros(0, np.int64), np.zeros((0, dim)))
                 scores = _products(q, p)
-                scores = np.where(pid[None, :] == qid[:, None], -(2.0**1023) if scores.dtype == object else np.iinfo(np.int64).min, scores)
-                least = np.array([_floor(x) for x in np.sort(scores, axis=1)[:, -k]]) if len(pid) > k else np.full(len(qid), -np.inf)
+                scores = np.where(pid[None, :] == qid[:, None], LEAST, scores)
+                least = np.array([_floor(x) for x in np.sort(scores, axis=1)[:, -k].tolist()]) if len(pid) > k else np.full(len(qid), -np.inf)
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    ratio = np.where(least > 0, np.linalg.norm(q, axis=1) / least, np.inf)
+                    ratio = np.where(least > 0, lengths(q) / least, np.inf)
                 out.append((least.tobytes(), float(ratio.max())))
             least, ratio = zip(*out, strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("dim", "qids", "queries")), pa.array(least, pa.binary()), pa.array(ratio, pa.float64())], ["dim", "qids", "queries", "least", "ratio"])
@@ -198,8 +197,7 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = K, id_col: str = "vec
     found = pairs.select("dim", "qids", "queries", "least", "ids", "matrix").mapInArrow(bounded(verify), "query_id long, vec_id long, score long").distinct()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    told = F.when(F.col("score").isNull(), F.raise_error(F.lit("a score is below 64 bits"))).otherwise(F.col("score"))
-    return best.select("query_id", "rank", "vec_id", told.cast("long").alias("score"))
+    return best.select("query_id", "rank", "vec_id", "score")
 
 
 def oracle() -> str:
