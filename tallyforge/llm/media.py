@@ -6,7 +6,8 @@ archives: a partition takes the members whose header begins in its range, which
 directory, so the driver lists files and no more. Members stream through Arrow in batches; one that fails to read, or
 fails its checksum, is read again from its own offset, up to ATTEMPTS times, without the others.
 
-An archive is named by its input partition and put in place by a rename, so that a task that runs twice leaves one.
+Archives are written as drafts of one attempt of a task; the attempt that Spark commits tells theirs, and only those
+are moved into place, so what a lost or repeated task leaves behind is never read, whatever rows it was dealt.
 
 Defined cases: null text counts as empty, whose payload is 64 zeros; equal texts give equal media; rows of equal or
 null id are members of their own, and an empty id is not a null one; an empty table gives no archive and no rows; other columns are ignored.
@@ -14,10 +15,12 @@ null id are members of their own, and an empty id is not a null one; an empty ta
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import io
 import struct
 import time
+import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import bounded, fresh_dir
+from .common import bounded, fresh_dir, open_store, stage
 
 WIDTH = 64
 LEVEL = 4
@@ -42,6 +45,7 @@ MOST_RANGES = 100_000
 ATTEMPTS, WAIT_S = 3, 0.05
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 MOST_CHUNK = 1 << 30
+DRAFTS = "drafts"
 MEMBER = "member string, archive string, offset long, media binary"
 
 
@@ -93,32 +97,26 @@ def member_key(member: str) -> str | None:
     return unquote(name[len("id-") :]) if name.startswith("id-") else None
 
 
-def _open(folder: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pa.fs.LocalFileSystem(), folder)
-
-
 def write_archives(docs: DataFrame, folder: str) -> int:
     """Stores each text of docs as a member of an archive in folder; returns their number."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = _open(folder)
-        store.create_dir(root, recursive=True)
-        task, part, n = TaskContext.get(), 0, 0
+        store, root = open_store(folder)
+        store.create_dir(f"{root}/{DRAFTS}", recursive=True)
+        task, part, n, held, done, tried = TaskContext.get(), 0, 0, 0, [], uuid.uuid4().hex
         buffer = io.BytesIO()
         archive = zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED)
 
         def put() -> None:
             nonlocal buffer, archive, part
             archive.close()
-            name = f"{root}/media-{task.partitionId():07d}-{part:05d}.zip"
-            draft = f"{root}/.draft-{task.taskAttemptId()}-{part}"
+            draft = f"{root}/{DRAFTS}/{tried}-{part:05d}.zip"
             with store.open_output_stream(draft) as out:
                 out.write(buffer.getbuffer())
-            store.move(draft, name)
+            done.append((draft, f"{root}/media-{task.partitionId():07d}-{part:05d}.zip", held))
             buffer, part = io.BytesIO(), part + 1
             archive = zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED)
 
-        held = 0
         for batch in batches:
             for key, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
                 data, size = payload(text.as_py())
@@ -130,9 +128,20 @@ def write_archives(docs: DataFrame, folder: str) -> int:
                     held = 0
         if held:
             put()
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+        yield pa.RecordBatch.from_arrays([pa.array([d[c] for d in done], t) for c, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["draft", "name", "n"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = open_store(folder)
+        for batch in batches:
+            for draft, name in zip(batch.column("draft").to_pylist(), batch.column("name").to_pylist(), strict=True):
+                with contextlib.suppress(FileNotFoundError):  # then another attempt has moved it
+                    store.move(draft, name)
+                if store.get_file_info(name).type == pa.fs.FileType.NotFound:
+                    raise FileNotFoundError(name)
+            yield batch.select(["n"])
 
-    return docs.select("doc_id", "text").mapInArrow(bounded(work), "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    kept = stage(docs.select("doc_id", "text").mapInArrow(bounded(work), "draft string, name string, n long"), "archives")
+    return kept.mapInArrow(place, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 @dataclass
@@ -147,7 +156,7 @@ class ArchiveReader(DataSourceReader):
         self.folder, self.range_bytes = folder, range_bytes
 
     def partitions(self) -> list[ByteRange]:
-        store, root = _open(self.folder)
+        store, root = open_store(self.folder)
         found = store.get_file_info(pa.fs.FileSelector(root, allow_not_found=True))
         archives = sorted((f for f in found if f.path.endswith(".zip")), key=lambda f: f.path)
         step = max(self.range_bytes, -(-sum(f.size for f in archives) // MOST_RANGES))  # longer ranges, not more of them, for large folders
@@ -157,7 +166,7 @@ class ArchiveReader(DataSourceReader):
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
-        store, _ = _open(self.folder)
+        store, _ = open_store(self.folder)
         with store.open_input_file(partition.path) as f, zipfile.ZipFile(f) as archive:
             members = [m for m in archive.infolist() if partition.start <= m.header_offset < partition.end]
         names, offsets, media, held = [], [], [], 0
