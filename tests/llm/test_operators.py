@@ -381,11 +381,11 @@ def test_top_k_large_components(spark):
     ):
         got = topk.top_k(spark.createDataFrame(rows, kind), F.col("id") % 50 == 0).collect()
         assert Counter(map(tuple, got)) == Counter(products(rows))
-    with pytest.raises(Exception, match="beyond 64 bits"):
-        topk.top_k(spark.createDataFrame([(50, [1e20]), (1, [1e20])], kind), F.col("id") % 50 == 0).collect()
-    two = spark.createDataFrame([(50, [1e20]), (1, [-1e20])], kind)
-    with pytest.raises(Exception, match="below 64 bits"):
-        topk.top_k(two, F.col("id") % 50 == 0).collect()
+    top, low = 2**63 - 1, -(2**63)
+    nearest = lambda rows: [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, kind), F.col("id") % 50 == 0).orderBy("query_id", "rank").collect()]
+    assert nearest([(50, [1e20]), (1, [1e20]), (2, [1.0]), (3, [-1e20])]) == [(50, 1, 1, top), (50, 2, 2, top), (50, 3, 3, low)]
+    huge = [(50, [1e300, 0.0]), (9, [1e308, 1.0]), (4, [1e300, -1e308]), (7, [0.0, 5.0]), (8, [-1e300, 1.0]), (100, [0.0, 1.0])]
+    assert nearest(huge) == [(50, 1, 4, top), (50, 2, 9, top), (50, 3, 7, 0), (50, 4, 100, 0), (50, 5, 8, low), (100, 1, 7, 256 * 256 * 5), (100, 2, 8, 256 * 256), (100, 3, 9, 256 * 256), (100, 4, 50, 0), (100, 5, 4, low)]
 
 
 def shingle_set(text, k=3):
