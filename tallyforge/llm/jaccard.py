@@ -23,7 +23,9 @@ looked at, since they change none. Three rounds find the components:
    after that, so components are exact.
 
 A node, shingle, hub or component may hold a third of all rows. Counting and first-of-group aggregates combine before
-they shuffle; joins send keys of more than 1 / MOST_HOT of the rows, so MOST_HOT keys at most, by broadcast.
+they shuffle; joins of rows with what is small for each key send keys of more than 1 / MOST_HOT of the rows, so
+MOST_HOT keys at most, by broadcast. Joins of pairs with sketches and whole sets, and of edges with their least
+neighbours, are plain: there a hub's rows are split by Spark's adaptive skew handling.
 
 Defined cases: a text with fewer than k words has its whole sequence as one shingle; null text, or none but white
 space, gives the empty set, which links with nothing; rows of equal id count each by its own text; a null id takes
