@@ -262,7 +262,9 @@ def presented_payloads(t: Tables) -> DataFrame:
     return t.questions.select("id", build("question", "position").alias("p")).select("id", "p.question", "p.first")
 
 
-@query("OP-030 OP-408", "SELECT doc_id, 10 AS questions, count(*) AS answers FROM (SELECT p_partkey // 10 AS doc_id FROM part) p GROUP BY doc_id HAVING count(*) = 10")
+@query("OP-030 OP-408", """
+    SELECT doc_id, count(*)::INTEGER AS questions, count(*) AS answers, string_agg('(' || substr('ABCD', p_size % 4 + 1, 1) || ') ' || CASE p_size % 4 WHEN 0 THEN p_type WHEN 1 THEN p_brand WHEN 2 THEN 'size ' || p_size ELSE p_name END, '|' ORDER BY p_partkey) AS right
+    FROM (SELECT p_partkey // 10 AS doc_id, * FROM part) p GROUP BY doc_id""")
 def previews(t: Tables) -> DataFrame:
     p = _parts()
     parsed = files.parse_documents(_rendered(t, F.concat(p["n"], F.lit(". "), p["q"], _options(p, "(?)"), F.lit("\nAnswer: "), _letter(p["k"]))), "paper")
@@ -276,7 +278,8 @@ def previews(t: Tables) -> DataFrame:
     text = told(F.to_json("questions"))
     shown = parsed.select("doc_id", text.alias("text"))
     count = lambda word: F.regexp_count("text", F.lit(word))
-    return shown.where(count("प्रश्न ") == 10).select("doc_id", count("प्रश्न ").alias("questions"), count("Correct Answer:").cast("long").alias("answers"))
+    right = F.array_join(F.transform(F.filter(F.split("text", "\n"), lambda x: x.startswith("Correct Answer: ")), lambda x: F.substr(x, F.lit(17))), "|")
+    return shown.select("doc_id", count("प्रश्न ").alias("questions"), count("Correct Answer:").cast("long").alias("answers"), right.alias("right"))
 
 
 _NET = "correct - wrong * coalesce(negative_mark, 0)"

@@ -123,11 +123,10 @@ def permutations(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", shown.alias("shown"), X.original_choice(perm, shown).alias("back"), F.array_join(X.permuted(F.array(*map(F.lit, "abcd")), perm), "").alias("options"))
 
 
-@query("OP-126 OP-127", "SELECT o_custkey, count(*) AS n, true AS kept FROM orders GROUP BY o_custkey")
+@query("OP-126 OP-127", "SELECT o_custkey, list(o_orderkey ORDER BY md5('7:' || o_orderkey), o_orderkey) AS mixed, list(o_orderkey ORDER BY o_orderkey) AS plain FROM orders GROUP BY o_custkey")
 def seeded_orders(t: Tables) -> DataFrame:
     ids = t.orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("ids"))
-    mixed = X.seeded_order(F.col("ids"), F.lit(7), F.lit(True))
-    return ids.select("o_custkey", F.size(mixed).cast("long").alias("n"), (F.array_sort(mixed) == F.col("ids")).alias("kept"))
+    return ids.select("o_custkey", X.seeded_order(F.col("ids"), F.lit(7), F.lit(True)).alias("mixed"), X.seeded_order(F.col("ids"), F.lit(7), F.lit(False)).alias("plain"))
 
 
 @query("OP-175 OP-176 OP-177", """
@@ -189,24 +188,37 @@ def topic_relations(t: Tables) -> DataFrame:
     return rows.join(other, "p_partkey").select("p_partkey", dedup.topic_relation(side("i"), side("j")).alias("relation"))
 
 
-@query("OP-161 OP-160", """
-    SELECT doc_id, text, true AS fits FROM documents""")
+_LAST = lambda sign: f"CASE WHEN contains(piece, {sign}) THEN length(piece) - strpos(reverse(piece), {sign}) ELSE -1 END"
+
+
+@query("OP-161 OP-160", f"""
+    WITH RECURSIVE r AS (
+        SELECT doc_id, text, 0::BIGINT AS begun, 0::BIGINT AS size, 0 AS n FROM documents WHERE text IS NOT NULL
+        UNION ALL
+        SELECT doc_id, text, begun, CASE WHEN length(text) - begun <= 300 THEN length(text) - begun WHEN line > 100 THEN line + 1 WHEN space > 100 THEN space + 1 ELSE 300 END, n + 1
+        FROM (SELECT *, {_LAST("chr(10)")} AS line, {_LAST("' '")} AS space FROM (SELECT doc_id, text, begun + size AS begun, n, substr(text, begun + size + 1, 300) AS piece FROM r WHERE n = 0 OR begun + size < length(text)) x) y
+    )
+    SELECT doc_id, list(size ORDER BY n) AS sizes, true AS whole FROM r WHERE n > 0 GROUP BY doc_id""")
 def message_chunks(t: Tables) -> DataFrame:
+    """The lengths of a text's messages, and whether they are the text together."""
+
     @F.pandas_udf("array<string>")
     def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: None if x is None else P.chunks(x, 300))
+        return texts.map(lambda x: P.chunks(x, 300))
 
-    parts = t.documents.select("doc_id", split("text").alias("parts"))
-    return parts.select("doc_id", F.array_join("parts", "").alias("text"), F.forall("parts", lambda p: X.utf16_length(p) <= 300).alias("fits"))
+    parts = t.documents.where("text IS NOT NULL").select("doc_id", "text", split("text").alias("parts"))
+    return parts.select("doc_id", F.transform("parts", lambda p: F.length(p).cast("long")).alias("sizes"), (F.array_join("parts", "") == F.col("text")).alias("whole"))
 
 
 @query("OP-169 OP-170 OP-171 OP-165", """
-    SELECT id, '[' || position || '/99] ' || question AS question, (CASE WHEN correct_index = 0 THEN 3 ELSE correct_index - 1 END)::INTEGER AS correct, 4 AS options, false AS compact FROM questions WHERE source_number IS NULL""")
+    SELECT id, CASE WHEN source_number > 0 AND source_number <> position THEN '[Q' || source_number || ' · ' || position || '/99] ' ELSE '[' || position || '/99] ' END || question AS question,
+           (CASE WHEN correct_index = 0 THEN 3 ELSE correct_index - 1 END)::INTEGER AS correct, 4 AS options, false AS compact FROM questions""")
 def poll_payloads(t: Tables) -> DataFrame:
     @F.pandas_udf(P.PAYLOAD)
-    def build(question: pd.Series, correct: pd.Series, index: pd.Series) -> pd.DataFrame:
-        rows = [P.as_row(P.payload(q, ["one", "two", "three", "four"], int(c), [1, 2, 3, 0], int(i), 99)) for q, c, i in zip(question, correct, index, strict=True)]
+    def build(question: pd.Series, correct: pd.Series, index: pd.Series, number: pd.Series) -> pd.DataFrame:
+        told = [None if pd.isna(n) else int(n) for n in number]
+        rows = [P.as_row(P.payload(q, ["one", "two", "three", "four"], int(c), [1, 2, 3, 0], int(i), 99, n)) for q, c, i, n in zip(question, correct, index, told, strict=True)]
         return pd.DataFrame(rows, columns=[f.split()[0] for f in P.PAYLOAD.split(", ")])
 
-    rows = t.questions.where("source_number IS NULL").select("id", build("question", "correct_index", F.col("position") - 1).alias("p"))
+    rows = t.questions.select("id", build("question", "correct_index", F.col("position") - 1, "source_number").alias("p"))
     return rows.select("id", "p.question", "p.correct", F.size("p.options").alias("options"), "p.compact")
