@@ -21,7 +21,7 @@ def _letter(i: Column) -> Column:
 def _rendered(t: Tables, block: Column, head: str = "", foot: Column | None = None) -> DataFrame:
     """Ten parts a document: doc_id, text."""
     rows = t.part.select(F.expr("p_partkey div 10").alias("doc_id"), (F.col("p_partkey") % 10 + 1).cast("int").alias("n"), block.alias("b"), (foot if foot is not None else F.lit("")).alias("f"))
-    docs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "b", "f"))).alias("x"))
+    docs = files.dealt(rows, "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "b", "f"))).alias("x"))
     return docs.select("doc_id", F.concat(F.lit(head), F.array_join(F.transform("x", lambda s: s["b"]), "\n"), F.array_join(F.transform("x", lambda s: s["f"]), "")).alias("text"))
 
 
@@ -157,7 +157,7 @@ def _boxed(t: Tables) -> DataFrame:
     lines = t.part.select(doc, page, place.alias("i"), F.posexplode(told).alias("j", "text"))
     body = lines.select("doc_id", "page", box(F.lit(40.0), 60.0 + (F.col("i") % 5 * 6 + F.col("j")) * 20.0, F.col("text")).alias("b"))
     edges = t.part.select(doc, page).distinct().select("doc_id", "page", F.explode(F.array(box(F.lit(40.0), F.lit(5.0), F.lit("Model paper")), box(F.lit(280.0), F.lit(780.0), F.concat(F.lit("Page "), F.col("page").cast("string"))))).alias("b"))
-    full = body.unionByName(edges).groupBy("doc_id", "page").agg(F.collect_list("b").alias("pieces"))
+    full = files.dealt(body.unionByName(edges), "doc_id").groupBy("doc_id", "page").agg(F.collect_list("b").alias("pieces"))
     empty = t.part.select(doc).distinct().select("doc_id", F.lit(3).alias("page"), F.array().cast(boxes.PIECES.split(" ", 1)[1]).alias("pieces"))
     return full.unionByName(empty).select("doc_id", "page", F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), "pieces")
 

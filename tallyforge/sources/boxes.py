@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from . import layout, marks, papers
 from .layout import Piece
+from .files import dealt
 from .marks import Parsed, Problem
 
 PIECES = "pieces array<struct<x0: double, y0: double, x1: double, y1: double, text: string, size: double>>"
@@ -91,7 +92,7 @@ def parse(pages: list[Page]) -> Parsed:
 def parse_pages(pages: DataFrame, key: str = "doc_id") -> DataFrame:
     """key and what its pages hold: questions, errors, removed, review. pages: key, page, width, height, pieces and, if there is one, error."""
     error = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
-    every = pages.groupBy(key).agg(F.collect_list(F.struct("page", "width", "height", "pieces", error.alias("error"))).alias("pages"))  # a document's pages
+    every = dealt(pages, key).groupBy(key).agg(F.collect_list(F.struct("page", "width", "height", "pieces", error.alias("error"))).alias("pages"))  # a document's pages
     out_type = T._parse_datatype_string(f"{key} {pages.schema[key].dataType.simpleString()}, {marks.PARSED_SCHEMA}")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

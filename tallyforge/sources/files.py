@@ -55,6 +55,11 @@ def parse_documents(docs: DataFrame, grammar: str | Callable[[str | None], marks
     return docs.select(*keys, "text").mapInArrow(work, out_type)
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt by key to as many tasks as shuffles have, for documents that are put together from few and small rows: parsing them is work, but Spark would join what is small into one task. Files that are scanned need it not."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def question_rows(parsed: DataFrame) -> DataFrame:
     keys = [c for c in parsed.columns if c not in ("questions", "errors", "removed", "review")]
     return parsed.select(*keys, F.explode("questions").alias("q")).select(*keys, "q.*")
