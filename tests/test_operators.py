@@ -200,3 +200,28 @@ def test_numbered_evenly(spark, case, by):
     sizes = [spark.read.parquet(p).count() for p in dealt]
     assert sum(sizes) == n and max(sizes) <= n / 20
 
+
+
+def test_texts_of_odd_rows(spark):
+    """A deleted quiz, markup in names, nothing answered, no attempt at all."""
+    from tallyforge.operators import lookups, summaries
+
+    t = datetime(2024, 1, 1)
+    attempts = spark.createDataFrame([(1, 1, "gone", "stopped", 4, 0, 0, 1, 1, 1 / 3, 61.0, t), (2, 2, "<q>", "finished", 0, 0, 0, 0, 0, None, 0.0, None)], ATTEMPTS)
+    quizzes = spark.createDataFrame([("<q>", 1, "A & <B>"), ("empty", 1, "E")], "id string, owner_id long, title string")
+    users = spark.createDataFrame([(2, None, "<x>")], "user_id long, username string, first_name string")
+    told = {r["id"]: r["text"] for r in summaries.result_texts(attempts, quizzes).collect()}
+    assert "Quiz stopped" in told[1] and "Not attempted: 3" in told[1] and "-1/3" in told[1] and "Timeout: 1 ⏰ (Skipped में शामिल)" in told[1] and "Quiz: A &amp; &lt;B&gt;" in told[2] and "rank" not in told[2]
+    over = {r["user_id"]: r["text"] for r in summaries.user_overviews(attempts, quizzes).collect()}
+    assert "• Deleted quiz: 0/4 (0.0%)" in over[1] and over[2].endswith("• A &amp; &lt;B&gt;: 0/0 (0%) • ")
+    sessions = spark.createDataFrame([], "id long, quiz_id string, chat_id long, status string")
+    group = spark.createDataFrame([], "session_id long, user_id long")
+    owner = {r["quiz_id"]: r["text"] for r in summaries.owner_texts(quizzes, attempts, users, sessions, group).collect()}
+    assert "🥇 &lt;x&gt; — 0/0 (0%)" in owner["<q>"] and owner["empty"].endswith("Average score: 0.0%")
+    seen = {(r["quiz_id"], r["user_id"]): r["text"] for r in summaries.own_texts(quizzes, attempts, spark.createDataFrame([("<q>", 1), ("<q>", 2), ("empty", 9)], "quiz_id string, user_id long")).collect()}
+    assert set(seen) == {("<q>", 2), ("empty", 9)} and "1 / 1" in seen["<q>", 2] and "पूरा नहीं" in seen["empty", 9]
+    asked = spark.createDataFrame([(2,), (2,), (0,), (None,), (7,)], "user_id long")
+    assert [r["user_id"] for r in lookups.looked_up(users, asked, "user_id").collect()] == [2]
+    stored = spark.createDataFrame([(1, "active", None, " ", None), (2, "active", "[3, 1]", "[0]", "p"), (3, "finished", "broken", None, "p")], "id long, status string, order_json string, cur_perm_json string, cur_poll_id string")
+    assert rows_of(lookups.decoded_attempts(stored).select("id", "order", "cur_perm")) == [(1, [], None), (2, [3, 1], [0]), (3, [], None)]
+    assert [r["id"] for r in lookups.attempts_by_poll(stored, spark.createDataFrame([("p",), ("p",), (None,)], "poll_id string")).collect()] == [2]
