@@ -72,12 +72,12 @@ def _cuts(units: DataFrame, plan: DataFrame, dims: int) -> DataFrame:
 
 
 def kd_assign(units: DataFrame, leaves: int, dims: int) -> DataFrame:
-    """units (weight, c rows, k0.., node) with their final node, 0 to leaves - 1, as column shard.
+    """units (weight, k0.., node, and what else tells them) with their final node, 0 to leaves - 1, as column shard.
 
     All open nodes of a level are cut in the same passes. The driver holds a few numbers for each node, and broadcasts
     the plan of a level: a row for each open node, of which there are fewer than leaves.
     """
-    spark = units.sparkSession
+    spark, told = units.sparkSession, [c for c in units.columns if c not in ("weight", "node", *(f"k{i}" for i in range(dims)))]
     total = units.agg(F.sum("weight")).first()[0] or 0
     owed, base, fresh = {0: leaves}, {0: 0}, 1
     enough = TOLERANCE * total / max(1, leaves)
@@ -117,9 +117,9 @@ def kd_assign(units: DataFrame, leaves: int, dims: int) -> DataFrame:
         step = spark.createDataFrame(moves, "node int, dim int, cut long, child int")
         key = F.element_at(F.array(*[f"k{i}" for i in range(dims)]), F.col("dim") + 1)
         moved = F.when(F.col("child").isNull(), F.col("node")).when(key < F.col("cut"), F.col("child")).otherwise(F.col("child") + 1)
-        units = stage(units.join(F.broadcast(step), "node", "left").select("g", "slice", "weight", "c", *[f"k{i}" for i in range(dims)], moved.alias("node")), "kd")
+        units = stage(units.join(F.broadcast(step), "node", "left").select(*told, "weight", *[f"k{i}" for i in range(dims)], moved.alias("node")), "kd")
     final = spark.createDataFrame([(n, b) for n, b in base.items()], "node int, shard int")
-    return units.join(F.broadcast(final), "node").select("g", "slice", "c", "shard")
+    return units.join(F.broadcast(final), "node").select(*told, "shard")
 
 
 def shard(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
