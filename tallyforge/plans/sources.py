@@ -133,6 +133,20 @@ def import_reports(t: Tables) -> DataFrame:
     return files.import_report(files.parse_documents(_rendered(t, block), "paper"), "doc_id")
 
 
+@query("OP-350", """
+    WITH d AS (SELECT p_partkey // 10 AS doc_id, string_agg((p_partkey % 10 + 1) || '. Which is ' || p_name || ' ' || p_partkey || '?' || chr(10) || '(A) ' || p_type || chr(10) || '(B) ' || p_brand || chr(10) || '(C) size ' || p_size || chr(10) || '(D) ' || p_name
+                 || CASE WHEN p_partkey % 10 = 4 THEN '' ELSE chr(10) || 'Answer: ' || substr('ABCD', p_size % 4 + 1, 1) END, chr(10) ORDER BY p_partkey) AS text,
+               count(*) FILTER (p_partkey % 10 <> 4)::INTEGER AS parsed, count(*) FILTER (p_partkey % 10 = 4)::INTEGER AS failed FROM part GROUP BY 1)
+    SELECT 'file ' || doc_id || '.txt' AS name, sha256(text) AS sha256, 'Part ' || doc_id AS default_title, parsed, failed, CASE WHEN failed > 0 THEN ['5: no answer'] ELSE []::VARCHAR[] END AS raw_errors, parsed AS from_it FROM d""")
+def file_records(t: Tables) -> DataFrame:
+    p = _parts()
+    block = F.concat(p["n"], F.lit(". "), p["q"], _options(p, "(?)"), F.when(p["n"] == "5", "").otherwise(F.concat(F.lit("\nAnswer: "), _letter(p["k"]))))
+    number = F.col("doc_id").cast("string")
+    found = _rendered(t, block).select(F.concat(F.lit("file "), number, F.lit(".txt")).alias("name"), "text", F.lit(None).cast("string").alias("caption"), F.concat(F.lit("Part "), number).alias("title"))
+    from_it = F.size(F.filter("questions", lambda q: q["source_ref"] == F.col("name")))
+    return files.file_entries(found, "paper").select("name", "sha256", "default_title", "report.parsed", "report.failed", "raw_errors", from_it.alias("from_it"))
+
+
 @query("OP-240 OP-241", "SELECT page_id AS doc_id, 0 AS questions, 1 AS errors, 0 AS removed FROM pages")
 def page_texts(t: Tables) -> DataFrame:
     """Pages of the driver hold no questions: each is read as text, and every one must give an error row rather than a failure."""

@@ -75,17 +75,35 @@ def removed_rows(parsed: DataFrame) -> DataFrame:
     return parsed.select(*keys, F.explode("removed").alias("r")).select(*keys, "r.*")
 
 
-def import_report(parsed: DataFrame, *by: str) -> DataFrame:
-    """Counts of an import: detected, read, failed and other errors, answers by where they came from."""
+def _counts() -> dict[str, Column]:
+    """Counts of one parsed document."""
     read = F.transform("questions", lambda q: F.struct(q["section_label"].alias("s"), q["number"].alias("n")))
     numbered = F.filter("errors", lambda e: e["number"].isNotNull())
     failed = F.size(F.array_except(F.transform(numbered, lambda e: F.struct(e["section"].alias("s"), e["number"].alias("n"))), read))
     keyed = F.size(F.filter("questions", lambda q: q["answer_source"] == "answer_key"))
-    one = parsed.select(*by, F.size("questions").alias("parsed"), failed.alias("failed"), (F.size("errors") - F.size(numbered)).alias("other_errors"), keyed.alias("answer_key"))
-    sums = one.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("parsed", "failed", "other_errors", "answer_key")])
+    return {"parsed": F.size("questions"), "failed": failed, "other_errors": F.size("errors") - F.size(numbered), "answer_key": keyed}
+
+
+def import_report(parsed: DataFrame, *by: str) -> DataFrame:
+    """Counts of an import: detected, read, failed and other errors, answers by where they came from."""
+    one = parsed.select(*by, *[c.alias(n) for n, c in _counts().items()])
+    sums = one.groupBy(*by).agg(*[F.sum(c).alias(c) for c in _counts()])
     return sums.withColumn("total_detected", F.col("parsed") + F.col("failed")).withColumn("answer_inline", F.col("parsed") - F.col("answer_key"))
 
 
+def file_entries(files: DataFrame, grammar: str | Callable[[str | None], marks.Parsed] = "text", source: str = "file") -> DataFrame:
+    """What is kept of each file (name, text, caption, title): its digest, its questions with the file that each is from, what went wrong, and counts.
+
+    A null text has no digest; captions and titles may be null.
+    """
+    keyed = files.select("name", "caption", "title", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"), "text")
+    parsed = parse_documents(keyed, grammar, "name", "caption", "title", "sha256")
+    named = F.transform("questions", lambda q: q.withField("source_ref", F.col("name")))
+    told = F.transform("errors", lambda e: F.concat_ws(": ", e["number"].cast("string"), e["message"]))
+    report = F.struct(*[c.alias(n) for n, c in _counts().items()])
+    return parsed.select("name", "sha256", "caption", F.col("title").alias("default_title"), F.lit(source).alias("source"), named.alias("questions"), told.alias("raw_errors"), F.col("errors").alias("errors_meta"), "review", "removed", report.alias("report"))
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """name, text, error of each file in a folder: the text is null where the bytes aren't any, and the error says why."""
     found = spark.read.format("binaryFile").load(path).select(F.col("path").alias("name"), "content")

@@ -323,3 +323,11 @@ def test_lexicon(spark):
         fixed, fixes = layout.respaced(text, counts) if text is not None else (None, [])
         assert got[doc, line] == (fixed, fixes)
     assert len(got) == len(rows) and any(f for _, f in got.values())
+
+
+def test_file_entries(spark):
+    rows = [("a.txt", "1. One?\n(A) x\n(B) y\nAnswer: B\n2. Two?\n(A) x\n(B) y", None, "A"), ("b.txt", None, "c", None)]
+    found = {r["name"]: r for r in files.file_entries(spark.createDataFrame(rows, "name string, text string, caption string, title string"), "paper", "upload").collect()}
+    a, b = found["a.txt"], found["b.txt"]
+    assert [(q["number"], q["source_ref"]) for q in a["questions"]] == [(1, "a.txt")] and a["raw_errors"] == ["2: no answer"] and a["report"]["failed"] == 1 and a["source"] == "upload" and a["default_title"] == "A"
+    assert b["sha256"] is None and b["raw_errors"] == ["empty text"] and b["caption"] == "c" and not b["questions"]
