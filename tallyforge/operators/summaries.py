@@ -112,3 +112,15 @@ def own_texts(quizzes: DataFrame, attempts: DataFrame, viewers: DataFrame, k: in
         F.when(c("own").isNull(), _one("", "ℹ️ आपने अभी यह quiz पूरा नहीं किया है।")).otherwise(_one("", "📜 <b>आपके results</b>")), c("own"),
     )
     return rows.select("quiz_id", "user_id", text.alias("text"))
+
+
+def status_text(counts: DataFrame, violations: DataFrame, most: int = 3) -> DataFrame:
+    """text: one row that tells how many records a snapshot has (counts: name, rows) and what is wrong with it (violations: rule, record), the most frequent rules first."""
+    c = F.col
+    held = counts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "rows"))), lambda x: _said(x["name"], "=", x["rows"])), ", ").alias("held"))  # a row for each table
+    broken = violations.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    told = broken.agg(F.array_sort(F.collect_list(F.struct((-c("n")).alias("less"), "rule"))).alias("all"))  # a row for each rule
+    named = F.array_join(F.transform(F.slice("all", 1, most), lambda x: _said(x["rule"], ": ", -x["less"])), "; ")
+    integrity = F.when(F.size("all") == 0, F.lit("✅ valid")).otherwise(_said("❌ ", named))
+    both = held.withColumn("_one", F.lit(1)).join(told.withColumn("_one", F.lit(1)), "_one")
+    return both.select(_lines(_one("🗄️ <b>Backup status</b>", _said("Records: ", c("held")), _said("Integrity: ", integrity))).alias("text"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..adapters import Tables
-from ..operators import lookups, summaries
+from ..operators import lookups, snapshot, stats, summaries
 from .registry import query
 
 #: Attempts that are done, with what their lines show.
@@ -107,3 +107,15 @@ def attempts_looked_up(t: Tables) -> DataFrame:
 def attempts_by_poll(t: Tables) -> DataFrame:
     polls = t.lineitem.where("l_linestatus = 'O'").select(F.concat(F.lit("p"), F.col("l_orderkey").cast("string")).alias("poll_id"))
     return lookups.attempts_by_poll(_stored(t), polls).select(F.col("cur_poll_id").alias("poll"), "id", "user_id")
+
+
+@query("OP-346", """
+    WITH b AS (SELECT 'section blank' AS rule, count(*) AS n FROM questions WHERE coalesce(trim(section), '') = '' UNION ALL SELECT 'more answers than questions', count(*) FROM attempts WHERE correct + wrong + skipped > 2 UNION ALL SELECT 'mark unknown', count(*) FROM attempts WHERE negative_mark IS NULL),
+    t AS (SELECT string_agg(rule || ': ' || n, '; ' ORDER BY n DESC, rule) AS told FROM b WHERE n > 0)
+    SELECT '🗄️ <b>Backup status</b>' || chr(10) || 'Records: attempts=' || (SELECT count(*) FROM attempts) || ', questions=' || (SELECT count(*) FROM questions) || ', quizzes=' || (SELECT count(*) FROM quizzes) || ', users=' || (SELECT count(*) FROM users)
+        || chr(10) || 'Integrity: ' || CASE WHEN told IS NULL THEN '✅ valid' ELSE '❌ ' || told END AS text FROM t""")
+def snapshot_status(t: Tables) -> DataFrame:
+    found = snapshot.violations([
+        ("section blank", t.questions.where("coalesce(trim(section), '') = ''"), "id"), ("more answers than questions", t.attempts.where("correct + wrong + skipped > 2"), "id"), ("mark unknown", t.attempts.where("negative_mark IS NULL"), "id"),
+    ])
+    return summaries.status_text(stats.table_counts(quizzes=t.quizzes, questions=t.questions, attempts=t.attempts, users=t.users), found)

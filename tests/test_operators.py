@@ -225,3 +225,12 @@ def test_texts_of_odd_rows(spark):
     stored = spark.createDataFrame([(1, "active", None, " ", None), (2, "active", "[3, 1]", "[0]", "p"), (3, "finished", "broken", None, "p")], "id long, status string, order_json string, cur_perm_json string, cur_poll_id string")
     assert rows_of(lookups.decoded_attempts(stored).select("id", "order", "cur_perm")) == [(1, [], None), (2, [3, 1], [0]), (3, [], None)]
     assert [r["id"] for r in lookups.attempts_by_poll(stored, spark.createDataFrame([("p",), ("p",), (None,)], "poll_id string")).collect()] == [2]
+
+
+def test_status_text(spark):
+    from tallyforge.operators import summaries
+
+    counts, none = spark.createDataFrame([("b", 2), ("a", 1)], "name string, rows long"), spark.createDataFrame([], "rule string, record string")
+    assert summaries.status_text(counts, none).first()[0].split("\n")[1:] == ["Records: a=1, b=2", "Integrity: ✅ valid"]
+    bad = spark.createDataFrame([(r, "x") for r in "wxxyyyzzzz"], "rule string, record string")
+    assert summaries.status_text(counts, bad).first()[0].endswith("Integrity: ❌ z: 4; y: 3; x: 2")
