@@ -100,8 +100,9 @@ def number_lists(t: Tables) -> DataFrame:
 @query("OP-148 OP-147 OP-368", """
     SELECT id, CASE WHEN lower(trim(section)) = 'economy' THEN 45 WHEN lower(trim(section)) = 'promo' THEN position ELSE 30 END AS timer FROM questions""")
 def question_timers(t: Tables) -> DataFrame:
-    timers = X.with_timer(X.section_timers(F.lit('{"Economy ": 45, " ": 9}')), F.lit("PROMO"), F.greatest(F.col("position"), F.lit(5)))
-    timers = F.when(F.col("position") >= 5, timers).otherwise(F.map_concat(X.section_timers(F.lit('{"Economy ": 45}')), F.create_map(F.lit("promo"), F.col("position"))))
+    told = X.section_timers(F.lit('{"Economy ": 45, " ": 9}'))
+    stored = F.map_concat(told, F.create_map(F.lit("promo"), F.col("position")))  # a time out of range can be in a map that was stored before, it is only never added
+    timers = F.coalesce(X.with_timer(told, F.lit("PROMO"), F.col("position")), stored)
     return t.questions.select("id", X.question_timer(timers, F.col("section"), F.lit(30)).alias("timer"))
 
 
