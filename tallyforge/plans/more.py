@@ -210,20 +210,20 @@ def page_columns(t: Tables) -> DataFrame:
     return t.part.select(F.expr("p_partkey div 8").alias("page"), "p_partkey", "p_name").groupBy("page").applyInPandas(work, "page long, text string, columns boolean")
 
 
-@query("OP-260 OP-394", "SELECT p_partkey, 'Answer: ' || CASE p_partkey % 3 WHEN 0 THEN 'B' WHEN 1 THEN '?' ELSE 'A' END AS text FROM part")
+@query("OP-260 OP-394 OP-190", "SELECT p_partkey, 'Answer: ' || CASE p_partkey % 3 WHEN 0 THEN 'B' WHEN 1 THEN '?' ELSE 'A' END AS text, 'राजस्थान ' || p_name AS joined FROM part")
 def readings(t: Tables) -> DataFrame:
-    """Two readings of an answer: a digit against a letter, two letters, the same letter."""
+    """Two readings of an answer: a digit against a letter, two letters, the same letter; and a word torn apart."""
 
-    @F.pandas_udf("string")
-    def work(key: pd.Series) -> pd.Series:
+    @F.pandas_udf("text string, joined string")
+    def work(key: pd.Series, name: pd.Series) -> pd.DataFrame:
         out = []
-        for k in key:
+        for k, n in zip(key, name, strict=True):
             main, other = ("8", "B") if k % 3 == 0 else ("A", "B") if k % 3 == 1 else ("A", "A")
             got, _ = L.reconciled([L.Piece(0, 0, 90, 10, f"Answer: {main}")], [L.Piece(0, 1, 90, 11, f"Answer: {other}")])
-            out.append(got[0].text)
-        return pd.Series(out)
+            out.append((got[0].text, L.respaced(f"रा जस्था न {n}", {"राजस्थान": 2})[0]))
+        return pd.DataFrame(out, columns=["text", "joined"])
 
-    return t.part.select("p_partkey", work("p_partkey").alias("text"))
+    return t.part.select("p_partkey", work("p_partkey", "p_name").alias("r")).select("p_partkey", "r.text", "r.joined")
 
 
 _WORDS = {0: ("राजस्थान", "रा जस्था न"), 1: ("कर्नाटक", "कर्ना टक"), 2: ("झारखंड", "झार खं ड")}

@@ -20,3 +20,9 @@ def test_timers_of_long_quizzes(spark, tmp_path):
     told = {r["id"]: r["timer"] for r in got.collect()}
     plain = {5 * i: 30 if 5 * i % 11 == 0 or 5 * i % 13 == 0 else i for i in range(1, 3701)}
     assert told == plain
+
+
+def test_readings_put_torn_words_together(spark, tmp_path):
+    got = plans.queries()["readings"](spark, parts(spark, tmp_path, 12)).collect()
+    assert {r["p_partkey"]: r["joined"] for r in got} == {i: f"राजस्थान blue part {i}" for i in range(1, 13)}
+    assert {r["p_partkey"]: r["text"] for r in got} == {i: f"Answer: {'B?A'[i % 3]}" for i in range(1, 13)}
