@@ -165,7 +165,9 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = K, id_col: str = "vec
 
     blocks = rows.withColumn("cid", (band * chunks + F.pmod(F.xxhash64("id", F.lit(1)), F.lit(chunks))).cast("int")).groupBy("dim", "cid").applyInArrow(block, "cid int, dim int, ids binary, matrix binary")
     packed = rows.where(is_query).withColumn("qb", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(max(1, -(-n_queries // QUERY_ROWS))))).groupBy("dim", "qb").applyInArrow(query_block, "dim int, qids binary, queries binary")
-    probes = [(r["dim"], r["id"], bytes(r["v"])) for r in rows.orderBy(F.desc("norm"), "id").limit(PROBES).collect()]  # PROBES rows, whatever the table
+    # Staged, so that the driver gets PROBES rows: if it took them from the ordered rows, every task would send it as many.
+    longest = stage(rows.orderBy(F.desc("norm"), "id").limit(PROBES), "probes")
+    probes = [(r["dim"], r["id"], bytes(r["v"])) for r in longest.collect()]
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +188,8 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = K, id_col: str = "vec
     limited = stage(packed.mapInArrow(bounded(bound), "dim int, qids binary, queries binary, least binary, ratio double"), "queries")
     pairs = limited.withColumn("cid", F.explode(F.sequence(F.lit(0), F.lit(len(upper) * chunks - 1))))
     reach = F.element_at(F.array(*[F.lit(float(u)) for u in upper]), F.floor(F.col("cid") / chunks).cast("int") + 1)
-    pairs = pairs.where(F.col("ratio") * reach * (1 + SLACK) >= 1).join(stage(blocks, "blocks"), ["cid", "dim"])
+    # Query blocks are small as files, but not once for every block: Spark must not take them for a table to broadcast.
+    pairs = pairs.where(F.col("ratio") * reach * (1 + SLACK) >= 1).join(stage(blocks, "blocks").hint("merge"), ["cid", "dim"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
