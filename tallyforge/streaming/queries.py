@@ -21,19 +21,26 @@ def first_per_key(events: DataFrame, keys: list[str], time: str, delay: str = "1
     return events.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def answers_in_time(answers: DataFrame, closings: DataFrame, delay: str = "10 minutes", reach: str = "1 day", lanes: int = 16) -> DataFrame:
+def answers_in_time(answers: DataFrame, closings: DataFrame, delay: str = "10 minutes", reach: str = "1 day", lanes: int = 16, span: str = "1 hour") -> DataFrame:
     """answers (a stream: poll_id, ts, ..) that came before their poll closed (a stream: poll_id, closed_at).
 
     A left outer join under two watermarks: an answer waits until no closing at or before it can come any more, and
     passes if there was none. A poll's closing lies within reach before the answers that it shuts out; answers are
     spread over lanes and closings are sent to all of them, so a hot poll is no task of its own. An answer without a
     time or poll never passes.
+
+    Of a poll's closings in one span (reach at most) the first and the last tell all: an answer in the same span has
+    the first before it or none, a later one lies within reach of any of them if of the last. So an answer meets two
+    closings for each span of its reach, however often its poll is closed.
     """
     told = answers.where("poll_id IS NOT NULL").withWatermark("ts", delay).withColumn("_lane", F.pmod(F.xxhash64("ts"), F.lit(lanes)))
-    shut = closings.select(F.col("poll_id").alias("_poll"), "closed_at").withWatermark("closed_at", delay).withColumn("_at_lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)).cast("array<long>")))
+    few = closings.withWatermark("closed_at", delay).groupBy("poll_id", F.window("closed_at", span)).agg(F.min("closed_at").alias("_first"), F.max("closed_at").alias("_last"))
+    few = few.select(F.col("poll_id").alias("_poll"), F.window_time("window").alias("_until"), F.explode(F.array_distinct(F.array("_first", "_last"))).alias("closed_at"))
+    shut = few.withColumn("_at_lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)).cast("array<long>")))
     same = (F.col("poll_id") == F.col("_poll")) & (F.col("_lane") == F.col("_at_lane"))
     before = (F.col("closed_at") <= F.col("ts")) & (F.col("closed_at") >= F.col("ts") - F.expr(f"INTERVAL {reach}"))
-    return told.join(shut, same & before, "left_outer").where("closed_at IS NULL").select(*answers.columns)
+    known = (F.col("_until") <= F.col("ts") + F.expr(f"INTERVAL {span}")) & (F.col("_until") >= F.col("ts") - F.expr(f"INTERVAL {reach}"))  # follows from before; bounds the state
+    return told.join(shut, same & before & known, "left_outer").where("closed_at IS NULL").select(*answers.columns)
 
 
 def with_beat(stream: DataFrame, beats: DataFrame) -> DataFrame:

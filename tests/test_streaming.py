@@ -149,3 +149,16 @@ def test_beat_gives_what_waits(spark, tmp_path):
     assert Q.drained(S.export_times(stream), "x").count() == 0
     stream = spark.readStream.schema("key long, at timestamp").parquet(f"{tmp_path}/*")
     assert [r["key"] for r in Q.drained(S.export_times(Q.with_beat(stream, Q.beat(table, "at", "at"))), "x").where(F.col("key").isNotNull()).collect()] == [1]
+
+
+def test_answers_meet_few_closings(spark, tmp_path):
+    """A poll that closes every second: an answer meets the first and the last closing of each hour."""
+    t = lambda s: START + timedelta(seconds=s)
+    a = arriving(spark, str(tmp_path / "a"), "poll_id string, ts timestamp, id int", [[("p", t(5), 1), ("p", t(500), 2), ("p", t(7000), 3)], [("end", t(10**6), 0)]])
+    c = arriving(spark, str(tmp_path / "c"), "poll_id string, closed_at timestamp", [[("p", t(s)) for s in range(10, 400)], [("end", t(10**6))]])
+    spark.conf.set(*S.STORE)
+    query = Q.answers_in_time(a, c, lanes=1).writeStream.format("memory").queryName("few_closings").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    kept = max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"] if "Join" in o["operatorName"])
+    assert [r["id"] for r in spark.table("few_closings").where("poll_id = 'p'").collect()] == [1]
+    assert kept <= 12
