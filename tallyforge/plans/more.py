@@ -138,7 +138,7 @@ def custom_grammar(t: Tables) -> DataFrame:
 
 def _one_question(t: Tables) -> DataFrame:
     p = _parts()
-    return t.part.select(F.col("p_partkey").alias("doc_id"), F.concat(p["q"], F.lit("\nA-III, B-I"), _options(p, "(?)"), F.lit("\nAnswer: ("), _letter(p["k"]), F.lit(") as\nExplanation: "), p["e"]).alias("text"))
+    return files.dealt(t.part, "p_partkey").select(F.col("p_partkey").alias("doc_id"), F.concat(p["q"], F.lit("\nA-III, B-I"), _options(p, "(?)"), F.lit("\nAnswer: ("), _letter(p["k"]), F.lit(") as\nExplanation: "), p["e"]).alias("text"))
 
 
 @query("OP-230 OP-212 OP-233", """

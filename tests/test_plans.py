@@ -26,3 +26,12 @@ def test_readings_put_torn_words_together(spark, tmp_path):
     got = plans.queries()["readings"](spark, parts(spark, tmp_path, 12)).collect()
     assert {r["p_partkey"]: r["joined"] for r in got} == {i: f"राजस्थान blue part {i}" for i in range(1, 13)}
     assert {r["p_partkey"]: r["text"] for r in got} == {i: f"Answer: {'B?A'[i % 3]}" for i in range(1, 13)}
+
+
+def test_typed_questions_are_dealt(spark, tmp_path):
+    """Many parts lie in one small file; to parse them is work for every task."""
+    folder = parts(spark, tmp_path, 100)
+    spark.read.parquet(f"{folder}/part.parquet").coalesce(1).write.parquet(f"{tmp_path}/one/part.parquet")
+    for name in ("typed_questions", "forwarded_questions"):
+        found = plans.queries()[name](spark, f"{tmp_path}/one")
+        assert found.rdd.getNumPartitions() == 4 and found.count() == 100
