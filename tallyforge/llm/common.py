@@ -3,25 +3,21 @@
 from __future__ import annotations
 
 import atexit
-import contextlib
-import ctypes
-import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import bounded  # noqa: F401 - for the operators
+
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key is hot from so many rows on, and from this share of all rows; so there are MOST_HOT hot keys at most.
 HOT_ROWS, MOST_HOT = 1000, 1000
 DEFAULT_FOLDER = "tallyforge-scratch"
-#: The setting that bounds the batches Python gets, and what it is lowered to.
-ARROW_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 _homes: set[str] = set()
 _paths: dict[int, str] = {}
 
@@ -79,28 +75,6 @@ def forget(spark: SparkSession, path: str) -> None:
         where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def bounded(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """work for mapInArrow, so that memory doesn't grow with the length of texts or the tasks before.
-
-    The session's batches hold BATCH_BYTES or one row from now on, unless they are smaller already; and after work its
-    worker, which lives on, gives what it no longer uses back to the system.
-    """
-    conf = SparkSession.active().conf
-    found = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)i?b?\s*", conf.get(ARROW_BYTES, "64m").lower())
-    if not found or not 0 < int(found[1]) << 10 * " kmgtp".index(found[2] or " ") <= BATCH_BYTES:
-        conf.set(ARROW_BYTES, str(BATCH_BYTES))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from work(batches)
-        finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # a C library without it
-                ctypes.CDLL(None).malloc_trim(0)
-
-    return run
-
-
 def join_unevenly(rows: DataFrame, dim: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """rows with dim, which has a row for each key and how many rows have it (c): no task holds the rows of a hot key.
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import bounded
 from . import layout, marks, papers
 from .files import dealt
 from .layout import Piece
@@ -109,4 +110,4 @@ def parse_pages(pages: DataFrame, key: str = "doc_id") -> DataFrame:
                 rows.append({key: name} | parsed.rows())
             yield from pa.Table.from_pylist(rows, schema=schema).to_batches()
 
-    return every.mapInArrow(work, out_type)
+    return every.mapInArrow(bounded(work), out_type)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import bounded
 from . import charsets, dialects, items, marks, pages, papers
 
 IMPORT_NAMES = r"(?i)\.(?:txt|html?|xhtml|json|pdf)$"
@@ -52,7 +53,7 @@ def parse_documents(docs: DataFrame, grammar: str | Callable[[str | None], marks
                 rows.append({k: batch.column(k)[i].as_py() for k in keys} | found.rows())
             yield from pa.Table.from_pylist(rows, schema=schema).to_batches()
 
-    return docs.select(*keys, "text").mapInArrow(work, out_type)
+    return docs.select(*keys, "text").mapInArrow(bounded(work), out_type)
 
 
 def dealt(rows: DataFrame, *keys: str) -> DataFrame:

@@ -331,3 +331,19 @@ def test_file_entries(spark):
     a, b = found["a.txt"], found["b.txt"]
     assert [(q["number"], q["source_ref"]) for q in a["questions"]] == [(1, "a.txt")] and a["raw_errors"] == ["2: no answer"] and a["report"]["failed"] == 1 and a["source"] == "upload" and a["default_title"] == "A"
     assert b["sha256"] is None and b["raw_errors"] == ["empty text"] and b["caption"] == "c" and not b["questions"]
+
+
+def test_batches_of_parsers_are_bounded(spark):
+    """Long texts reach Python a few at a time, whatever the session's batches were."""
+    from tallyforge.shared import ARROW_BYTES, BATCH_BYTES
+    from tallyforge.sources import charsets, files
+
+    was = spark.conf.get(ARROW_BYTES)
+    docs = spark.createDataFrame([(1, "a")], "doc_id int, text string")
+    try:
+        for made in (lambda: files.parse_documents(docs, "html"), lambda: charsets.decoded(docs.selectExpr("doc_id", "encode(text, 'UTF-8') AS content"), "doc_id")):
+            spark.conf.set(ARROW_BYTES, "64m")
+            assert made().count() == 1
+            assert int(spark.conf.get(ARROW_BYTES)) == BATCH_BYTES
+    finally:
+        spark.conf.set(ARROW_BYTES, was)
