@@ -5,6 +5,9 @@ They need the RocksDB state store, which `queries.drained` sets for its query; a
 
 from __future__ import annotations
 
+import json
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import asdict
 
@@ -17,13 +20,17 @@ from .machine import ACTIVE, EXPIRY_US, FIELDS, OUTPUT, STATE, Attempt, Schedule
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 #: Participants of a session are dealt into so many lanes, each with a state of its own.
 LANES = 32
+#: What is known of a lane lies in so many parts.
+PARTS = 64
 
 
 class FirstAnswers(StatefulProcessor):
     """Keeps who answered what in a lane of a session, and lets the first answer to each question pass.
 
     Answers count by time, then event id, within what has come; one that comes later never takes the place of one that
-    has passed. The lane's state goes once the watermark is keep_ms past its last answer.
+    has passed. What is known lies in PARTS parts by the hash of who and question, and a part is read and written as a
+    whole: each call of the state store is a message between processes, and so many a lane are the most, not one for
+    each answer. The lane's state goes once the watermark is keep_ms past its last answer.
     """
 
     def __init__(self, keep_ms: int):
@@ -31,22 +38,31 @@ class FirstAnswers(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getMapState("seen", "user_id long, question_id string", "event_id long")
+        self.seen = handle.getMapState("seen", "part int", "known string")
         self.last = handle.getValueState("last", "at long, timer long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        first: dict[tuple, Row] = {}
+        first: dict[tuple, tuple] = {}
         latest = 0
         for r in rows:
             latest = max(latest, r.at_us // 1000)
-            who = (r.user_id, r.question_id)
-            if who not in first or (r.at_us, r.event_id) < (first[who].at_us, first[who].event_id):
-                first[who] = r
+            who, told = (r.user_id, r.question_id), (r.at_us, r.event_id, r.answered_ts)
+            if who not in first or told[:2] < first[who][:2]:
+                first[who] = told
+        parts: dict[int, list[tuple]] = defaultdict(list)
+        for who in first:
+            parts[zlib.crc32(repr(who).encode()) % PARTS].append(who)
         known = self.seen.exists()
-        for who, r in first.items():
-            if not known or not self.seen.containsKey(who):
-                self.seen.updateValue(who, (r.event_id,))
-                yield Row(session_id=key[0], user_id=r.user_id, question_id=r.question_id, event_id=r.event_id, answered_ts=r.answered_ts)
+        for part, those in parts.items():
+            old = self.seen.getValue((part,)) if known else None
+            packed = json.loads(old[0]) if old else []
+            before = set(map(tuple, packed))
+            new = [who for who in those if who not in before]
+            if new:
+                self.seen.updateValue((part,), (json.dumps(packed + new),))
+            for who in new:
+                _, event, at = first[who]
+                yield Row(session_id=key[0], user_id=who[0], question_id=who[1], event_id=event, answered_ts=at)
         self._wait(max(latest, self.last.get()[0] if self.last.exists() else 0), timerValues)
 
     def _wait(self, last: int, timerValues) -> None:

@@ -2,8 +2,10 @@
 
 import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tallyforge.streaming import queries as Q
@@ -66,6 +68,47 @@ def test_first_answers_are_forgotten(spark, tmp_path):
     assert [r[3] for r in got] == [1, 4, 2, 3]
 
 
+class CountedState:
+    """A state variable in memory, with the number of calls that it got."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def _call(self, out=None):
+        self.calls += 1
+        return out
+
+    def exists(self):
+        return self._call(bool(self.held))
+
+    def containsKey(self, key):
+        return self._call(key in self.held)
+
+    def getValue(self, key):
+        return self._call(self.held.get(key))
+
+    def get(self):
+        return self._call(self.held.get(()))
+
+    def updateValue(self, key, value):
+        self._call(self.held.update({key: value}))
+
+    def update(self, value):
+        self._call(self.held.update({(): value}))
+
+
+def test_first_answers_call_the_state_by_parts():
+    """However many answers a lane gets at once, the state store gets a bounded number of calls; each is a message to another process."""
+    states = {"seen": CountedState(), "last": CountedState()}
+    handle = SimpleNamespace(getMapState=lambda name, *_: states[name], getValueState=lambda name, *_: states[name], registerTimer=lambda _: None, deleteTimer=lambda _: None)
+    machine, clock = S.FirstAnswers(1000), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    machine.init(handle)
+    told = [Row(session_id=1, user_id=i % 5000 or None, question_id="q\n" if i % 2 else None, event_id=i, answered_ts=START, at_us=i) for i in range(20_000)]
+    got = [r.event_id for part in (told[:12_000], told[6_000:]) for r in machine.handleInputRows((1, 0), iter(part), clock)]
+    assert sorted(got) == list(range(5000))
+    assert states["seen"].calls < 500
+
+
 ATTEMPT = "attempt_id long, at timestamp, kind string, poll string, correct boolean, event_id long"
 
 
