@@ -347,3 +347,32 @@ def test_batches_of_parsers_are_bounded(spark):
             assert int(spark.conf.get(ARROW_BYTES)) == BATCH_BYTES
     finally:
         spark.conf.set(ARROW_BYTES, was)
+
+
+def test_gutter_asks_each_piece_once():
+    """A page's pieces are not counted anew for each place of its middle, and the place is the one that counting gives."""
+    asked = Counter()
+
+    class Box(layout.Piece):
+        def __getattribute__(self, name):
+            asked[name] += name in ("x0", "x1")
+            return super().__getattribute__(name)
+
+    rng = random.Random(6)
+    for n in (0, 1, 9, 300):
+        pieces = [Box(x0 := rng.choice([rng.uniform(0, 600), float(rng.randint(90, 210) * 2)]), 0.0, x0 + rng.choice([0, 2, 4, 4.5, 100, 300, -50]), 9.0, "x") for _ in range(n)]
+        asked.clear()
+        got = layout.gutter(pieces, 600.0)
+        assert asked["x0"] + asked["x1"] <= 2 * n
+        assert got == min(range(180, 421, 2), key=lambda x: (sum(p.x0 < x - 2 and p.x1 > x + 2 for p in pieces), abs(x - 300.0)))
+
+
+def test_lines_are_taken_apart_once(monkeypatch):
+    """A line of a paper is asked for its options by several steps, but they are looked for once."""
+    seen, split = Counter(), marks.split_options
+    monkeypatch.setattr(marks, "split_options", lambda line: seen.update([line]) or split(line))
+    told = papers.parse("\n".join(f"{n}. Which one is {n * 7919}?\n(A) a{n}\n(B) b{n}\n(C) c{n}\n(D) d{n}\nAnswer: B" for n in range(1, 40)))
+    assert len(told.questions) == 39 and not told.errors
+    assert seen and max(seen.values()) == 1
+    marks.expanded("(A) one (B) two").clear()  # what is given out is the caller's own
+    assert marks.expanded("(A) one (B) two") == ["(A) one", "(B) two"]
