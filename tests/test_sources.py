@@ -376,3 +376,30 @@ def test_lines_are_taken_apart_once(monkeypatch):
     assert seen and max(seen.values()) == 1
     marks.expanded("(A) one (B) two").clear()  # what is given out is the caller's own
     assert marks.expanded("(A) one (B) two") == ["(A) one", "(B) two"]
+
+
+def test_elements_of_pages_are_read_once(monkeypatch):
+    """Of a page with many questions each option's text is put together once, and each block's options are looked for once."""
+    made, looked, whole, found = Counter(), Counter(), pages.Element._text, pages._from_classes
+    monkeypatch.setattr(pages.Element, "_text", lambda e, skip, item: made.update([id(e)]) or whole(e, skip, item))
+    monkeypatch.setattr(pages, "_from_classes", lambda box: looked.update([id(box)]) or found(box))
+    kept = []  # elements live on, so that no two have one id
+    monkeypatch.setattr(pages, "tree", lambda html, tree=pages.tree: kept.append(tree(html)) or kept[-1])
+    block = '<div class="question" id="q{0}"><p>{0}. Which is {0}?</p><div class="option">A) a{0}</div><div class="option correct" aria-checked="">B) b{0}</div><div class="explanation">Seen at {0}</div></div>'
+    told = pages.extract("<html><body>" + "".join(block.format(n) for n in range(1, 60)) + "</body></html>")
+    assert [(q.number, q.options, q.correct_index, q.explanation) for q in told.questions] == [(n, [f"a{n}", f"b{n}"], 1, f"Seen at {n}") for n in range(1, 60)]
+    assert max(looked.values()) == 1 and max(made.values()) <= 2  # once more without its options
+
+
+def test_innermost_elements(monkeypatch):
+    """Those in which no other of the found lies, each way up taken once."""
+    rng, steps, above = random.Random(7), Counter(), pages.Element.above
+    root = pages.tree("<div>" * 30 + "".join("<p><b>x</b></p>" + "</div>" * (n % 2) for n in range(40)))
+    every = list(root.walk())
+    brute = lambda found: [e for e in found if not any(o is not e and pages._contains(e, o) for o in found)]
+    for n in (0, 1, 5, 40, len(every)):
+        found = rng.sample(every, n)
+        assert [*map(id, pages._innermost(found))] == [*map(id, brute(found))]
+    monkeypatch.setattr(pages.Element, "above", lambda e: (steps.update(["n"]) or x for x in above(e)))
+    pages._innermost(every)
+    assert steps["n"] <= 2 * len(every)
